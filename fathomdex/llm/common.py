@@ -88,9 +88,9 @@ def bounded_sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
     """About ``most`` rows, the same ones in each run, picked by hash of their ``doc_id``.
 
     With ``by``, about ``most`` rows of each value of those columns. The counts are
-    taken over all rows; a group of no more than ``most`` rows is kept whole.
+    taken over all rows and come along as ``_n``; a group of no more than ``most`` rows is kept whole.
     """
     counts = rows.groupBy(*by).agg(F.count("*").alias("_n"))
     unit = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     joined = rows.join(F.broadcast(counts.limit(100_000)), list(by)) if by else rows.crossJoin(F.broadcast(counts))
-    return joined.where(unit < F.lit(float(most)) / F.col("_n")).drop("_n")
+    return joined.where(unit < F.lit(float(most)) / F.col("_n"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, read_table, small_batches
+from .common import held_out, read_table, small_batches
 from .ngrams import trigram_counts
 from .toxicity import labelled
 
@@ -108,25 +108,23 @@ def _terms_of(texts: list[str | None]) -> np.ndarray:
     return np.stack([term_counts(t) for t in texts]) if texts else np.zeros((0, N_TERMS), dtype=np.float32)
 
 
-def learn(train: DataFrame, per_label: int = DOCS_PER_LABEL) -> Space:
-    """``train``: doc_id, text, label (0 or 1)."""
-    small_batches(train.sparkSession)
-    rows = train.where(F.col("label").isin(0, 1)).select("doc_id", "text", "label")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+def learn(sample: DataFrame) -> Space:
+    """``sample``: a bounded number of rows with doc_id, text, label (0 or 1) and of (the number of labels of that value)."""
+    small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _terms_of(batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], batch["of"], pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["doc_id", "label", "of", "x"])
 
-    got = bounded_sample(rows, per_label, "label").mapInArrow(run, "doc_id long, label int, x binary").toArrow()
+    got = sample.select("doc_id", "text", "label", "of").mapInArrow(run, "doc_id long, label int, of long, x binary").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable") if got.num_rows else np.empty(0, dtype=int)
     y = got["label"].to_numpy()[order] if got.num_rows else np.empty(0)
     x = np.zeros((len(order), N_TERMS), dtype=np.float32)
     for i, k in enumerate(order):
         x[i] = np.frombuffer(got["x"][int(k)].as_py(), dtype=np.float16)
     own = Counter(y.tolist())
-    return Space(x, y, np.array([counts[v] / own[v] for v in y.tolist()]))
+    return Space(x, y, got["of"].to_numpy()[order] / np.array([own[v] for v in y.tolist()]) if len(order) else np.empty(0))
 
 
 def score(docs: DataFrame, space: Space, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -149,5 +147,5 @@ def score(docs: DataFrame, space: Space, text: str = "text", threshold: float =
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    space = learn(labelled(docs, read_table(spark, sf_dir, "labels"), "quality", 5, 0))
+    space = learn(labelled(docs, read_table(spark, sf_dir, "labels"), "quality", 5, 0, DOCS_PER_LABEL, by_label=True))
     return score(docs.withColumn("held_out", held_out(F.col("doc_id"), 5, 0)), space).select("doc_id", "held_out", "score", "predicted")

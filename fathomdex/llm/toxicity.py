@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
-from .common import bounded_sample, held_out, read_table, small_batches
+from .common import bounded_sample, held_out, read_table, small_batches, staged
 
 TRAIN_DOCS = 12_000
 THRESHOLD = 0.7
@@ -54,7 +54,12 @@ def stems(word: str) -> list[str]:
     return [word[:n] for n in STEM_LENGTHS if len(word) >= n]
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+def roots_of(lexicon: dict[str, float]) -> frozenset[str]:
+    """The shortest beginnings of the lexicon's stems, to pass over most words by one look."""
+    return frozenset(s[: STEM_LENGTHS[0]] for s in lexicon)
+
+
+def features(text: str | None, lexicon: dict[str, float], roots: frozenset[str]) -> list[float]:
     if not text:
         return [0.0] * N_FEATURES
     words = tokens(text)
@@ -67,7 +72,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         plain = w
         if not w.isalpha() and _INNER.search(w):
             plain = w.translate(_LEET).replace("*", "")
-        best = max((lexicon.get(s, 0.0) for s in stems(plain)), default=0.0)
+        best = max((lexicon.get(s, 0.0) for s in stems(plain)), default=0.0) if plain[: STEM_LENGTHS[0]] in roots else 0.0
         abusive = plain in ABUSE
         if best or abusive:
             weight[w] = best
@@ -130,15 +135,15 @@ def induce_lexicon(sample: DataFrame) -> dict[str, float]:
 
 
 def _features_of(batch: pa.RecordBatch, text: str, lexicon: dict[str, float]) -> np.ndarray:
-    texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-    return np.array([features(t, lexicon) for t in texts], dtype=np.float64).reshape(len(texts), N_FEATURES)
+    texts, roots = batch.column(batch.schema.get_field_index(text)).to_pylist(), roots_of(lexicon)
+    return np.array([features(t, lexicon, roots) for t in texts], dtype=np.float64).reshape(len(texts), N_FEATURES)
 
 
-def learn(train: DataFrame, most: int = TRAIN_DOCS) -> tuple[dict[str, float], Boosted]:
-    """Lexicon and calibrated trees. ``train``: doc_id, text, label (0 or 1)."""
-    spark = train.sparkSession
+def learn(sample: DataFrame) -> tuple[dict[str, float], Boosted]:
+    """Lexicon and calibrated trees. ``sample``: a bounded number of rows with doc_id, text and label (0 or 1)."""
+    spark = sample.sparkSession
     small_batches(spark)
-    sample = bounded_sample(train.where(F.col("label").isin(0, 1)), most).select("doc_id", "text", "label")
+    sample = sample.select("doc_id", "text", "label")
     lexicon = induce_lexicon(sample.select("text", "label"))
     shared = spark.sparkContext.broadcast(lexicon)
 
@@ -172,10 +177,16 @@ def score(docs: DataFrame, model: tuple[dict[str, float], Boosted], text: str =
     return kept.mapInArrow(run, f"{fields}, score double, predicted int")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, which: str, folds: int, fold: int) -> DataFrame:
-    """The documents to learn from, with their label."""
-    one = labels.where(F.col(which).isNotNull()).groupBy("doc_id").agg(F.max(which).cast("int").alias("label"))
-    return docs.where(~held_out(F.col("doc_id"), folds, fold)).select("doc_id", "text").join(one, "doc_id")
+def labelled(docs: DataFrame, labels: DataFrame, which: str, folds: int, fold: int, most: int = TRAIN_DOCS, by_label: bool = False) -> DataFrame:
+    """Documents to learn from, with their label and ``of``, the number of labels (of that value) that the sample is from.
+
+    The sample, of about ``most`` rows (of each value), is taken from the labels, whose
+    bounded number of ids is then broadcast, so that no text is shuffled.
+    """
+    one = labels.where(F.col(which).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(which).cast("int").alias("label"))
+    one = staged(one.where(~held_out(F.col("doc_id"), folds, fold)), "labels")
+    sample = bounded_sample(one, most, *["label"] * by_label).withColumnRenamed("_n", "of")
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
