@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import read_table, staged, word_count
 
-#: Bundles at most; as parts of a shard, the largest group that stays in its bundle and the largest that isn't cut.
+#: Bundles at most; as parts of a shard, the largest group that stays in its bundle and the largest that isn't cut
+#: (a larger one is cut into pieces of the size that stays in bundles).
 BUNDLES, LARGEST, CUT = 16_384, 1 / 16, 1 / 2
 DIMENSIONS = ("bytes", "tokens", "rows")
+#: What each dimension counts in the dot product; the law that the shards promise is on bytes.
+WEIGHTS = (1.0, 0.25, 0.25)
 
 
 def measured(docs: DataFrame, overhead: int = 16) -> DataFrame:
@@ -43,20 +46,20 @@ def _sums(df: DataFrame, *by: Column | str) -> DataFrame:
     return df.groupBy(*by).agg(F.sum("_size").alias("bytes"), F.sum("_tokens").alias("tokens"), F.count("*").alias("rows"))
 
 
-def pack(demands: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item. Demands and capacities are in parts of a shard, per dimension."""
+def pack(demands: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
+    """The shard of each item. Demands and capacities are in parts of a shard, per dimension; the dot product is weighted."""
     total = demands.sum(axis=0)
     demands = demands / np.where(total > 0, total / shards, 1)
     residual = np.ones((shards, demands.shape[1]))
     out = np.empty(len(demands), dtype=np.int64)
     for i in np.lexsort((np.arange(len(demands)), -demands.max(axis=1))):
-        out[i] = best = int(np.argmax(residual @ demands[i]))
+        out[i] = best = int(np.argmax(residual @ (demands[i] * weights)))
         residual[best] -= demands[i]
     return out
 
 
 def assign(narrow: DataFrame, shards: int, rows: DataFrame | None = None, bundles: int = BUNDLES, largest: float = LARGEST, cut_above: float = CUT) -> DataFrame:
-    """The rows (or those of ``narrow``) with ``shard`` and ``slot``; both have the columns of ``measured``, ``narrow`` is staged.
+    """The rows (or those of ``narrow``) with ``_shard`` and ``_slot``; both have the columns of ``measured``, ``narrow`` is staged.
 
     At most ``bundles`` + 3 * shards / largest + as many pieces are collected and broadcast.
     """
@@ -65,7 +68,7 @@ def assign(narrow: DataFrame, shards: int, rows: DataFrame | None = None, bundle
     sums = {r[0]: np.array(r[1:], dtype=float) for r in _sums(narrow, bundle.alias("bundle")).collect()}
     rows = narrow if rows is None else rows
     if not sums:
-        return rows.withColumn("shard", F.lit(None).cast("int")).withColumn("slot", F.lit(None).cast("long"))
+        return rows.withColumn("_shard", F.lit(None).cast("int")).withColumn("_slot", F.lit(None).cast("long"))
     share = sum(sums.values()) / shards * largest
     heavy = [b for b, v in sums.items() if (v > share).any()]
     over = " OR ".join(f"{d} > {share[k]:.6f}D" for k, d in enumerate(DIMENSIONS))
@@ -73,7 +76,8 @@ def assign(narrow: DataFrame, shards: int, rows: DataFrame | None = None, bundle
     pieces = {}
     for b, g, *v in groups:
         v = np.array(v, dtype=float)
-        pieces[g] = max(1, int(np.ceil(np.max(v / np.maximum(share, 1e-9)) * largest / cut_above)))
+        part = np.max(v / np.maximum(share, 1e-9))
+        pieces[g] = int(np.ceil(part)) if part * largest > cut_above else 1
     cut = spark.createDataFrame([(g, n) for g, n in pieces.items()], "_large long, _pieces int")
 
     def by_item(df: DataFrame) -> DataFrame:
@@ -90,9 +94,9 @@ def assign(narrow: DataFrame, shards: int, rows: DataFrame | None = None, bundle
     for r, s in zip(exact, shard):
         offset.append(int(first[s]))
         first[s] += int(r[5])
-    placed = spark.createDataFrame([(*r[:3], int(s), o) for r, s, o in zip(exact, shard, offset)], "_bundle int, _large long, _piece int, shard int, _first long")
+    placed = spark.createDataFrame([(*r[:3], int(s), o) for r, s, o in zip(exact, shard, offset)], "_bundle int, _large long, _piece int, _shard int, _first long")
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "_group"))
-    out = by_item(rows).join(F.broadcast(placed), list(key)).withColumn("slot", F.col("_first") + rank - 1)
+    out = by_item(rows).join(F.broadcast(placed), list(key)).withColumn("_slot", F.col("_first") + rank - 1)
     return out.drop(*key, "_first", "_pieces")
 
 
@@ -108,8 +112,8 @@ RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 def _result(df: DataFrame) -> DataFrame:
     return df.withColumns({
-        "size": F.col("_size"), "text_crc32": F.col("_crc"), "law": F.lit("bytes"), "shard": F.col("shard").cast("int"),
-        "slot": F.col("slot").cast("long"), "grown_shard": F.lit(None).cast("int"),
+        "size": F.col("_size"), "text_crc32": F.col("_crc"), "law": F.lit("bytes"), "shard": F.col("_shard").cast("int"),
+        "slot": F.col("_slot").cast("long"), "grown_shard": F.lit(None).cast("int"),
     })
 
 
