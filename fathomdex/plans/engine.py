@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import VERSION
 from ..config import Root, Settings, build_roots
 from ..functions import paths, text
+from ..logs import to_file
 from ..operators import changes, chunking, embedding, reading, search
 from ..schemas import EXTRACTED, INDEX, REGISTRY
 from ..sources import listing
@@ -35,6 +36,30 @@ class Engine:
         self.state, self.last_error = "activo", None
         listing.register(spark)
 
+    def warm_up(self) -> None:
+        """Loads the provider's model, so that the first search doesn't wait for it."""
+        self.provider.embed(["warm up"])
+
+    def start(self, watching: bool = True):
+        """Warms up, brings the index up to date, and watches the folders; returns the running stream, if any.
+
+        Without folders there is nothing to index. Errors are kept in the status.
+        """
+        from ..streaming.watch import watch
+
+        log = to_file(f"{self.settings.data_dir}/logs")
+        self.state = "iniciando"
+        try:
+            self.warm_up()
+            if self.settings.roots:
+                log.info("indexed", extra={"extra": self.index()})
+        except Exception as e:
+            self.state, self.last_error = "error", str(e)
+            log.exception("start failed")
+        else:
+            self.state = "activo"
+        return watch(self) if watching and self.settings.roots else None
+
     # Indexing
 
     def files(self, folders: Sequence[str] | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """The engine over folders made here: full, incremental and streaming runs."""
 
+import json
 import os
 import time
 
@@ -7,6 +8,9 @@ import pytest
 
 from fathomdex.cli import main, parser
 from fathomdex.config import Settings
+from fathomdex.logs import to_file
+from fathomdex.operators.approximate import approximate_top_k
+from fathomdex.operators.search import top_k
 from fathomdex.plans.engine import Engine, NotFound
 from fathomdex.streaming.watch import watch
 
@@ -127,3 +131,23 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["read", "none", *where]) == 1
     assert main(["search", *where]) == 1
     assert parser().parse_args(["list", "--in", "x"]).within == "x"
+
+
+def test_start_and_logs(spark, tmp_path):
+    put(str(tmp_path / "c"), "x.txt", "hello there")
+    engine = Engine(spark, Settings(folders=(str(tmp_path / "c"),), data_dir=str(tmp_path / "d")))
+    assert engine.start(watching=False) is None and engine.status()["documentos_indexados"] == 1
+    lines = [json.loads(x) for x in open(tmp_path / "d" / "logs" / "fathomdex.log")]
+    assert lines[-1]["msg"] == "indexed" and lines[-1]["indexados"] == 1
+    log = to_file(str(tmp_path / "small"), 300)
+    for _ in range(20):
+        log.info("x" * 100)
+    assert sorted(os.listdir(tmp_path / "small")) == ["fathomdex.log", "fathomdex.log.1", "fathomdex.log.2"]
+
+
+def test_approximate_search(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    query = items.where("vec_id = 0").first()["embedding"]
+    exact = [r["vec_id"] for r in top_k(items, [(0, query)], 5, ("vec_id",), "embedding").orderBy("rank").collect()]
+    got = [r["vec_id"] for r in approximate_top_k(items, query, 5, ("vec_id",), "embedding").collect()]
+    assert got[0] == 0 and len(set(got) & set(exact)) >= 3
