@@ -32,7 +32,7 @@ def test_stages(spark, docs, folder):
     leaks = {1000, 1001}
     rows += [(k, f"{syll(rng, 30)} {item} {syll(rng, 30)}", "en", "s1") for k in sorted(leaks)]
     text = syll(rng, 300)
-    rows += [(2000, text, "en", "s2"), (2001, text, "en", None), (2002, text.replace(text.split()[7], "zzz"), "en", "s2")]
+    rows += [(2000, text, "en", "s2"), (2001, text, "en", None), (2002, " ".join([*text.split()[:7], "zzz", *text.split()[8:]]), "en", "s2")]
     rows += [(3000, None, "en", "s0"), (3001, "", "en", "s0")]
     where = folder(documents=docs(rows), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([(5, item)], "item_id long, text string"))
     seen = []
