@@ -42,6 +42,7 @@ def decimal_entities(text: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
+    # These patterns and what replaces them, in this order.
     x = F.regexp_replace(html, r"(?is)<script.*?</script>", " ")
     x = F.regexp_replace(x, r"(?is)<style.*?</style>", " ")
     x = F.regexp_replace(x, r"(?i)</(?:p|div|br|li|tr|h[1-6])>", "\n")
@@ -53,6 +54,7 @@ def html_to_text(html: Column) -> Column:
 
 
 def office_xml_to_text(xml: Column) -> Column:
+    # These patterns and what replaces them, in this order.
     x = F.regexp_replace(xml, r"<text:tab/?>", "\t")
     x = F.regexp_replace(x, r"<text:line-break/?>|</text:p>|</a:p>|<a:br/?>", "\n")
     x = F.regexp_replace(x, r"<[^>]+>", " ")

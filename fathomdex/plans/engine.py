@@ -23,6 +23,10 @@ from ..sources.store import Store
 _PAGE = pa.list_(pa.struct([("page", pa.int32()), ("text", pa.string())]))
 
 
+#: Files that a task extracts at most, on average.
+FILES_PER_TASK = 200
+
+
 class NotFound(LookupError):
     pass
 
@@ -135,10 +139,10 @@ class Engine:
         roots = list(self.settings.roots)
         work = f"{self.settings.index_dir}/work/{uuid.uuid4().hex}"
         try:
-            cores = self.spark.sparkContext.defaultParallelism
-            files.select("path", "size", "mtime_ns").repartition(4 * cores).write.parquet(f"{work}/files")
+            files.select("path", "size", "mtime_ns").write.parquet(f"{work}/files")
             listed = self.spark.read.parquet(f"{work}/files")
-            self.extracted(listed).write.parquet(f"{work}/extracted")
+            tasks = max(4 * self.spark.sparkContext.defaultParallelism, listed.count() // FILES_PER_TASK)
+            self.extracted(listed.repartition(tasks)).write.parquet(f"{work}/extracted")
             done = self.spark.read.schema(EXTRACTED).parquet(f"{work}/extracted").join(listed, "path")
             good = done.where("error IS NULL")
             base = good.select(
@@ -147,22 +151,21 @@ class Engine:
             )
             chunks = chunking.explode_chunks(base.where("NOT sin_ocr"), size=self.size, overlap=self.overlap)
             chunks = embedding.embedded(chunks, embedding.passage(F.col("texto")) if not isinstance(self.provider, embedding.HashProvider) else F.col("texto"), self.provider)
-            chunks.select(
+            draft = self.store.draft()
+            new = draft.put("index", chunks.select(
                 "doc_id", "chunk_id", "vector", "texto", paths.base_name(F.col("path")).alias("fichero"), "ruta_relativa", "raiz", F.col("page").alias("pagina"),
                 F.timestamp_micros((F.col("mtime_ns") / 1000).cast("long")).alias("fecha_modificacion"),
-            ).write.parquet(f"{work}/chunks")
-            new = self.spark.read.schema(INDEX).parquet(f"{work}/chunks")
+            ))
             counts = new.groupBy("doc_id").agg(F.count("*").cast("int").alias("num_chunks"))
             entries = base.drop("pages").join(counts, "doc_id", "left").withColumn("num_chunks", F.coalesce("num_chunks", F.lit(0)))
-            entries.write.parquet(f"{work}/entries")
-            entries = self.spark.read.schema(REGISTRY).parquet(f"{work}/entries")
-            removed = entries.select("doc_id")
-            deletes = {"index": removed}
+            entries = draft.put("registry", entries)
+            draft.remove("index", entries.select("doc_id"))  # a document may have lost all its chunks
             if gone is not None:
                 gone.write.parquet(f"{work}/gone")
                 gone = self.spark.read.schema("path string").parquet(f"{work}/gone")
-                deletes = {"index": removed.union(gone.select(paths.doc_id(F.col("path")))), "registry": gone}
-            self.store.commit({"index": new, "registry": entries}, deletes)
+                draft.remove("registry", gone)
+                draft.remove("index", gone.select(paths.doc_id(F.col("path"))))
+            draft.publish()
             state = F.when(F.col("error") == "no_existe", "omitido").when(F.col("error").isNotNull(), "error").when(F.col("sin_ocr"), "sin_ocr")
             outcome = done.select("path", "error", "sin_ocr").join(entries.select("path", "num_chunks"), "path", "left")
             state = state.when(F.col("num_chunks") == 0, "vacio").otherwise("indexado")

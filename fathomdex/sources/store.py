@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,49 @@ from pyspark.sql import functions as F
 COMPACT_AT = 32
 
 
+class Draft:
+    """A commit in the making: segments are written where they will stay, and count once it is published."""
+
+    def __init__(self, store: "Store"):
+        self.store, self.manifest = store, store.manifest()
+        self.version = self.manifest["version"] + 1
+        self.new: dict[str, str] = {}
+        self.keys: dict[str, list[DataFrame]] = {}
+
+    def put(self, table: str, rows: DataFrame) -> DataFrame:
+        """Writes rows that replace those of the same keys, and returns them as written."""
+        schema, key = self.store.tables[table]
+        path = f"{table}/segment-{self.version}-{uuid.uuid4().hex[:8]}"
+        names = self.store.spark.createDataFrame([], schema).columns
+        # a lookup by key passes over row groups by their Bloom filters
+        writer = rows.select(*names, F.lit(self.version).cast("long").alias("_segment")).write.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        writer.parquet(f"{self.store.folder}/{path}")
+        written = self.store.spark.read.schema(schema).parquet(f"{self.store.folder}/{path}")
+        self.new[table] = path
+        self.remove(table, written.select(key))
+        return written
+
+    def remove(self, table: str, keys: DataFrame) -> None:
+        """Hides the rows of these keys (a table of one column) in earlier segments."""
+        self.keys.setdefault(table, []).append(keys.toDF("_key"))
+
+    def publish(self) -> dict:
+        for table, keys in self.keys.items():
+            state = self.manifest["tables"][table]
+            if state["segments"]:
+                path = f"{table}/deleted-{self.version}-{uuid.uuid4().hex[:8]}"
+                whole = reduce(DataFrame.union, keys).distinct()
+                whole.withColumn("_before", F.lit(self.version).cast("long")).write.parquet(f"{self.store.folder}/{path}")
+                state["deleted"].append(path)
+        for table, path in self.new.items():
+            self.manifest["tables"][table]["segments"].append(path)
+        self.manifest["version"] = self.version
+        self.store._publish(self.manifest)
+        if any(len(s["segments"]) + len(s["deleted"]) >= COMPACT_AT for s in self.manifest["tables"].values()):
+            return self.store.compact()
+        return self.manifest
+
+
 class Store:
     """``tables``: schema and key column by name."""
 
@@ -70,32 +114,17 @@ class Store:
             rows = rows.join(gone, (F.col(key) == F.col("_key")) & (F.col("_segment") < F.col("_before")), "left_anti")
         return rows.drop("_segment")
 
-    def commit(self, upserts: Mapping[str, DataFrame] | None = None, deletes: Mapping[str, DataFrame] | None = None) -> dict:
-        """Replaces the rows of the keys in ``upserts`` and removes the keys in ``deletes`` (of one column), in all tables at once.
+    def draft(self) -> "Draft":
+        return Draft(self)
 
-        Both must be written tables, as they are read more than once.
-        """
-        manifest = self.manifest()
-        version = manifest["version"] + 1
-        for table, (schema, key) in self.tables.items():
-            state = manifest["tables"][table]
-            new, gone = (upserts or {}).get(table), (deletes or {}).get(table)
-            keys = [d for d in (new.select(F.col(key).alias("_key")) if new is not None else None, gone.toDF("_key") if gone is not None else None) if d is not None]
-            if keys and state["segments"]:
-                all_keys = keys[0] if len(keys) == 1 else keys[0].union(keys[1])
-                path = f"{table}/deleted-{version}-{uuid.uuid4().hex[:8]}"
-                all_keys.distinct().withColumn("_before", F.lit(version).cast("long")).write.parquet(f"{self.folder}/{path}")
-                state["deleted"].append(path)
-            if new is not None:
-                path = f"{table}/segment-{version}-{uuid.uuid4().hex[:8]}"
-                names = [f.name for f in self.spark.createDataFrame([], schema).schema]
-                new.select(*names, F.lit(version).cast("long").alias("_segment")).write.parquet(f"{self.folder}/{path}")
-                state["segments"].append(path)
-        manifest["version"] = version
-        self._publish(manifest)
-        if any(len(s["segments"]) + len(s["deleted"]) >= COMPACT_AT for s in manifest["tables"].values()):
-            return self.compact()
-        return manifest
+    def commit(self, upserts: Mapping[str, DataFrame] | None = None, deletes: Mapping[str, DataFrame] | None = None) -> dict:
+        """Replaces the rows of the keys in ``upserts`` and removes the keys in ``deletes`` (of one column), in all tables at once."""
+        draft = self.draft()
+        for table, rows in (upserts or {}).items():
+            draft.put(table, rows)
+        for table, keys in (deletes or {}).items():
+            draft.remove(table, keys)
+        return draft.publish()
 
     def compact(self) -> dict:
         manifest = self.manifest()
