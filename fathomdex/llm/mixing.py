@@ -9,8 +9,9 @@ of its id and text, so that reruns agree.
 
 Defined cases: a null text has size 0 and keeps its copies; a null source is a
 source of its own and comes last; repeated rows draw the same number; when all
-sizes are 0, every rate is 0; an empty table gives an empty result; columns of the
-input keep their names and win over the plan's (which are prefixed).
+sizes are 0, every rate is 0; an empty table gives an empty result; ``mix`` returns
+the input's columns whatever their names, while in ``plan_copies`` the plan's columns
+(which begin with an underscore) replace any of the same names.
 """
 
 from __future__ import annotations
@@ -78,8 +79,9 @@ def plan_copies(docs: DataFrame, weight: Callable[[Column], Column] = cycling_we
 
 def mix(docs: DataFrame, weight: Callable[[Column], Column] = cycling_weights, most: float = 3.0, seed: str = "mix") -> DataFrame:
     """The mixed corpus: each document as often as ``plan_copies`` says, with the columns of ``docs``."""
-    planned = plan_copies(docs, weight, most, seed).where("_copies > 0")
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[planned[f"`{c}`"] for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    planned = plan_copies(docs.select(whole, "doc_id", "text", "source"), weight, most, seed).where("_copies > 0")
+    return planned.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,9 +102,10 @@ def assign(narrow: DataFrame, shards: int, rows: DataFrame | None = None, bundle
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """``docs`` with size, text_crc32, law, shard, slot and grown_shard. Texts are moved once, to their items."""
-    rows = measured(docs)
-    placed = assign(staged(rows.select("doc_id", "_size", "_tokens", "_crc", "_group"), "measured"), shards, rows)
-    return _result(placed).select(*[c for c in docs.columns if c not in RESULT], *RESULT)
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULT]).alias("_row")
+    rows = measured(docs.select(kept, "doc_id", "text")).drop("text")
+    placed = assign(staged(rows.drop("_row"), "measured"), shards, rows)
+    return _result(placed).select("_row.*", *RESULT)
 
 
 RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -56,8 +56,9 @@ def test_targets_and_copies(spark, docs, folder, seed):
 def test_mixed_rows(spark, docs):
     df = docs([(i, t, "en", "a" if i % 2 else "b") for i, t in enumerate(ODD)])
     plan = {(r["doc_id"]): r["_copies"] for r in mixing.plan_copies(df).collect()}
+    df = df.withColumn("_size", df["doc_id"]).withColumn("_copies", df["text"])
     out = mixing.mix(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and all(r["_size"] == r["doc_id"] and r["_copies"] == r["text"] for r in out.collect())
     assert Counter(r["doc_id"] for r in out.collect()) == Counter({k: n for k, n in plan.items() if n})
     assert mixing.mix(df.where("false")).count() == 0
     assert mixing.mix(docs([(1, None), (2, "")])).count() == 0
@@ -95,7 +96,8 @@ def test_groups_stay_together(spark, docs):
 def test_odd_shards(spark, docs):
     rows = dict(enumerate(ODD))
     df = docs(list(rows.items()))
-    out = sharding.shard_documents(df.withColumn("shard", df["doc_id"]))
+    out = sharding.shard_documents(df.withColumn("shard", df["doc_id"]).withColumn("_size", df["text"]))
+    assert all(r["_size"] == r["text"] for r in out.collect())
     got = out.collect()
     assert len(got) == len(rows) and out.columns[:3] == ["doc_id", "text", "lang"]
     check_shards(rows, got)
