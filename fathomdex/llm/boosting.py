@@ -61,10 +61,10 @@ class Boosted:
             f += leaf[where]
         return f
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> "Boosted":
-        """Isotonic regression of the label on the margin, over rows that the trees were not fitted to."""
+    def calibrate(self, margins: np.ndarray, y: np.ndarray) -> "Boosted":
+        """Isotonic regression of the label on margins of rows that the trees they are from were not fitted to."""
         if 0 < y.sum() < len(y):
-            self.knots = isotonic(self.margin(x), y)
+            self.knots = isotonic(margins, y)
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:

@@ -2,11 +2,12 @@
 
 Features: densities of a fixed and of an induced lexicon, nearness of their words
 to second-person words, capitals, punctuation and obfuscation rates, and a few
-measures of length. The induced lexicon holds beginnings of words that occur in
+measures of length. The induced lexicon holds words and beginnings of words that occur in
 toxic training documents far more often than in others.
 
 Learned from at most about ``TRAIN_DOCS`` labelled documents, picked by hash of the
-id (all, where there are fewer); a third of them calibrates and is kept from the trees.
+id (all, where there are fewer). The calibration is fitted to margins that each document
+gets from trees that haven't seen it; the lexicon is induced from all of them.
 
 Defined cases: null and empty texts have all features 0 and get the score of
 that; null labels are not learned from, of conflicting ones the largest counts;
@@ -31,7 +32,8 @@ from .common import bounded_sample, held_out, read_table, small_batches, staged
 
 TRAIN_DOCS = 12_000
 THRESHOLD = 0.7
-LEXICON_SIZE, STEM_LENGTHS = 400, (4, 5, 6)
+FOLDS = 4
+LEXICON_SIZE, STEM_LENGTHS, LEAST_ODDS = 800, (4, 5, 6, 8), 1.8
 
 #: Words of abuse and of address; short lists written for this operator.
 ABUSE = frozenset("idiot idiots stupid moron morons loser losers clown pathetic worthless disgusting scum trash garbage dumb ugly hate kill crap damn fool liar filth vermin idiota imbécil estúpido basura asco idiote imbécile stupide ordure crétin idioten dumm blöd dreck abschaum".split())
@@ -51,7 +53,8 @@ def tokens(text: str) -> list[str]:
 
 
 def stems(word: str) -> list[str]:
-    return [word[:n] for n in STEM_LENGTHS if len(word) >= n]
+    """The word and its beginnings."""
+    return [word[:n] for n in STEM_LENGTHS if len(word) > n] + [word] * (len(word) >= STEM_LENGTHS[0])
 
 
 def roots_of(lexicon: dict[str, float]) -> frozenset[str]:
@@ -129,7 +132,7 @@ def induce_lexicon(sample: DataFrame) -> dict[str, float]:
         return {}
     n1, n0 = totals[0]["a"], max(1, totals[0]["b"])
     odds = F.log((F.col("a") + 0.5) / n1) - F.log((F.col("b") + 0.5) / n0)
-    kept = counts.where((F.col("stem") != "") & (F.col("a") >= max(3, n1 // 100)) & (odds > 2.5))
+    kept = counts.where((F.col("stem") != "") & (F.col("a") >= max(3, n1 // 100)) & (odds > LEAST_ODDS))
     top = kept.select("stem", odds.alias("odds"), "a").orderBy(F.desc(odds * F.sqrt("a")), "stem").limit(LEXICON_SIZE)
     return {r["stem"]: float(r["odds"]) for r in top.collect()}
 
@@ -152,12 +155,15 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], Boosted]:
             x = _features_of(batch, "text", shared.value)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    rows = sample.mapInArrow(run, "doc_id long, label int, x array<double>").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3))).toArrow()
+    rows = sample.mapInArrow(run, "doc_id long, label int, x array<double>").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS))).toArrow()
     x = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(-1, N_FEATURES)
     y, fold = rows["label"].to_numpy().astype(float), rows["fold"].to_numpy()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")  # sums of floats don't depend on the order of tasks
     x, y, fold = x[order], y[order], fold[order]
-    return lexicon, Boosted().fit(x[fold > 0], y[fold > 0]).calibrate(x[fold == 0], y[fold == 0])
+    margins = np.zeros(len(y))
+    for k in range(FOLDS):  # each row's margin from trees that didn't see it
+        margins[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
+    return lexicon, Boosted().fit(x, y).calibrate(margins, y)
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], Boosted], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -97,7 +97,8 @@ def test_boosting_and_isotonic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5))
     y = ((x[:, 0] > 0.3) & (x[:, 1] < 0.5) | (x[:, 2] > 1.5)).astype(float)
-    m = boosting.Boosted().fit(x[:3000], y[:3000]).calibrate(x[2000:3000], y[2000:3000])
+    m = boosting.Boosted().fit(x[:2000], y[:2000])
+    m.calibrate(m.margin(x[2000:3000]), y[2000:3000])
     assert ((m.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.97
     knots = boosting.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert knots[1].tolist() == [0, 0.5, 1] and knots[0].tolist() == [1, 2.5, 4]
