@@ -119,8 +119,10 @@ class Engine:
         if not roots:
             raise ValueError("no folders: set them or name one")
         self.state = "indexando"
+        work = self._work()
         try:
-            found = changes.compare(self.files(folders), self.store.read("registry"))
+            changes.compare(self.files(folders), self.store.read("registry")).write.parquet(work)  # folders are listed once
+            found = self.spark.read.parquet(work)
             inside = F.lit(False)
             for root in roots:
                 inside = inside | paths.under(F.col("path"), root.path)
@@ -131,13 +133,21 @@ class Engine:
         except Exception as e:
             self.state, self.last_error = "error", str(e)
             raise
+        finally:
+            self._drop(work)
         self.state = "activo"
         return {"carpetas": [r.path for r in roots], **summary}
 
+    def _work(self) -> str:
+        return f"{self.settings.index_dir}/work/{uuid.uuid4().hex}"
+
+    def _drop(self, work: str) -> None:
+        self.store._fs.delete(self.store._at(work.removeprefix(self.store.folder + "/")), True)
+
     def _apply(self, files: DataFrame, gone: DataFrame | None = None) -> dict:
         """Extracts, chunks and embeds the files and commits them, together with what is gone."""
         roots = list(self.settings.roots)
-        work = f"{self.settings.index_dir}/work/{uuid.uuid4().hex}"
+        work = self._work()
         try:
             files.select("path", "size", "mtime_ns").write.parquet(f"{work}/files")
             listed = self.spark.read.parquet(f"{work}/files")
@@ -171,7 +181,7 @@ class Engine:
             state = state.when(F.col("num_chunks") == 0, "vacio").otherwise("indexado")
             return reading.run_summary(outcome.select(state.alias("estado"), F.col("num_chunks").alias("fragmentos"))).first().asDict()
         finally:
-            self.store._fs.delete(self.store._at(work.removeprefix(self.store.folder + "/")), True)
+            self._drop(work)
 
     def apply_changes(self, events: DataFrame) -> dict:
         """Applies a batch of file changes; of several for one path the last counts."""
