@@ -47,7 +47,7 @@ def shape(text: str) -> list[float]:
     n, chars = max(1, len(words)), max(1, len(text))
     counts = Counter(words)
     lines = text.split("\n")
-    letters = sum(map(str.isalpha, text)) if chars <= 4000 else sum(map(str.isalpha, text[:: chars // 2000])) * (chars // 2000)
+    letters = sum(map(str.isalpha, text))
     symbols = sum(text.count(c) for c in "#$%&*@^~=<>|{}[]\\_+")
     top = counts.most_common(1)[0][1] if counts else 0
     return [

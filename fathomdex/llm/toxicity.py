@@ -95,7 +95,7 @@ def features(text: str | None, lexicon: dict[str, float], roots: frozenset[str])
             gap = np.minimum(np.abs(y[np.minimum(pos, len(y) - 1)] - at), np.abs(y[np.maximum(pos - 1, 0)] - at))
             near = int((gap <= 5).sum())
     chars = len(text)
-    upper = sum(map(str.isupper, text)) if chars < 400 else sum(map(str.isupper, text[:: max(1, chars // 4000)])) * max(1, chars // 4000)
+    upper = sum(map(str.isupper, text))
     marks = text.count("!"), text.count("?"), text.count(",") + text.count(".") + text.count(";") + text.count(":")
     return [
         fixed / n, math.log1p(fixed), hits / n, math.log1p(hits), total / n, math.log1p(total), strongest, len(bad) / max(1, len(distinct)),
