@@ -13,11 +13,12 @@ from .config import Settings, parse_folders
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="fathomdex", description=__doc__)
-    p.add_argument("command", nargs="?", default="status", choices=("index", "watch", "search", "read", "list", "status"))
-    p.add_argument("words", nargs="*", help="the query, or a document's id")
+    p.add_argument("command", nargs="?", default="status", choices=("index", "watch", "search", "read", "list", "status", "call"))
+    p.add_argument("words", nargs="*", help="the query, a document's id, or a tool's name and its arguments as JSON")
     p.add_argument("--folder", action="append", default=[])
     p.add_argument("--folders", default="", help="several, separated by semicolons, commas or newlines")
     p.add_argument("--data-dir")
+    p.add_argument("--silent", "-s", action="store_true", help="the same as index")
     p.add_argument("--force", action="store_true")
     p.add_argument("--prune", action="store_true")
     p.add_argument("--results", type=int)
@@ -29,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     """Exit code 0; 1 after errors; 2 if no folder is named to index or watch."""
     args = parser().parse_args(argv)
+    if args.silent:
+        args.command = "index"
     settings = Settings.from_env()
     folders = [*args.folder, *parse_folders(args.folders)]
     settings = replace(settings, folders=tuple(folders) or settings.folders, data_dir=args.data_dir or settings.data_dir)
@@ -55,6 +58,12 @@ def main(argv: list[str] | None = None) -> int:
             show([r.asDict() for r in engine.search(" ".join(args.words), args.results, args.within).collect()])
         elif args.command == "read":
             show(engine.document(args.words[0]))
+        elif args.command == "call":
+            from .plans.tools import Tools
+
+            result = Tools(engine).call(args.words[0], json.loads(args.words[1]) if args.words[1:] else {})
+            show(result["structuredContent"])
+            return int("isError" in result)
         elif args.command == "list":
             show([r.asDict() for r in engine.documents(args.within).collect()])
         else:

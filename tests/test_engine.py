@@ -12,6 +12,7 @@ from fathomdex.logs import to_file
 from fathomdex.operators.approximate import approximate_top_k
 from fathomdex.operators.search import top_k
 from fathomdex.plans.engine import Engine, NotFound
+from fathomdex.plans.tools import Tools
 from fathomdex.streaming.watch import watch
 
 
@@ -94,6 +95,25 @@ def test_engine(engine):
     assert engine.index(force=True)["indexados"] == 3 and chunks(engine) == before
 
 
+def test_tools(engine):
+    tools = Tools(engine)
+    run = lambda name, **args: tools.call(name, args)
+    made = run("indexar_carpeta")["structuredContent"]
+    assert set(made) == {"carpetas", "indexados", "sinCambios", "sinOcr", "omitidos", "errores", "fragmentosNuevos"}
+    found = run("buscar_documentos", query=" red house ", n_resultados=1)["structuredContent"]
+    assert found["query"] == "red house" and found["n_resultados"] == 1
+    hit = found["fragmentos"][0]
+    assert set(hit) == {"doc_id", "chunk_id", "texto", "fichero", "raiz", "ruta_relativa", "pagina", "fecha_modificacion", "score"} and hit["fecha_modificacion"].endswith("Z")
+    assert run("obtener_fragmento", doc_id=hit["doc_id"], chunk_id=0)["structuredContent"]["texto"] == "the red house"
+    whole = run("obtener_documento", doc_id=hit["doc_id"])["structuredContent"]
+    assert whole["texto"] == "the red house" and whole["siguiente_fragmento"] is None
+    listed = run("listar_documentos_indexados", carpeta_filtro="docs-2")["structuredContent"]
+    assert listed["total"] == 1 and listed["documentos"][0]["ruta_relativa"] == "docs-2/four.csv"
+    assert run("estado_servidor")["structuredContent"]["documentos_indexados"] == 5
+    for bad in (run("nothing"), run("buscar_documentos"), run("obtener_fragmento", doc_id="x"), run("obtener_fragmento", doc_id="x", chunk_id=1), run("obtener_documento"), run("obtener_documento", doc_id="x")):
+        assert bad["isError"] and "error" in bad["structuredContent"]
+
+
 def test_failure_keeps_what_was_indexed(engine):
     a = engine.settings.roots[0].path
     put(a, "page.csv", "k,v\nq,1\n")
@@ -130,6 +150,8 @@ def test_cli(spark, tmp_path, capsys):
     assert '"texto": "hello there"' in capsys.readouterr().out
     assert main(["read", "none", *where]) == 1
     assert main(["search", *where]) == 1
+    assert main(["call", "buscar_documentos", '{"query": "hello"}', *where]) == 0
+    assert main(["call", "nothing", *where]) == 1
     assert parser().parse_args(["list", "--in", "x"]).within == "x"
 
 
