@@ -84,6 +84,10 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(id_crc(doc_id) % folds == fold, F.lit(False))
 
 
+#: Groups whose counts may be broadcast.
+BROADCAST_GROUPS = 100_000
+
+
 def bounded_sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
     """About ``most`` rows, the same ones in each run, picked by hash of their ``doc_id``.
 
@@ -92,5 +96,9 @@ def bounded_sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
     """
     counts = rows.groupBy(*by).agg(F.count("*").alias("_n"))
     unit = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    joined = rows.join(F.broadcast(counts.limit(100_000)), list(by)) if by else rows.crossJoin(F.broadcast(counts))
+    if by:
+        counts = staged(counts, "counts")
+        joined = rows.join(F.broadcast(counts) if counts.count() <= BROADCAST_GROUPS else counts, list(by))
+    else:
+        joined = rows.crossJoin(F.broadcast(counts))  # one row
     return joined.where(unit < F.lit(float(most)) / F.col("_n"))
