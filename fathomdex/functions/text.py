@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ HTML_ENTITIES = (("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(
 OFFICE_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, even where a lambda inside uses it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim(text: Column) -> Column:
     """Without JavaScript white space at either end."""
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
@@ -90,12 +97,11 @@ def _lines(text: Column) -> Column:
 def chat_heads(text: Column) -> Column:
     """(checked, matched): of the first 40 lines that aren't blank, how many are heads of messages."""
     first = F.slice(F.filter(_lines(text), lambda x: trim(x) != ""), 1, CHAT_LINES)
-    return F.struct(F.size(first).alias("checked"), F.size(F.filter(first, lambda x: x.rlike(CHAT_HEAD))).alias("matched"))
+    return let(first, lambda f: F.struct(F.size(f).alias("checked"), F.size(F.filter(f, lambda x: x.rlike(CHAT_HEAD))).alias("matched")))
 
 
 def is_chat(text: Column) -> Column:
-    heads = chat_heads(text)
-    return (heads["checked"] > 0) & (heads["matched"] / heads["checked"] >= CHAT_SHARE)
+    return let(chat_heads(text), lambda h: (h["checked"] > 0) & (h["matched"] / h["checked"] >= CHAT_SHARE))
 
 
 def join_chat(text: Column) -> Column:
@@ -104,16 +110,18 @@ def join_chat(text: Column) -> Column:
     A head begins a new line of the result, any other line after the first head
     continues one, so the result is the pieces put together in order.
     """
-    lines = _lines(text)
-    first = F.array_position(F.transform(lines, lambda x: x.rlike(CHAT_HEAD)), True)
 
-    def piece(line: Column, i: Column) -> Column:
+    def piece(line: Column, i: Column, first: Column) -> Column:
         sender, message = F.regexp_extract(line, CHAT_HEAD, 1), F.regexp_extract(line, CHAT_HEAD, 2)
         before = (first == 0) | (i + 1 < first)
         other = F.when(~before, F.concat(F.lit(" "), trim(line))).when(trim(line) != "", F.concat(F.lit("\n"), trim(line))).otherwise(F.lit(""))
         return F.when(line.rlike(CHAT_HEAD), F.concat(F.lit("\n"), trim(sender), F.lit(": "), message)).otherwise(other)
 
-    return F.regexp_replace(F.array_join(F.transform(lines, piece), ""), r"^\n", "")
+    def joined(x: Column) -> Column:
+        return F.array_join(F.transform(x["lines"], lambda line, i: piece(line, i, x["first"])), "")
+
+    lines = let(_lines(text), lambda own: F.struct(own.alias("lines"), F.array_position(F.transform(own, lambda x: x.rlike(CHAT_HEAD)), True).alias("first")))
+    return F.regexp_replace(let(lines, joined), r"^\n", "")
 
 
 def plain_text(text: Column) -> Column:

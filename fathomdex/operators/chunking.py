@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import let, words
 
 
 def words_for(tokens: int) -> int:
@@ -22,10 +22,13 @@ def sizes(chunk_tokens: int = 512, overlap_tokens: int = 64) -> tuple[int, int]:
 def windows(text: Column, size: int, overlap: int) -> Column:
     """The windows of a page as an array of texts; the last one is the first that reaches the end."""
     step = max(1, size - overlap)
-    own = words(text)
-    count = F.when(F.size(own) == 0, 0).when(F.size(own) <= size, 1).otherwise(1 + F.ceil((F.size(own) - size) / F.lit(step))).cast("int")
-    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.array_join(F.slice(own, k * step + 1, F.lit(size)), " "))
+
+    def cut(own: Column) -> Column:
+        count = F.when(F.size(own) == 0, 0).when(F.size(own) <= size, 1).otherwise(1 + F.ceil((F.size(own) - size) / F.lit(step))).cast("int")
+        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.array_join(F.slice(own, k * step + 1, F.lit(size)), " "))
+
+    return let(words(text), cut)
 
 
 def chunk_pages(pages: Column, size: int, overlap: int) -> Column:
