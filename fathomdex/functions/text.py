@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # The white space of JavaScript's \s, which Java's \s doesn't cover.
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+SPACES = " \t\n\x0b\x0c\r\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 NO_BREAK = r"[^\n\r\x{2028}\x{2029}]"
 
 # Entities that HTML and office texts decode, in this order.
@@ -23,7 +24,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim(text: Column) -> Column:
     """Without JavaScript white space at either end."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
@@ -72,9 +73,12 @@ def office_xml_to_text(xml: Column) -> Column:
 
 def pages_from_text(text: Column) -> Column:
     """One page without a number, or none if the text is blank."""
-    trimmed = trim(F.coalesce(text, F.lit("")))
-    page = F.array(F.struct(F.lit(None).cast("int").alias("page"), trimmed.alias("text")))
-    return F.when(trimmed != "", page).otherwise(F.array().cast("array<struct<page: int, text: string>>"))
+
+    def page(t: Column) -> Column:
+        one = F.array(F.struct(F.lit(None).cast("int").alias("page"), t.alias("text")))
+        return F.when(t != "", one).otherwise(F.array().cast("array<struct<page: int, text: string>>"))
+
+    return let(trim(F.coalesce(text, F.lit(""))), page)
 
 
 def decoded(content: Column) -> Column:
