@@ -71,24 +71,19 @@ def fingerprint(text: str | None, words: int) -> int:
     return _majority(_digests(text or "", words))
 
 
-def fingerprints(docs: DataFrame, words: int, second: bool = False, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``_fp`` (the fingerprint as a signed long) and, if asked for, ``_fp2``, 64 bits more."""
+def fingerprints(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
+    """``docs`` without its text, with ``_fp`` (the fingerprint as a signed long)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = [], []
-            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                h = _digests(t or "", words)
-                one.append(_majority(h))
-                if second:
-                    two.append(_majority(_remixed(h)))
+            one = [fingerprint(t, words) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             cols = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != text]
-            cols += [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in ((one, two) if second else (one,))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*[n for n in batch.schema.names if n != text], "_fp", *["_fp2"] * second])
+            cols.append(pa.array(np.array(one, dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(cols, names=[*[n for n in batch.schema.names if n != text], "_fp"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return docs.mapInArrow(run, f"{fields}, _fp long" + ", _fp2 long" * second)
+    return docs.mapInArrow(run, f"{fields}, _fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -202,8 +197,8 @@ class Blocks:
         return ((same & (rank <= self.k)) == first).all(axis=1)
 
 
-def _linking(blocks: Blocks, r: int, both: int | None):
-    """Finds the links in buckets, whose rows come sorted by bucket."""
+def _linking(blocks: Blocks | None, r: int, both: int | None = None):
+    """Finds the links in buckets, whose rows come sorted by bucket. Without blocks, a pair may be found in several."""
 
     def links(choice: int, node: np.ndarray, fp: np.ndarray, fp2: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(gray_rank(fp), kind="stable")
@@ -214,7 +209,7 @@ def _linking(blocks: Blocks, r: int, both: int | None):
             if len(i) and both is not None:
                 near = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(fp2[i] ^ fp2[j]) <= both
                 i, j = i[near], j[near]
-            if len(i):
+            if len(i) and blocks is not None:
                 own = blocks.owned(choice, fp[i], fp[j])
                 i, j = i[own], j[own]
             if len(i) > len(fp):  # a block of many links shrinks to its forest at once
@@ -265,46 +260,178 @@ def _linking(blocks: Blocks, r: int, both: int | None):
     return run
 
 
-def link(nodes: DataFrame, r: int, both: int | None = None) -> DataFrame:
-    """Links (u, v) that join all nodes within r bits of each other (and within ``both`` over both fingerprints).
+def link(nodes: DataFrame, r: int) -> DataFrame:
+    """Links (u, v) that join all nodes within r bits of each other.
 
-    ``nodes``: a staged table of distinct (node, _fp[, _fp2]). Fingerprints are only
-    ever gathered by bucket.
+    ``nodes``: a staged table of distinct (node, _fp). Fingerprints are only ever
+    gathered by bucket.
     """
     blocks = Blocks.for_size(r, nodes.count())
-    spread = nodes.withColumn("_at", F.explode(blocks.keys(F.col("_fp")))).select("_at.choice", "_at.key", "node", "_fp", *["_fp2"] * (both is not None))
-    return spread.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_linking(blocks, r, both), "u long, v long")
+    spread = nodes.withColumn("_at", F.explode(blocks.keys(F.col("_fp")))).select("_at.choice", "_at.key", "node", "_fp")
+    return spread.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_linking(blocks, r), "u long, v long")
 
 
-def grouped(marked: DataFrame, r: int, both: int | None = None) -> DataFrame:
-    """(_node, _least): the smallest doc_id of each node's component. ``marked``: a staged table of doc_id, _fp[, _fp2], _node."""
-    fps = [c for c in ("_fp", "_fp2") if c in marked.columns]
-    nodes = staged(marked.groupBy(F.col("_node").alias("node"), *fps).agg(F.min("doc_id").alias("least")), "nodes")
-    linked = staged(link(nodes.drop("least"), r, both), "links")
+def _roots(links: DataFrame) -> DataFrame:
+    """The components of links, which are computed once."""
+    linked = staged(links, "links")
     roots = staged(components(linked), "roots")
     unstage(linked)
+    return roots
+
+
+def _least(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(_node, _least): the smallest doc_id of each node's component. ``nodes``: node, least."""
     of = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("_least"))
     return staged(of.join(least, "root").select(F.col("node").alias("_node"), "_least"), "groups")
 
 
-#: Ids of documents to drop that may be broadcast; more are dropped by a shuffled join.
+def grouped(marked: DataFrame, r: int) -> DataFrame:
+    """(_node, _least) of fingerprints within r bits. ``marked``: a staged table of doc_id, _fp, _node."""
+    nodes = staged(marked.groupBy(F.col("_node").alias("node"), "_fp").agg(F.min("doc_id").alias("least")), "nodes")
+    return _least(nodes, _roots(link(nodes.drop("least"), r)))
+
+
+#: Near-copies share NEAR[0] of NEAR[1] of the different shingles that either has.
+NEAR = (4, 5)
+#: Candidates agree on all ROWS minima of one of BANDS bands: at a similarity of 0.8 all bands fail in 4e-8 of pairs.
+ROWS, BANDS = 6, 56
+#: They also differ in no more bits than this, of 64 and of 128. At 0.8 pairs differ in 15% to 19% of bits: the bounds are 4.5 deviations off or more.
+WIDE, WIDE_BOTH = 26, 48
+#: Shingles that a part of a family of candidates holds on average; parts are verified two at a time.
+PART = 1_000_000
+
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
+_WEIGHTS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key per band of minima; sets of fewer shingles than NEAR needs to tell two sets apart have none."""
+    if len(shingles) < NEAR[0]:
+        return np.empty(0, dtype=np.int64)
+    h = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(_FACTORS), 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(0, len(h), 1024):
+        np.minimum(least, (_FACTORS[:, None] * h[None, k : k + 1024]).min(axis=1), out=least)
+    mixed = (_remixed(least.astype(np.uint64).reshape(BANDS, ROWS) + np.uint64(1)) * _WEIGHTS).sum(axis=1, dtype=np.uint64)
+    return _remixed(mixed + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text to doc_id, ``_node`` (a hash of the set of shingles), ``_n`` of them, 128 bits, band keys and the sorted hashes."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["text"]
+            for at in range(0, batch.num_rows, 100):
+                sets = [np.unique(_digests(t or "", words)) for t in texts.slice(at, 100).to_pylist()]
+                node = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
+                one, two = [_majority(x) for x in sets], [_majority(_remixed(x)) for x in sets]
+                longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (node, one, two)]
+                n = pa.array([len(x) for x in sets], type=pa.int64())
+                keys = pa.array([_band_keys(x) for x in sets], type=pa.list_(pa.int64()))
+                raw = pa.array([x.tobytes() for x in sets], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, 100), longs[0], n, *longs[1:], keys, raw], names=["doc_id", "_node", "_n", "_fp", "_fp2", "_keys", "_set"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, _node long, _n long, _fp long, _fp2 long, _keys array<long>, _set binary")
+
+
+def near_sets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all sets with a Jaccard similarity of NEAR or more, each of them such a pair.
+
+    A set is only held against larger ones that it isn't joined with yet.
+    """
+    sizes = np.array([len(x) for x in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    ends = np.cumsum(sizes)
+    number = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+    mark = np.zeros(int(number.max()) + 1, dtype=bool)
+    label = np.arange(len(sets))
+    u, v = [], []
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, np.searchsorted(sizes * NEAR[0], sizes[i] * NEAR[1], side="right"))
+        j = j[label[j] != label[i]]
+        if not len(j):
+            continue
+        mine = number[ends[i] - sizes[i] : ends[i]]
+        mark[mine] = True
+        starts = np.cumsum(sizes[j]) - sizes[j]
+        places = np.arange(int(sizes[j].sum())) + np.repeat(ends[j] - sizes[j] - starts, sizes[j])
+        shared = np.add.reduceat(mark[number[places]], starts, dtype=np.int64)
+        mark[mine] = False
+        j = j[(NEAR[0] + NEAR[1]) * shared >= NEAR[0] * (sizes[i] + sizes[j])]
+        if len(j):
+            u += [i] * len(j)
+            v += j.tolist()
+            label[np.isin(label, label[j])] = label[i]
+    return order[np.array(u, dtype=int)], order[np.array(v, dtype=int)]
+
+
+def _verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links in groups of sets, whose rows come sorted by root, a, b."""
+    at, nodes, sets = None, [], []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if len(nodes) > 1:
+            i, j = near_sets(sets)
+            x = np.array(nodes, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[i]), pa.array(x[j])], names=["u", "v"])
+
+    for batch in batches:
+        for key, node, raw in zip(zip(*(batch[c].to_pylist() for c in ("root", "a", "b"))), batch["node"].to_pylist(), batch["_set"]):
+            if key != at:
+                yield from close()
+                at, nodes, sets = key, [], []
+            nodes.append(node)
+            sets.append(np.frombuffer(raw.as_py(), dtype=np.uint64))
+    yield from close()
+
+
+#: Ids of documents to drop, or nodes, that may be broadcast; more are dropped by a shuffled join.
 BROADCAST_IDS = 500_000
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, r: int = 12, both: int = 22) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def near_groups(marked: DataFrame) -> DataFrame:
+    """(_node, _least): the smallest doc_id of each group of near-copies. ``marked``: a staged table of ``shingle_sets``.
+
+    Nodes that share a band and are within the wide bounds of bits are joined into
+    families of candidates, kept as spanning forests. Then each set goes to its
+    family, and only pairs that are near by their sets of shingles become links. A
+    large family is cut into parts, and each two parts meet in one task.
+    """
+    firsts = [F.first(c).alias(c) for c in ("_n", "_fp", "_fp2", "_keys")]
+    nodes = staged(marked.groupBy(F.col("_node").alias("node")).agg(F.min("doc_id").alias("least"), *firsts), "nodes")
+    spread = nodes.select(F.lit(0).alias("choice"), F.explode("_keys").alias("key"), "node", "_fp", "_fp2").repartition("key").sortWithinPartitions("choice", "key")
+    family = _roots(spread.mapInArrow(_linking(None, WIDE, WIDE_BOTH), "u long, v long"))
+    small = _small(family)
+    parts = nodes.select("node", "_n").join(small, "node").groupBy("root").agg(F.ceil(F.sum("_n") / PART).cast("int").alias("parts"))
+    sets = marked.select(F.col("_node").alias("node"), "_set").join(small, "node").groupBy("node", "root").agg(F.first("_set").alias("_set")).join(parts, "root")
+    mine, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("other")
+    dealt = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("root", F.least("mine", other).alias("a"), F.greatest("mine", other).alias("b"), "node", "_set")
+    links = dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(_verifying, "u long, v long")
+    return _least(nodes.select("node", "least"), _roots(links))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one document of each group of near-copies: the one with the smallest id.
 
-    Two texts are near-copies when their fingerprints agree on 0.8 of their bits (52
-    of 64) and on ``128 - both`` bits of the 128 of the longer fingerprint, which
-    holds the error of the estimate down. Texts without a word are no copies of
-    anything. Rows with a null id are kept; of rows that share an id one stays.
+    Two texts are near-copies when the Jaccard similarity of their sets of shingles
+    of ``words`` words is 0.8 or more; a text of fewer words is one shingle. Texts
+    without a word are no copies of anything. Rows with a null id are kept; of rows
+    that share an id one stays.
     """
-    marked = fingerprints(docs.select("doc_id", "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()), words, second=True)
-    marked = staged(marked.withColumn("_node", F.xxhash64("_fp", "_fp2")), "marked")
-    out = marked.join(grouped(marked, r, both), "_node").where("doc_id <> _least").select("doc_id").distinct()
-    out = staged(out, "copies")
-    out = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
+    marked = staged(shingle_sets(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()), words), "marked")
+    out = marked.select("doc_id", "_node").join(near_groups(marked), "_node").where("doc_id <> _least").select("doc_id").distinct()
+    out = _small(staged(out, "copies"))
+    unstage(marked)
     kept = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
     again = staged(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if not again.isEmpty():

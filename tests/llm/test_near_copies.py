@@ -130,6 +130,47 @@ def test_drop_near_copies(spark, docs):
     assert simhash.drop_near_copies(docs(rows).where("false")).count() == 0
 
 
+def at_similarity(rng, first, shared, own):
+    """Two texts with ``shared`` shingles of five words in common and ``own`` more each."""
+    words = [str(rng.randrange(10**9)) for _ in range(shared + 4)]
+    return [(first + k, " ".join([*words, *(f"{k}x{rng.random()}" for _ in range(own))])) for k in range(2)]
+
+
+def test_near_copies_are_those_at_the_similarity(spark, docs):
+    rng = random.Random(8)
+    rows, gone = [], set()
+    for k in range(200):
+        near = k % 2 == 0
+        rows += at_similarity(rng, 10 * k, *((240, 30) if near else (240, 31)))  # 240 / 300 and 240 / 302
+        gone |= {10 * k + 1} if near else set()
+    line = " ".join(str(rng.random()) for _ in range(12))
+    rows += [(5000, "a b c d e f g h"), (5001, "a b c d e f g h i"), (5002, "q b c d e f g"), (5003, line), (5004, f"{line} {line} {line}"), (5005, "A b c\td  e f g h")]  # 4 / 5 and 8 / 12 of the shingles
+    gone |= {5001, 5005}
+    out = {r["doc_id"] for r in simhash.drop_near_copies(docs(rows)).collect()}
+    assert {i for i, _ in rows} - out == gone
+
+
+@pytest.mark.parametrize("part", [1_000_000, 100])
+def test_families_in_parts(spark, docs, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = random.Random(9)
+    rows = [row for k in range(6) for row in family(rng, 30, 100 * k)]
+    sets = [set(simhash._digests(t, 5).tolist()) for _, t in rows]
+    root = union(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    out = {r["doc_id"] for r in simhash.drop_near_copies(docs(rows)).collect()}
+    assert out == {rows[k][0] for k in set(root)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_near_sets(seed):
+    rng = np.random.default_rng(seed)
+    sets = [np.unique(rng.integers(0, 14, rng.integers(1, 20), dtype=np.uint64)) for _ in range(150)]
+    near = [(a, b) for a in range(150) for b in range(a) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    i, j = simhash.near_sets(sets)
+    assert {(max(p), min(p)) for p in zip(i.tolist(), j.tolist())} <= set(near)
+    assert union(150, zip(i.tolist(), j.tolist())) == union(150, near)
+
+
 def brute_links(rows, threshold=0.95):
     good = {}
     size = Counter(len(v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)).most_common(1)
