@@ -1,19 +1,21 @@
 """Secret scans with DataFrame functions only.
 
 Three fixed patterns give the base spans. A battery of randomness tests adds
-spans of kind ``random``: for every run of 20 or more base-64 characters that
-mixes character classes, the encoding is inferred (decimal, hexadecimal, base 32,
-letters and digits, base 64), and the run is held against a uniform source over
-that alphabet by
+spans of kind ``random``: for every run of 20 or more base-64 characters the
+encoding is inferred (the first of ``ENCODINGS`` that holds all its characters), and
+the run is held against a uniform source over that alphabet by
 
 * a chi-squared test of the symbol counts (upper tail, by the cube-root normal approximation),
 * a runs test of the symbols' upper and lower half of the alphabet (two-sided),
 * a serial-correlation test of neighbouring symbols (two-sided).
 
 A run that any of the three rejects (Bonferroni at ``ALPHA``) is not random. What
-remains is a discovery if it also can't well be ordinary text: under text, class
-changes between neighbours happen at most at rate ``TEXT_CHANGES``, and the
-Chernoff bound of seeing that many changes in a run of that length is its p-value.
+remains is a discovery if it also can't well be ordinary text: under text, character
+classes follow each other as in ``FOLLOWS`` (among those the encoding has), letters
+come as often as in European languages, and digits are uniform. The probability of
+the run under text over that under the uniform source is its p-value (by Markov's
+inequality text has a quotient of p or less with probability p at most). Digits
+alone can't be told from ordinary numbers.
 The Benjamini-Hochberg rule at ``FALSE_DISCOVERIES`` is applied per length
 octave over the runs of all documents, on a histogram of the p-values.
 
@@ -43,10 +45,20 @@ BASE = (
     ("hex", r"[0-9a-f]{24}", r"[0-9a-f]{24,}", 0, 24),
 )
 RUN = r"[A-Za-z0-9+/_-]{20,}"
-MIXED = r"[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z]"
+
+UPPER, LOWER, DIGITS, SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/-_"
+#: Pattern, alphabet, number of symbols. Base 64 has either + and / or - and _, so 64 symbols of these 66.
+ENCODINGS = (
+    ("[0-9]", DIGITS, 10), ("[0-9a-f]", DIGITS + LOWER[:6], 16), ("[0-9A-F]", DIGITS + UPPER[:6], 16), ("[a-z]", LOWER, 26), ("[A-Z]", UPPER, 26),
+    ("[A-Z2-7]", UPPER + DIGITS[2:8], 32), ("[a-z2-7]", LOWER + DIGITS[2:8], 32), ("[A-Z0-9]", UPPER + DIGITS, 36), ("[a-z0-9]", LOWER + DIGITS, 36),
+    ("[A-Za-z]", UPPER + LOWER, 52), ("[A-Za-z0-9]", UPPER + LOWER + DIGITS, 62), ("[A-Za-z0-9+/_-]", UPPER + LOWER + DIGITS + SIGNS, 64),
+)
 
 ALPHA = 0.01
-TEXT_CHANGES = 0.15
+#: How classes follow each other in text and identifiers: from upper, lower, digit and sign to the same.
+FOLLOWS = ((0.45, 0.45, 0.05, 0.05), (0.05, 0.85, 0.05, 0.05), (0.05, 0.05, 0.85, 0.05), (0.3, 0.3, 0.3, 0.1))
+#: Letters in 1000, about the mean of English, German, French and Spanish.
+LETTERS = (84, 16, 32, 45, 140, 14, 19, 30, 68, 4, 6, 45, 28, 76, 62, 19, 6, 66, 74, 68, 40, 12, 11, 2, 8, 5)
 FALSE_DISCOVERIES = 0.01
 #: Bins of -log10(p); all below 10 ** -(BINS / PER_DECADE) share the last one.
 PER_DECADE, BINS = 8, 1600
@@ -72,6 +84,22 @@ def _spans(text: Column, there: str, pattern: str, group: int, least: int, rank:
     return F.when(text.rlike(there), found).otherwise(F.array().cast(SPAN))
 
 
+#: The class of a symbol c: 1 upper, 2 lower, 3 digit, 4 sign.
+KIND = "CASE WHEN c BETWEEN 'A' AND 'Z' THEN 1 WHEN c BETWEEN 'a' AND 'z' THEN 2 WHEN c BETWEEN '0' AND '9' THEN 3 ELSE 4 END"
+
+
+def _text_costs() -> tuple[list[float], list[float]]:
+    """-ln of the share of each of the 66 symbols in its class, and of each step of classes by encoding: 16 of each."""
+    letters = [-math.log(x / sum(LETTERS)) for x in LETTERS]
+    steps = []
+    for _, alphabet, _ in ENCODINGS:
+        there = [bool(set(c) & set(alphabet)) for c in (UPPER, LOWER, DIGITS, SIGNS)]
+        for row in FOLLOWS:
+            total = sum(x for x, t in zip(row, there) if t)
+            steps += [-math.log(x / total) for x in row]
+    return [*letters, *letters, *[math.log(10)] * 10, *[math.log(4)] * 4], steps
+
+
 def _normal_tail(z: str) -> str:
     """The upper tail of the normal distribution, to about 1e-4."""
     return f"(1 / (1 + exp(least(700D, 1.5976D * ({z}) + 0.07056D * pow({z}, 3)))))"
@@ -81,21 +109,18 @@ def _tested(df: DataFrame, text: Column, rank: int) -> DataFrame:
     """Adds ``_tests``: (start, end, octave, bin) of each run that passes for random; bin -1: rejected, yet counted."""
     df = df.withColumn("_r0", F.when(text.rlike(RUN), _spans(text, RUN, RUN, 0, 20, rank)).otherwise(F.array().cast(SPAN)))
     df = df.withColumn("_text", text)
+    symbols = f"locate(c, '{UPPER + LOWER + DIGITS + SIGNS}')"
+    own, steps = (f"array({', '.join(f'{x:.6f}D' for x in costs)})" for costs in _text_costs())
+    names = " ".join(f"WHEN x.s RLIKE '^{pattern}+$' THEN {k}" for k, (pattern, _, _) in enumerate(ENCODINGS, 1))
+    alphabets, sizes = "array({})".format(", ".join(f"'{a}'" for _, a, _ in ENCODINGS)), "array({})".format(", ".join(str(k) for _, _, k in ENCODINGS))
     stages = [
-        "filter(transform({}, x -> struct(x.start AS start, x.end AS end, substring(_text, x.start + 1, x.end - x.start) AS s)), x -> x.s RLIKE '%s')" % MIXED,
-        """transform({}, x -> struct(x.start AS start, x.end AS end, x.s AS s, length(x.s) AS n,
-             CASE WHEN x.s RLIKE '^[0-9]+$' THEN '0123456789'
-                  WHEN x.s RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN '0123456789abcdef'
-                  WHEN x.s RLIKE '^[A-Z2-7]+$' THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
-                  WHEN x.s RLIKE '^[A-Za-z0-9]+$' THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'
-                  ELSE 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_' END AS alphabet))""",
-        # base 64 has either + and / or - and _, so 64 symbols of these 66
-        """transform({}, x -> struct(x.start AS start, x.end AS end, x.n AS n, least(64, length(x.alphabet)) AS k,
-             CASE WHEN length(x.alphabet) = 16 THEN lower(x.s) ELSE x.s END AS s, x.alphabet AS alphabet))""",
-        """transform({}, x -> struct(x.start AS start, x.end AS end, x.n AS n, x.k AS k,
+        """transform({}, x -> named_struct('start', x.start, 'end', x.end, 's', substring(_text, x.start + 1, x.end - x.start)))""",
+        f"""transform({{}}, x -> struct(x.start AS start, x.end AS end, x.s AS s, length(x.s) AS n, CASE {names} END AS code))""",
+        f"""transform({{}}, x -> struct(x.start AS start, x.end AS end, x.n AS n, x.code AS code, element_at({sizes}, x.code) AS k, x.s AS s, element_at({alphabets}, x.code) AS alphabet))""",
+        f"""transform({{}}, x -> struct(x.start AS start, x.end AS end, x.n AS n, x.k AS k,
              aggregate(array_distinct(split(x.s, '')), 0D, (a, c) -> a + pow(x.n - length(replace(x.s, c, '')), 2)) AS squares,
              aggregate(split(x.s, ''),
-               struct(0D AS prev, 0D AS sx, 0D AS sxx, 0D AS sxy, 0D AS hi, 0D AS runs, 0D AS changes, '' AS kind),
+               struct(0D AS prev, 0D AS sx, 0D AS sxx, 0D AS sxy, 0D AS hi, 0D AS runs, 0D AS cost, 0 AS kind),
                (a, c) -> struct(
                  CAST(locate(c, x.alphabet) AS DOUBLE) AS prev,
                  a.sx + locate(c, x.alphabet) AS sx,
@@ -103,21 +128,19 @@ def _tested(df: DataFrame, text: Column, rank: int) -> DataFrame:
                  a.sxy + a.prev * locate(c, x.alphabet) AS sxy,
                  a.hi + IF(locate(c, x.alphabet) > x.k / 2, 1D, 0D) AS hi,
                  a.runs + IF(a.prev = 0 OR (a.prev > x.k / 2) <> (locate(c, x.alphabet) > x.k / 2), 1D, 0D) AS runs,
-                 a.changes + IF(a.kind <> '' AND a.kind <> translate(c, 'bcdefghijklmnopqrstuvwxyzBCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'aaaaaaaaaaaaaaaaaaaaaaaaaAAAAAAAAAAAAAAAAAAAAAAAAA000000000'), 1D, 0D) AS changes,
-                 translate(c, 'bcdefghijklmnopqrstuvwxyzBCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'aaaaaaaaaaaaaaaaaaaaaaaaaAAAAAAAAAAAAAAAAAAAAAAAAA000000000') AS kind)) AS t))""",
-        """transform({}, x -> struct(x.start AS start, x.end AS end, x.n AS n, x.k - 1D AS df,
+                 a.cost + element_at({own}, {symbols}) + IF(a.kind = 0, 0D, element_at({steps}, 16 * (x.code - 1) + 4 * (a.kind - 1) + {KIND})) AS cost,
+                 {KIND} AS kind)) AS t))""",
+        """transform({}, x -> struct(x.start AS start, x.end AS end, x.n AS n, x.k - 1D AS df, x.t.cost - x.n * ln(x.k) AS ratio,
              greatest(1e-9D, x.k * x.squares / x.n - x.n) AS chi2,
              1 + 2 * x.t.hi * (x.n - x.t.hi) / x.n AS runs_mean, x.t.runs AS runs,
-             (x.n * x.t.sxy - x.t.sx * x.t.sx) / greatest(1e-9D, x.n * x.t.sxx - x.t.sx * x.t.sx) * sqrt(x.n) AS serial,
-             least(0.999D, x.t.changes / (x.n - 1)) AS rate))""",
-        """transform({}, x -> struct(x.start AS start, x.end AS end, x.n AS n, x.rate AS rate,
+             (x.n * x.t.sxy - x.t.sx * x.t.sx) / greatest(1e-9D, x.n * x.t.sxx - x.t.sx * x.t.sx) * sqrt(x.n) AS serial))""",
+        """transform({}, x -> struct(x.start AS start, x.end AS end, x.n AS n, x.ratio AS ratio,
              (pow(x.chi2 / x.df, 1 / 3D) - (1 - 2 / (9 * x.df))) / sqrt(2 / (9 * x.df)) AS z1,
              abs(x.runs - x.runs_mean) / sqrt(greatest(1e-9D, (x.runs_mean - 1) * (x.runs_mean - 2) / (x.n - 1))) AS z2,
              abs(x.serial) AS z3))""",
         f"""transform({{}}, x -> struct(x.start AS start, x.end AS end, CAST(floor(log2(x.n)) AS INT) AS octave,
-             CASE WHEN 3 * least({_normal_tail("x.z1")}, 2 * {_normal_tail("x.z2")}, 2 * {_normal_tail("x.z3")}) < {ALPHA} OR x.rate <= {TEXT_CHANGES} THEN -1
-                  ELSE least({BINS}, CAST(floor({PER_DECADE} / ln(10D) * (x.n - 1) *
-                    (x.rate * ln(x.rate / {TEXT_CHANGES}) + (1 - x.rate) * ln((1 - x.rate) / (1 - {TEXT_CHANGES})))) AS INT)) END AS bin))""",
+             CASE WHEN 3 * least({_normal_tail("x.z1")}, 2 * {_normal_tail("x.z2")}, 2 * {_normal_tail("x.z3")}) < {ALPHA} OR x.ratio <= 0 THEN -1
+                  ELSE CAST(least({BINS}, floor({PER_DECADE} / ln(10D) * x.ratio)) AS INT) END AS bin))""",
     ]
     expr = "_r0"
     for s in stages:

@@ -80,5 +80,26 @@ def test_secrets(spark, docs, folder):
     assert found >= set(RANDOM) and not found & set(PLAIN)
 
 
+def test_keys_of_each_encoding_and_length(spark, docs):
+    rng = random.Random(11)
+    up, low, digits = secrets.UPPER, secrets.LOWER, secrets.DIGITS
+    alphabets = [low + digits, up + digits, up + "234567", low + "234567", low, up, up + low, up + low + digits, up + low + digits + "+/"]
+    rows, of = [], {}
+    for alphabet in alphabets:
+        for n, least in ((20, 0.6), (32, 0.85), (48, 0.9)):
+            for _ in range(60):
+                of[len(rows)] = (alphabet, n, least)
+                rows.append((len(rows), "".join(rng.choice(alphabet) for _ in range(n))))
+    prose = ["".join(rng.choice("der und ung keit lich schaft the tion ment ando cion que elle erie heit ver".split()) for _ in range(12)) for _ in range(100)]
+    prose += [p.upper() for p in prose] + ["_".join(p[k : k + 6] for k in range(0, 36, 6)) for p in prose] + PLAIN + ["20240131123045999888777", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    first = len(rows)
+    rows += [(first + k, p) for k, p in enumerate(prose)]
+    found = {r["doc_id"] for r in secrets.scan(docs(rows).select("doc_id", "text")).where("size(_added) > 0").collect()}
+    assert not [p for k, p in rows[first:] if k in found]
+    for key in set(of.values()):
+        share = sum(of[i] == key for i in found if i in of) / 60
+        assert share >= key[2], (*key, share)
+
+
 def test_no_secrets_in_nothing(spark, docs, folder):
     assert secrets.op3_secrets(spark, folder(documents=docs([(1, "x")]).where("false"))).count() == 0
