@@ -10,9 +10,11 @@ the search is in range, the range is expanded from every vector in it until no n
 one turns up. What is found is verified by the cosine in double precision. Two
 vectors that share several shards are counted in the first of them.
 
-Recall is audited against brute force for a set of queries, each compared with all
-vectors in blocks; below ``RECALL`` everything is done again with twice the
-overlap and beam, at last with every vector in every shard.
+Recall is audited against brute force for a set of queries, picked by hash whatever
+was found, each compared with all vectors in blocks; the set grows until enough of
+it has true links, or to a bound. Where the share of the links found, or its mean
+over the queries with links, is below ``RECALL``, everything is done again with twice
+the overlap and beam, at last with every vector in every shard.
 
 Equal vectors are one node that stands for all its copies.
 
@@ -38,7 +40,8 @@ THRESHOLD, RECALL = 0.95, 0.98
 #: Vectors that a shard should hold before overlap; centroids at most; vectors that the centroids are fitted to.
 SHARD, CENTROIDS, SAMPLE = 1000, 4096, 20_000
 OVERLAP, DEGREE, CANDIDATES, BEAM, ALPHA = 3, 24, 48, 32, 1.2
-AUDITED = 200
+#: Queries audited at first; of them so many should have true links; values that all queries hold at most.
+AUDITED, AUDITED_LINKED, AUDITED_VALUES = 200, 100, 1_000_000
 
 
 def usable(vectors: DataFrame, vec: str, embedding: str) -> DataFrame:
@@ -275,29 +278,41 @@ def _search(nodes: DataFrame, centres: np.ndarray, overlap: int, beam: int, thre
     return found
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, queries: int = AUDITED) -> float:
-    """Share of the links of some nodes, as brute force over all nodes has them, that were found."""
+def audit(nodes: DataFrame, found: DataFrame, threshold: float, queries: int = AUDITED) -> tuple[float, float]:
+    """Recall of the links of some nodes, as brute force over all nodes has them: over all links, and as a mean over the nodes that have any."""
     spark = nodes.sparkSession
-    some = nodes.orderBy(F.xxhash64(F.lit("audit"), "id")).limit(queries // 2).select("id", "v").toArrow()
-    linked = found.where("links > 0").groupBy("id").agg(F.sum("links").alias("links")).orderBy(F.xxhash64(F.lit("audit"), "id")).limit(queries // 2)
-    some = pa.concat_tables([some, nodes.join(F.broadcast(linked.select("id")), "id", "left_semi").select("id", "v").toArrow()])
-    if not some.num_rows:
-        return 1.0
-    once = np.unique(some["id"].to_numpy(), return_index=True)[1]
-    shared = spark.sparkContext.broadcast((some["id"].to_numpy()[once], _unit(_matrix(some["v"]))[once]))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        total = np.zeros(len(ids), dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                hit = (q @ _unit(_matrix(batch["v"])).T >= threshold) & (ids[:, None] != batch["id"].to_numpy()[None, :])
-                total += hit @ batch["n"].to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "links"])
-
-    truth = dict(tuple(r) for r in nodes.mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links")).collect())
-    got = dict(tuple(r) for r in found.where(F.col("id").isin([int(i) for i in truth])).groupBy("id").agg(F.sum("links")).collect())
-    return sum(min(got.get(i, 0), n) for i, n in truth.items()) / max(1, sum(truth.values())) if sum(truth.values()) else 1.0
+    while True:
+        some = nodes.select("id", "v").orderBy(F.xxhash64(F.lit("audit"), "id"), "id").limit(queries).toArrow()
+        if not some.num_rows:
+            return 1.0, 1.0
+        shared = spark.sparkContext.broadcast((some["id"].to_numpy(), _unit(_matrix(some["v"]))))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            total = np.zeros(len(ids), dtype=np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    x, those, n = _unit(_matrix(batch["v"])), batch["id"].to_numpy(), batch["n"].to_numpy()
+                    for a in range(0, len(ids), 1000):
+                        i, j = np.nonzero(q[a : a + 1000] @ x.T >= threshold)
+                        other = ids[a + i] != those[j]
+                        np.add.at(total, a + i[other], n[j[other]])
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], names=["id", "links"])
+
+        truth = dict(tuple(r) for r in nodes.mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links")).collect())
+        shared.unpersist()
+        most = max(AUDITED, AUDITED_VALUES // max(1, len(some["v"][0])))
+        if len(truth) >= AUDITED_LINKED or some.num_rows < queries or queries >= most:
+            break
+        queries = min(most, queries * 4)
+    if not truth:
+        return 1.0, 1.0
+    asked = spark.createDataFrame(pa.table({"id": pa.array(list(truth), pa.int64())}))
+    got = dict(tuple(r) for r in found.join(F.broadcast(asked), "id", "left_semi").groupBy("id").agg(F.sum("links")).collect())
+    hit = np.array([min(got.get(i, 0), n) for i, n in truth.items()])
+    all_links = np.array(list(truth.values()))
+    return float(hit.sum() / all_links.sum()), float((hit / all_links).mean())
 
 
 def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -310,7 +325,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
     overlap, beam = OVERLAP, BEAM
     while True:
         found = _search(nodes, centres, min(overlap, len(centres)), beam, threshold)
-        if overlap >= len(centres) and beam > 8 * BEAM or audit(nodes, found, threshold) >= RECALL:
+        if overlap >= len(centres) and beam > 8 * BEAM or min(audit(nodes, found, threshold)) >= RECALL:
             break
         overlap, beam = overlap * 2, beam * 2
     roots = components(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))

@@ -222,3 +222,18 @@ def test_recall_over_many_shards(spark, monkeypatch):
     got = dict(embedding_dedup.near_duplicates(df).select("vec_id", "n_links").collect())
     found = sum(min(got[rows[k][0]], near[n].sum()) for n, k in enumerate(keys))
     assert found >= 0.95 * near.sum() and all(got[rows[k][0]] <= near[n].sum() for n, k in enumerate(keys))
+
+
+@pytest.mark.parametrize("group, pairs, lost", [(300, 400, 200), (0, 60, 60), (300, 400, 0)])
+def test_audit_sees_lost_isolated_pairs(spark, group, pairs, lost):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 24))
+    x[1 : 2 * pairs : 2] = x[0 : 2 * pairs : 2] + rng.normal(size=(pairs, 24)) * 0.01
+    x[5000 : 5000 + group] = x[5000] + rng.normal(size=(group, 24)) * 0.01
+    links = np.zeros(6000, dtype=int)
+    links[2 * lost : 2 * pairs] = 1
+    links[5000 : 5000 + group] = group - 1
+    nodes = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(x)], "id long, n long, v array<double>")
+    found = spark.createDataFrame([(k, int(n), k) for k, n in enumerate(links)], "id long, links long, root long")
+    recall = np.min(embedding_dedup.audit(nodes, found, 0.95))
+    assert recall == 1 if not lost else recall < 0.9
