@@ -318,7 +318,7 @@ def _band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text to doc_id, ``_node`` (a hash of the set of shingles), ``_n`` of them, 128 bits, band keys and the sorted hashes."""
+    """doc_id, text, ``_text`` to doc_id, ``_text``, ``_node`` (a hash of the set of shingles), ``_n`` of them, 128 bits, band keys and the sorted hashes."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,10 +332,10 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 n = pa.array([len(x) for x in sets], type=pa.int64())
                 keys = pa.array([_band_keys(x) for x in sets], type=pa.list_(pa.int64()))
                 raw = pa.array([x.tobytes() for x in sets], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, 100), longs[0], n, *longs[1:], keys, raw], names=["doc_id", "_node", "_n", "_fp", "_fp2", "_keys", "_set"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, 100), batch["_text"].slice(at, 100), longs[0], n, *longs[1:], keys, raw], names=["doc_id", "_text", "_node", "_n", "_fp", "_fp2", "_keys", "_set"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, _node long, _n long, _fp long, _fp2 long, _keys array<long>, _set binary")
+    return docs.select("doc_id", "text", "_text").mapInArrow(run, f"doc_id {kind}, _text long, _node long, _n long, _fp long, _fp2 long, _keys array<long>, _set binary")
 
 
 def near_sets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -399,7 +399,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def near_groups(marked: DataFrame) -> DataFrame:
-    """(_node, _least): the smallest doc_id of each group of near-copies. ``marked``: a staged table of ``shingle_sets``.
+    """(_node, _least): the smallest (doc_id, _text) of each group of near-copies. ``marked``: a staged table of ``shingle_sets``.
 
     Nodes that share a band and are within the wide bounds of bits are joined into
     families of candidates, kept as spanning forests. Then each set goes to its
@@ -407,7 +407,7 @@ def near_groups(marked: DataFrame) -> DataFrame:
     large family is cut into parts, and each two parts meet in one task.
     """
     firsts = [F.first(c).alias(c) for c in ("_n", "_fp", "_fp2", "_keys")]
-    nodes = staged(marked.groupBy(F.col("_node").alias("node")).agg(F.min("doc_id").alias("least"), *firsts), "nodes")
+    nodes = staged(marked.groupBy(F.col("_node").alias("node")).agg(F.min(F.struct("doc_id", "_text")).alias("least"), *firsts), "nodes")
     spread = nodes.select(F.lit(0).alias("choice"), F.explode("_keys").alias("key"), "node", "_fp", "_fp2").repartition("key").sortWithinPartitions("choice", "key")
     family = _roots(spread.mapInArrow(_linking(None, WIDE, WIDE_BOTH), "u long, v long"))
     small = _small(family)
@@ -426,17 +426,19 @@ def drop_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     Two texts are near-copies when the Jaccard similarity of their sets of shingles
     of ``words`` words is 0.8 or more; a text of fewer words is one shingle. Texts
     without a word are no copies of anything. Rows with a null id are kept; of rows
-    that share an id one stays.
+    that share an id and a text one stays. A row is known by its id and its text's hash.
     """
-    marked = staged(shingle_sets(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()), words), "marked")
-    out = marked.select("doc_id", "_node").join(near_groups(marked), "_node").where("doc_id <> _least").select("doc_id").distinct()
+    row = ["doc_id", "_text"]
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    marked = staged(shingle_sets(keyed.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()), words), "marked")
+    out = marked.select(*row, "_node").join(near_groups(marked), "_node").where(F.struct(*row) != F.col("_least")).select(*row).distinct()
     out = _small(staged(out, "copies"))
     unstage(marked)
-    kept = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
-    again = staged(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    kept = keyed.join(out, row, "left_anti")
+    again = staged(keyed.where(F.col("doc_id").isNotNull()).groupBy(*row).count().where("count > 1").select(*row), "again")
     if not again.isEmpty():
-        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-    return kept
+        kept = kept.join(again, row, "left_anti").select(*keyed.columns).unionByName(kept.join(again, row, "left_semi").select(*keyed.columns).dropDuplicates(row))
+    return kept.select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

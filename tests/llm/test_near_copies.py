@@ -150,6 +150,14 @@ def test_near_copies_are_those_at_the_similarity(spark, docs):
     assert {i for i, _ in rows} - out == gone
 
 
+def test_rows_that_share_an_id_go_by_their_own_text(spark, docs):
+    rng = random.Random(10)
+    a, b, c, d = (" ".join(str(rng.random()) for _ in range(100)) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (4, None), (4, f"{c} x"), (5, f"{b} y"), (5, f"{b} z")]
+    out = simhash.drop_near_copies(docs(rows)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, out)) == Counter([(1, a), (2, b), (3, c), (3, d), (4, None)])
+
+
 @pytest.mark.parametrize("part", [1_000_000, 100])
 def test_families_in_parts(spark, docs, monkeypatch, part):
     monkeypatch.setattr(simhash, "PART", part)
