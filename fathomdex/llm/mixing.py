@@ -4,14 +4,21 @@ Tokens are summed per source; the target of each source is its share of all
 tokens by weight, held at ``most`` times what the source has, with the excess
 shared again by weight until no source is above its bound. The repetition rate
 of a source is its target over its size. Each document is emitted floor(rate)
-times, plus once more with the probability rate - floor(rate), drawn from a hash
-of its id and text, so that reruns agree.
+times, plus once more with the probability rate - floor(rate).
+
+The further copies are drawn systematically, so that a source's words come to its
+target up to about its largest document: a source's documents stand in the order
+of their size class, each class in cells by a hash of id and text; running sums of
+the fraction over the cells, begun at a hash-seeded place, say how many documents of
+a cell get a copy, and those with the least hashes get it. Every document has the
+same probability, and reruns agree. Cells number sources times classes plus one for
+each ``CELL`` documents; documents themselves are never shuffled, only their hashes.
 
 Defined cases: a null text has size 0 and keeps its copies; a null source is a
-source of its own and comes last; repeated rows draw the same number; when all
-sizes are 0, every rate is 0; an empty table gives an empty result; ``mix`` returns
-the input's columns whatever their names, while in ``plan_copies`` the plan's columns
-(which begin with an underscore) replace any of the same names.
+source of its own and comes last; rows that repeat id and text draw the same number;
+when all sizes are 0, every rate is 0; an empty table gives an empty result; ``mix``
+returns the input's columns whatever their names, while in ``plan_copies`` the plan's
+columns (which begin with an underscore) replace any of the same names.
 """
 
 from __future__ import annotations
@@ -21,10 +28,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, staged, word_count
+from .common import read_table, staged, unstage, word_count
 
-#: Up to so many sources, their table (three numbers and a name each) is broadcast; beyond, it is joined by shuffle.
-BROADCAST_SOURCES = 20_000
+#: Size classes per doubling of the size; hashes that a cell holds on average at most.
+CLASSES, CELL = 16, 1 << 20
+#: Up to so many cells, their table (five numbers and a name each) is broadcast; beyond, it is joined by shuffle.
+BROADCAST_CELLS = 200_000
 
 
 def cycling_weights(source_rank: Column) -> Column:
@@ -65,16 +74,50 @@ def unit_draw(*of: Column, seed: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def _marked(docs: DataFrame, seed: str) -> DataFrame:
+    """``docs`` with ``_size``, ``_class`` and ``_h``, the hash by which a cell's documents are ordered."""
+    sized = docs.withColumn("_size", word_count(F.col("text")))
+    return sized.withColumn("_class", F.floor(F.log2(F.col("_size") + 1.0) * CLASSES).cast("int")).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+
+
+def drawn_cells(narrow: DataFrame, weight: Callable[[Column], Column], most: float, seed: str) -> DataFrame:
+    """Per cell (``_of``, ``_in``, ``_cells``, ``_cell``) its source's numbers and ``_last``, the greatest hash that gets a further copy.
+
+    ``narrow``: a staged table of _source, _size, _class, _h. The windows here are
+    over one row per cell, never over documents.
+    """
+    classes = staged(narrow.groupBy("_source", "_class").agg(F.sum("_size").alias("_size"), F.count("*").alias("_n")), "classes")
+    per = source_targets(classes, weight, most)
+    cells = classes.select("_source", "_class", F.ceil(F.col("_n") / CELL).cast("int").alias("_cells"))
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+    same = lambda a, b: a["_source"].eqNullSafe(b["_source"]) & (a["_class"] == b["_class"])
+    dealt = narrow.join(cells, same(narrow, cells)).select(narrow["_source"], narrow["_class"], "_cells", F.pmod("_h", "_cells").alias("_cell"), "_h")
+    filled = dealt.groupBy("_source", "_class", "_cells", "_cell").agg(F.sort_array(F.collect_list("_h")).alias("_hashes"))
+    filled = filled.withColumn("_n", F.size("_hashes"))
+    before = Window.partitionBy("_source").orderBy("_class", "_cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = filled.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = placed.join(per.withColumnRenamed("_source", "_name"), F.col("_source").eqNullSafe(F.col("_name")))
+    part, start = F.col("_rate") - F.floor("_rate"), unit_draw(F.col("_source"), seed=seed)
+    take = F.floor((F.col("_before") + F.col("_n")) * part + start) - F.floor(F.col("_before") * part + start)
+    last = F.when(take > 0, F.element_at("_hashes", F.least(take, F.col("_n")).cast("int")))
+    return placed.select(F.col("_source").alias("_of"), F.col("_class").alias("_in"), "_cells", "_cell", "_source_size", "_target", "_rate", last.alias("_last"))
+
+
+def _copied(marked: DataFrame, cells: DataFrame) -> DataFrame:
+    """Adds ``_source_size``, ``_target`` and ``_copies`` to rows of _source, _size, _class and _h."""
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+    own = F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_class") == F.col("_in")) & (F.pmod("_h", "_cells") == F.col("_cell"))
+    copies = F.floor("_rate") + F.coalesce(F.col("_h") <= F.col("_last"), F.lit(False)).cast("int")
+    return marked.join(cells, own).withColumn("_copies", copies.cast("int")).drop("_of", "_in", "_cells", "_cell", "_rate", "_last", "_class", "_h")
+
+
 def plan_copies(docs: DataFrame, weight: Callable[[Column], Column] = cycling_weights, most: float = 3.0, seed: str = "mix") -> DataFrame:
     """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies`` (how often the mix takes the document)."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    per = staged(source_targets(sized.select(F.col("source").alias("_source"), "_size"), weight, most), "sources")
-    if per.count() <= BROADCAST_SOURCES:
-        per = F.broadcast(per)
-    out = sized.join(per, sized["source"].eqNullSafe(per["_source"])).drop("_source")
-    whole = F.floor("_rate")
-    extra = unit_draw(F.col("doc_id"), F.col("text"), seed=seed) < F.col("_rate") - whole
-    return out.withColumn("_copies", (whole + extra.cast("int")).cast("int")).drop("_rate")
+    marked = _marked(docs, seed).withColumn("_source", F.col("source"))
+    narrow = staged(marked.select("_source", "_size", "_class", "_h"), "marked")
+    cells = staged(drawn_cells(narrow, weight, most, seed), "cells")
+    unstage(narrow)
+    return _copied(marked, cells).drop("_source")
 
 
 def mix(docs: DataFrame, weight: Callable[[Column], Column] = cycling_weights, most: float = 3.0, seed: str = "mix") -> DataFrame:
@@ -85,8 +128,11 @@ def mix(docs: DataFrame, weight: Callable[[Column], Column] = cycling_weights, m
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return plan_copies(docs).select(
+    """Texts are read once: what the plan needs of each document is staged, and the result is made from that."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("_source"))
+    marked = staged(_marked(docs, "mix").drop("text"), "marked")
+    cells = staged(drawn_cells(marked, cycling_weights, 3.0, "mix"), "cells")
+    return _copied(marked, cells).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         (F.col("_size") * F.col("_copies")).cast("long").alias("taken"), F.col("_copies").alias("copies"),
     )
