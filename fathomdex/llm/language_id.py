@@ -10,14 +10,14 @@ score its proportion.
 The distributions are learned from at most about ``DOCS_PER_LANGUAGE`` documents
 of each language (all, where there are fewer), picked by hash of the id.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; with
+Defined cases: a null text, or one without a letter (numerals such as a half aren't
+letters), is ``und`` with score 0; with
 nothing to learn from, every text is ``und``; null labels are not learned from;
 repeated rows get the same answer; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +34,8 @@ STEPS, BLOCK = 20, 64
 #: What a further language must gain in log-likelihood, for each unit of the log of the number of n-grams (these overlap, hence more than 1/2).
 PENALTY = 3.0
 UNDEFINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages that may be learned; their table of doubles, 2 ** BITS for each, is broadcast.
+LANGUAGES = 2000
 
 
 def _count_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,9 +49,14 @@ def _count_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["lang", "bin", "n"])
 
 
-def learn(train: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and a row of n-gram probabilities for each. ``train``: doc_id, text, lang."""
+def learn(train: DataFrame, per_language: int = DOCS_PER_LANGUAGE, most: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """Languages in order, and a row of n-gram probabilities for each. ``train``: doc_id, text, lang.
+
+    More than ``most`` different values of lang are an error, as the table of the model grows with them.
+    """
     rows = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    if len(rows.select("lang").distinct().limit(most + 1).collect()) > most:
+        raise ValueError(f"more than {most} languages to learn")
     sample = bounded_sample(rows, per_language, "lang").select("text", "lang")
     counted = sample.mapInArrow(_count_by_language, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counted["lang"].to_pylist()))
@@ -100,7 +106,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             found: list[list[tuple[int, float]]] = [[] for _ in texts]
-            real = [i for i, t in enumerate(texts) if langs and t is not None and _LETTER.search(t)]
+            real = [i for i, t in enumerate(texts) if langs and t is not None and any(map(str.isalpha, t))]
             for k in range(0, len(real), BLOCK):
                 block = real[k : k + BLOCK]
                 counts = np.stack([trigram_counts(texts[i], BITS) for i in block]).astype(np.float64)

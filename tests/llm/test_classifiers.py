@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter
@@ -104,9 +105,39 @@ def test_boosting_and_isotonic():
     assert knots[1].tolist() == [0, 0.5, 1] and knots[0].tolist() == [1, 2.5, 4]
 
 
+def plain_mixture(counts, table, steps):
+    """Expectation-maximisation over single n-grams, in Python floats."""
+    share = [1 / len(table)] * len(table)
+    for _ in range(steps):
+        total = [0.0] * len(table)
+        for b, n in enumerate(counts):
+            if n:
+                p = [s * row[b] for s, row in zip(share, table)]
+                for k, x in enumerate(p):
+                    total[k] += n * x / sum(p)
+        share = [x / sum(total) for x in total]
+    return share, sum(n * math.log(sum(s * row[b] for s, row in zip(share, table))) for b, n in enumerate(counts) if n)
+
+
+def test_mixture_against_a_plain_loop():
+    rng = np.random.default_rng(3)
+    table = rng.random((4, 40)) ** 3 + 1e-3
+    table /= table.sum(axis=1, keepdims=True)
+    counts = np.stack([rng.multinomial(n, share @ table) for n, share in [(50, np.array([1, 0, 0, 0])), (400, np.array([0.6, 0.4, 0, 0])), (300, np.array([0.3, 0.3, 0.4, 0]))]]).astype(float)
+    share, log = language_id.mixture(counts, table)
+    for k in range(3):
+        want, value = plain_mixture(counts[k], table.tolist(), language_id.STEPS)
+        assert np.allclose(share[k], want) and np.isclose(log[k], value)
+        # the chosen set is the best of the nested ones by the penalised likelihood
+        sets = [sorted(range(4), key=lambda j: -want[j])[:n] for n in range(1, 5)]
+        values = [plain_mixture(counts[k], table[s].tolist(), language_id.STEPS)[1] - language_id.PENALTY * (len(s) - 1) * math.log(counts[k].sum()) for s in sets]
+        best = next((n for n in range(3) if values[n + 1] <= values[n]), 3)
+        assert {j for j, _ in language_id.identify(counts[k : k + 1], table)[0]} == set(sets[best])
+
+
 def test_languages(spark, docs, folder, made):
     rng = random.Random(12)
-    rows = made[0] + [(50_000, prose(rng, SYLLABLES["en"], 300) + " " + prose(rng, SYLLABLES["de"], 100)), (50_001, "12 !? 3", "en"), (50_002, "x", None)]
+    rows = made[0] + [(50_000, prose(rng, SYLLABLES["en"], 300) + " " + prose(rng, SYLLABLES["de"], 100)), (50_001, "12 !? 3", "en"), (50_002, "x", None), (50_003, "½ ² Ⅷ ٣", "fr"), (50_004, "½ é", "fr")]
     rows += [(60_000 + k, t, None) for k, t in enumerate(ODD)]
     where = folder(documents=docs(rows))
     got = {r["doc_id"]: r for r in language_id.op10_language_id(spark, where).collect()}
@@ -122,5 +153,7 @@ def test_languages(spark, docs, folder, made):
     model = language_id.learn(docs(made[0]))
     mixed = {r["doc_id"]: r["languages"] for r in language_id.predict(docs(rows).select("doc_id", "text", "lang"), model).collect()}
     assert set(mixed[50_000]) == {"en", "de"}
+    with pytest.raises(ValueError):
+        language_id.learn(docs(made[0]), most=2)
     assert language_id.op10_language_id(spark, folder(documents=docs([(1, "a", None), (2, None)]))).select("lang_pred").distinct().collect()[0][0] == "und"
     assert language_id.op10_language_id(spark, folder(documents=docs([(1, "a")]).where("false"))).count() == 0
