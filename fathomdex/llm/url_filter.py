@@ -7,8 +7,8 @@ longer host, then block. Urls that no rule fits get the default verdict.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path,
 fit no rule and get the default; empty tables give empty results; repeated
-rows are judged each on its own; all other columns pass through unless their
-names are those of the result.
+rows are judged each on its own; all other columns pass through, whatever their
+names, unless these are those of the result.
 """
 
 from collections.abc import Sequence
@@ -126,22 +126,23 @@ def judge(df: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow",
     """``df`` with the columns host, path, rule (null where none fits) and verdict."""
     sc = df.sparkSession.sparkContext
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    out = df.select(*kept)
+    # the caller's columns travel in a struct, so that no name can clash
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0)).alias("_row"), F.col(f"`{url}`").alias("_url"))
     n = 0
     for trie in tries(rules, most_chars):
-        out = out.withColumn(f"_best{n}", _fitting(sc.broadcast(trie))(F.col(url)))
+        out = out.withColumn(f"_best{n}", _fitting(sc.broadcast(trie))(F.col("_url")))
         n += 1
     rank = lambda k: F.struct(
         F.length(f"_best{k}.host") + F.length(f"_best{k}.path"), F.length(f"_best{k}.host"), F.col(f"_best{k}.verdict") == "block", F.col(f"_best{k}").alias("best")
     )
     ranked = [F.when(F.col(f"_best{k}").isNotNull(), rank(k)) for k in range(n)]
     best = F.greatest(*ranked)["best"] if n > 1 else F.col("_best0")
-    has = F.instr(F.col(url), "://") > 0
-    rest = F.when(has, F.regexp_replace(F.col(url), "^(?s).*?://", "")).otherwise(F.lit(""))
+    has = F.instr("_url", "://") > 0
+    rest = F.when(has, F.regexp_replace("_url", "^(?s).*?://", "")).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
     return out.select(
-        *kept, host.alias("host"), path.alias("path"), F.concat(best["host"], best["path"]).alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict")
+        *[F.col("_row").getField(c).alias(c) for c in kept], host.alias("host"), path.alias("path"), F.concat(best["host"], best["path"]).alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict")
     )
 
 

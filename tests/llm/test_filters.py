@@ -38,6 +38,13 @@ def test_urls(spark, chars):
     assert url_filter.judge(df.where("false"), rules).count() == 0
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://a.net/es/", 7, 8, 9)], "page_id long, url string, _best0 long, _row long, `_url` long")
+    out = url_filter.judge(df)
+    assert out.columns == [*df.columns, "host", "path", "rule", "verdict"]
+    assert tuple(out.first()) == (1, "http://a.net/es/", 7, 8, 9, "a.net", "/es/", "net/es/", "block")
+
+
 def test_url_query(spark, sf_dir):
     got = url_filter.op2_url_filter(spark, sf_dir)
     urls = dict(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect())
