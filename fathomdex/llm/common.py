@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,10 +65,21 @@ def unstage(*dfs: DataFrame) -> None:
         fs.delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, as whole texts may be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows; Spark bounds a batch by its bytes, this what Python makes of it at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def fields(df: DataFrame, *without: str) -> str:
+    """The columns as the schema of a function's result begins with them."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without)
+
+
+def packed(df: DataFrame) -> Column:
+    """The whole row as ``_row``, so that no name of its columns can clash with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
 
 
 def word_count(text: Column) -> Column:

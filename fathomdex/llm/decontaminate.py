@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches
+from .common import pieces, read_table
 
 Q, WINDOW, EDIT_SHARE, SHORTEST = 12, 80, 0.05, 32
 PART_CHARS = 16_000_000
@@ -206,7 +206,6 @@ def parts_of(benchmark: DataFrame, most: int = PART_CHARS) -> Iterator[Benchmark
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, a row for each item that a document leaks: item_id, start, end, edits, shared."""
     spark = docs.sparkSession
-    small_batches(spark)
     new = ("item_id", "start", "end", "edits", "shared")
     kept = docs.drop(*new)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != text)
@@ -214,7 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
     def over(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 found = list(shared.value.find(batch.column(batch.schema.get_field_index(text)).to_pylist()))
                 rows = pa.array([f[0] for f in found], pa.int64())
                 rest = [(n, c.take(rows)) for n, c in zip(batch.schema.names, batch.columns) if n != text]
@@ -233,13 +232,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the documents that leak an item."""
     spark = docs.sparkSession
-    small_batches(spark)
     out = docs
     for part in parts_of(benchmark):
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 clean[[f[0] for f in shared.value.find(batch.column(batch.schema.get_field_index(text)).to_pylist())]] = False
                 yield batch.filter(pa.array(clean))

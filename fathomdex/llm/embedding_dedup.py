@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, staged, unstage
+from .common import read_table, staged, unstage
 from .graph import components
 
 THRESHOLD, RECALL = 0.95, 0.98
@@ -317,7 +317,6 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, queries: int = A
 
 def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """For each row: its id, n_links, component_id and kept."""
-    small_batches(vectors.sparkSession)
     rows = staged(usable(vectors, vec, embedding), "vectors")
     nodes = staged(rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")).select("id", "n", "v"), "nodes")
     n = nodes.count()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, read_table, small_batches
+from .common import bounded_sample, held_out, pieces, read_table
 from .ngrams import trigram_counts
 
 BITS = 12
@@ -40,7 +40,7 @@ LANGUAGES = 2000
 
 def _count_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in pieces(batches):
         for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
             counts = trigram_counts(text, BITS)
             sums[lang] = sums[lang] + counts if lang in sums else counts
@@ -98,12 +98,11 @@ def identify(counts: np.ndarray, table: np.ndarray, penalty: float = PENALTY) ->
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
     """``docs`` without its text, with lang_pred, score and languages (a map of the set to its proportions)."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((model[0], model[1].astype(np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             found: list[list[tuple[int, float]]] = [[] for _ in texts]
             real = [i for i, t in enumerate(texts) if langs and t is not None and any(map(str.isalpha, t))]
@@ -130,6 +129,5 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    small_batches(spark)
     model = learn(docs.where(~held_out(F.col("doc_id"), 3, 1)))
     return predict(docs.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")

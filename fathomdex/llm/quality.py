@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table, small_batches
+from .common import held_out, pieces, read_table
 from .ngrams import trigram_counts
 from .toxicity import labelled
 
@@ -110,10 +110,9 @@ def _terms_of(texts: list[str | None]) -> np.ndarray:
 
 def learn(sample: DataFrame) -> Space:
     """``sample``: a bounded number of rows with doc_id, text, label (0 or 1) and of (the number of labels of that value)."""
-    small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             x = _terms_of(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], batch["of"], pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["doc_id", "label", "of", "x"])
 
@@ -130,11 +129,10 @@ def learn(sample: DataFrame) -> Space:
 def score(docs: DataFrame, space: Space, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without its text, with score and predicted."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             s = np.concatenate([shared.value.score(_terms_of(texts[k : k + 500])) for k in range(0, len(texts), 500)] or [np.empty(0)])
             rest = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != text]

@@ -2,20 +2,25 @@
 
 Two fingerprints within r bits agree on at least k of r + k blocks of bits. Each
 distinct fingerprint therefore goes to one bucket per choice of k blocks, and any two
-that must be linked meet in a bucket; the pair belongs to the first of those. In a
+that must be linked meet in a bucket; the pair belongs to the first of those. The
+blocks are the key of the shuffle only, and the same at every size. In each
 bucket, fingerprints are sorted by Gray rank and indexed: consecutive ones share
 bits, which are factored into nodes as masked patterns, upper nodes holding what
 their children share. A search for all fingerprints at once goes down the levels and
 adds the differences to each node's own bits; a node whose sum exceeds r is pruned
-with its whole group. A bucket returns no more links than it has members: a
-spanning forest of the links found.
+with its whole group, and so is a node all of whose members are joined with the one
+that is searched for already. A bucket returns no more links than it has members: a
+spanning forest. Buckets of more than ``BUCKET`` members are cut into parts, and each
+two parts meet in a group of their own.
 
 Equal fingerprints are one node from the start, so copies cost nothing here.
 
 Defined cases: null and empty texts have fingerprint zero, which is linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows are
 copies; rows with a null id take part and have the smallest id of their component;
-an empty table gives an empty result.
+an empty table gives an empty result; of the input's columns ``fingerprints`` passes
+all on but the text and one named ``_fp``, and ``drop_near_copies`` all whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,13 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, staged, unstage
+from .common import fields, packed, pieces, read_table, staged, unstage
 from .graph import components
 
 SEED = 42
-#: Fingerprints that a bucket should hold on average, and up to which size all its pairs are compared outright.
-BUCKET, DIRECT = 1024, 512
-FANOUT = 16
+#: Blocks that agree in a bucket; members of a bucket that isn't cut.
+BLOCKS, BUCKET = 2, 50_000
+#: Members of a node; places that the search of one block of fingerprints can reach at most (a single one may reach its whole bucket).
+FANOUT, REACH = 16, 4_000_000
 
 
 def _digests(text: str, words: int) -> np.ndarray:
@@ -73,17 +79,16 @@ def fingerprint(text: str | None, words: int) -> int:
 
 def fingerprints(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``_fp`` (the fingerprint as a signed long)."""
-    small_batches(docs.sparkSession)
+    docs = docs.drop("_fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             one = [fingerprint(t, words) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             cols = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != text]
             cols.append(pa.array(np.array(one, dtype=np.uint64).view(np.int64)))
             yield pa.RecordBatch.from_arrays(cols, names=[*[n for n in batch.schema.names if n != text], "_fp"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return docs.mapInArrow(run, f"{fields}, _fp long")
+    return docs.mapInArrow(run, ", ".join(x for x in (fields(docs, text), "_fp long") if x))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -95,54 +100,84 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels of nodes over fingerprints in Gray order; each node keeps only the bits that its parent doesn't."""
+    """Levels of nodes over groups of fingerprints, each group in Gray order; a node keeps only the bits that its parent doesn't.
+
+    ``starts`` are the first places of the groups in ``codes``. A node never spans two groups; the top level has one for each.
+    """
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
+    def __init__(self, codes: np.ndarray, starts: np.ndarray):
+        self.starts, self.sizes = starts, np.diff(np.append(starts, len(codes)))
         ones, zeros = codes, codes  # AND and OR of the members
-        masks, patterns, self.size = [], [], [1]
+        mask, ends = np.full(len(codes), ~np.uint64(0)), np.arange(1, len(codes) + 1)
+        self.patterns, self.own, self.ends, self.children = [codes], [], [ends], []
+        count, offset = self.sizes, starts
         while True:
-            masks.append(~(ones ^ zeros))
-            patterns.append(ones & masks[-1])
-            if len(ones) <= FANOUT:
-                break
-            cuts = np.arange(0, len(ones), FANOUT)
+            up = -(-count // FANOUT)
+            local = np.arange(up.sum()) - np.repeat(np.cumsum(up) - up, up)
+            cuts = np.repeat(offset, up) + local * FANOUT
             ones, zeros = np.bitwise_and.reduceat(ones, cuts), np.bitwise_or.reduceat(zeros, cuts)
-            self.size.append(self.size[-1] * FANOUT)
-        self.own = [m & ~np.repeat(up, FANOUT)[: len(m)] for m, up in zip(masks, masks[1:])] + [masks[-1]]
-        self.patterns = patterns
-
-    def pairs(self, r: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places i < j within r bits, for one block of i after another."""
-        n = len(self.codes)
-        for start in range(0, n, block):
-            here = np.arange(start, min(n, start + block))
-            level = len(self.patterns) - 1
-            nodes = np.arange(len(self.patterns[level]))
-            i, node = np.repeat(here, len(nodes)), np.tile(nodes, len(here))
-            acc = np.zeros(len(i), dtype=np.uint8)
-            while True:
-                acc = acc + np.bitwise_count((self.codes[i] ^ self.patterns[level][node]) & self.own[level][node])
-                keep = (acc <= r) & ((node + 1) * self.size[level] > i + 1)
-                i, node, acc = i[keep], node[keep], acc[keep]
-                if not level:
-                    break
-                level -= 1
-                i, acc = np.repeat(i, FANOUT), np.repeat(acc, FANOUT)
-                node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                there = node < len(self.patterns[level])
-                i, node, acc = i[there], node[there], acc[there]
-            yield i, node
-
-
-def _direct(codes: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= r)
-    return i[i < j], j[i < j]
-
-
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest place that each of n places reaches over the links."""
-    label = np.arange(n)
+            children = np.append(cuts, len(mask))
+            above = ~(ones ^ zeros)
+            self.own.append(mask & ~np.repeat(above, np.diff(children)))
+            self.patterns.append(ones & above)
+            self.children.append(children)
+            self.ends.append(self.ends[-1][children[1:] - 1])
+            mask, count, offset = above, up, np.cumsum(up) - up
+            if count.max() == 1:
+                break
+        self.own.append(mask)
+
+    def _joined(self, label: np.ndarray) -> list[np.ndarray]:
+        """Per level, the label that all members of a node have, or -1."""
+        out = [label]
+        for children in self.children:
+            low, high = np.minimum.reduceat(out[-1], children[:-1]), np.maximum.reduceat(out[-1], children[:-1])
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def _search(self, r: int, codes: np.ndarray, groups: np.ndarray, after: np.ndarray, label: np.ndarray, joined: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        level = len(self.patterns) - 1
+        i, node, acc = np.arange(len(codes)), groups, np.zeros(len(codes), dtype=np.uint8)
+        while True:
+            acc = acc + np.bitwise_count((codes[i] ^ self.patterns[level][node]) & self.own[level][node])
+            keep = (acc <= r) & (self.ends[level][node] > after[i] + 1) & (joined[level][node] != label[i])
+            i, node, acc = i[keep], node[keep], acc[keep]
+            if not level:
+                return i, node
+            level -= 1
+            first = self.children[level][node]
+            width = self.children[level][node + 1] - first
+            i, acc = np.repeat(i, width), np.repeat(acc, width)
+            node = np.arange(len(i)) + np.repeat(first - np.cumsum(width) + width, width)
+
+    def join(self, r: int, codes: np.ndarray, member: np.ndarray, query: np.ndarray, groups: np.ndarray, after: np.ndarray, near=None) -> np.ndarray:
+        """The labels of all rows once each query is linked with all places of its group within r bits that lie after ``after``.
+
+        ``codes`` are those of all rows, ``member`` the rows that stand at the places, ``query`` rows too. ``near``
+        keeps some of the pairs of rows.
+        """
+        label = np.arange(len(codes))
+        joined = self._joined(label[member])
+        cost, at = np.cumsum(self.sizes[groups]), 0
+        while at < len(query):
+            to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + REACH, side="right")))
+            rows = query[at:to]
+            i, place = self._search(r, codes[rows], groups[at:to], after[at:to], label[rows], joined)
+            u, v = rows[i], member[place]
+            if len(u) and near is not None:
+                keep = near(u, v)
+                u, v = u[keep], v[keep]
+            if len(u):
+                label = forest(label, u, v)
+                if to < len(query):
+                    joined = self._joined(label[member])
+            at = to
+        return label
+
+
+def forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels (each the least place of those joined) after the links (i, j)."""
+    label = label.copy()
     while len(i):
         low = np.minimum(label[i], label[j])
         before = label.copy()
@@ -160,22 +195,13 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 class Blocks:
     """The r + k blocks of bits, and one bucket for each choice of k of them."""
 
-    def __init__(self, r: int, k: int):
+    def __init__(self, r: int, k: int = BLOCKS):
         cuts = np.linspace(0, 64, r + k + 1).round().astype(int)
         self.spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
         self.choices = list(combinations(range(r + k), k))
         self.masks = np.array([((1 << (b - a)) - 1) << a for a, b in self.spans], dtype=np.uint64)
         self.k = k
 
-    @classmethod
-    def for_size(cls, r: int, n: int) -> "Blocks":
-        """More blocks agree, and more buckets are made, as there are more fingerprints, so that buckets stay small."""
-        for k in (1, 2, 3):
-            blocks = cls(r, k)
-            if n <= BUCKET << (64 * k // (r + k)):
-                break
-        return blocks
-
     def keys(self, fp: Column) -> Column:
         """An array of bucket numbers: the choice, then the bits of its blocks."""
         part = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in self.spans]
@@ -188,87 +214,139 @@ class Blocks:
             out.append(F.struct(F.lit(number).alias("choice"), key.alias("key")))
         return F.array(*out)
 
-    def owned(self, choice: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether this choice is the first under which two fingerprints share a bucket."""
+    def owned(self, choice: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether these choices are the first under which the fingerprints share a bucket."""
         same = ((x ^ y)[:, None] & self.masks[None, :]) == 0
         rank = same.cumsum(axis=1)
-        first = np.zeros(same.shape, dtype=bool)
-        first[:, list(self.choices[choice])] = True
-        return ((same & (rank <= self.k)) == first).all(axis=1)
+        chosen = np.zeros((len(self.choices), len(self.spans)), dtype=bool)
+        for number, blocks in enumerate(self.choices):
+            chosen[number, list(blocks)] = True
+        return ((same & (rank <= self.k)) == chosen[choice]).all(axis=1)
+
+
+#: Rows that are indexed together, at the next end of a bucket.
+TOGETHER = 1 << 16
+_GROUP = ("choice", "key", "a", "b")
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """The places at which a row differs from the one before, the first included."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def _linking(blocks: Blocks | None, r: int, both: int | None = None):
-    """Finds the links in buckets, whose rows come sorted by bucket. Without blocks, a pair may be found in several."""
-
-    def links(choice: int, node: np.ndarray, fp: np.ndarray, fp2: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(gray_rank(fp), kind="stable")
-        node, fp = node[order], fp[order]
-        fp2 = fp2[order] if fp2 is not None else None
-        found = [(np.empty(0, dtype=int), np.empty(0, dtype=int))]
-        for i, j in [_direct(fp, r)] if len(fp) <= DIRECT else GrayIndex(fp).pairs(r):
-            if len(i) and both is not None:
-                near = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(fp2[i] ^ fp2[j]) <= both
-                i, j = i[near], j[near]
-            if len(i) and blocks is not None:
-                own = blocks.owned(choice, fp[i], fp[j])
-                i, j = i[own], j[own]
-            if len(i) > len(fp):  # a block of many links shrinks to its forest at once
-                label = forest(len(fp), i, j)
-                i = np.flatnonzero(label != np.arange(len(fp)))
-                j = label[i]
-            if len(i):
-                found.append((i, j))
-        i, j = (np.concatenate(x) for x in zip(*found))
-        label = forest(len(fp), i, j)
-        i = np.flatnonzero(label != np.arange(len(fp)))
-        return node[i], node[label[i]]
+    """Finds the links in buckets, whose rows come sorted by _GROUP. Without blocks, a pair may be found in several."""
+
+    def links(choice, key, a, b, part, node, fp, fp2=None) -> tuple[np.ndarray, np.ndarray]:
+        starts = _changes(choice, key, a, b)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+        several = np.bincount(group)[group] > 1
+        if not several.any():
+            return node[:0], node[:0]
+        choice, a, b, part, node, fp, group = (x[several] for x in (choice, a, b, part, node, fp, group))
+        fp2 = fp2[several] if fp2 is not None else None
+        order = np.lexsort((gray_rank(fp), group))
+        member = order[part[order] == b[order]]
+        starts = _changes(group[member])
+        known = group[member][starts]  # a group of two parts may lack one of them
+        query = order[(part[order] == a[order]) & np.isin(group[order], known)]
+        place = np.full(len(fp), -1)
+        place[member] = np.arange(len(member))
+
+        def near(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            keep = np.ones(len(u), dtype=bool)
+            if both is not None:
+                keep &= np.bitwise_count(fp[u] ^ fp[v]) + np.bitwise_count(fp2[u] ^ fp2[v]) <= both
+            if blocks is not None:
+                keep &= blocks.owned(choice[u], fp[u], fp[v])
+            return keep
+
+        index = GrayIndex(fp[member], starts)
+        after = np.where(a[query] == b[query], place[query], -1)
+        label = index.join(r, fp, member, query, np.searchsorted(known, group[query]), after, near)
+        u = np.flatnonzero(label != np.arange(len(label)))
+        return node[u], node[label[u]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            choice, key, *cols = (np.concatenate(x) for x in zip(*held))
-            cuts = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1])) + 1
-            out = []
-            for a, b in zip([0, *cuts], [*cuts, len(key)]):
-                if b - a > 1:
-                    u, v = links(int(choice[a]), *[c[a:b] for c in cols], *[None] * (3 - len(cols)))
-                    if len(u):
-                        out.append((u, v))
-            if out:
-                u, v = (np.concatenate(x) for x in zip(*out))
+            u, v = links(*(np.concatenate(x) for x in zip(*held)))
+            if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            arrays = [batch["choice"].to_numpy(), batch["key"].to_numpy(), batch["node"].to_numpy()]
-            arrays += [batch[c].to_numpy().view(np.uint64) for c in ("_fp", "_fp2") if c in batch.schema.names]
-            changed = np.flatnonzero((arrays[0][1:] != arrays[0][:-1]) | (arrays[1][1:] != arrays[1][:-1]))
-            last = changed[-1] + 1 if len(changed) else 0
-            if held and ((arrays[0][0], arrays[1][0]) != (held[-1][0][-1], held[-1][1][-1])):
-                yield from close()
-                held = []
-            if last:
-                held.append(tuple(a[:last] for a in arrays))
-                yield from close()
-                held = []
-            held.append(tuple(a[last:] for a in arrays))
+            arrays = tuple(batch[c].to_numpy() for c in (*_GROUP, "part", "node"))
+            arrays += tuple(batch[c].to_numpy().view(np.uint64) for c in ("_fp", "_fp2") if c in batch.schema.names)
+            if size >= TOGETHER:
+                cut = _changes(*arrays[:4])
+                if any(x[0] != y[-1] for x, y in zip(arrays[:4], held[-1])):
+                    cut = np.append(cut, 0)  # the batch begins with a new group
+                else:
+                    cut = cut[cut > 0]
+                if len(cut):
+                    to = int(cut.min())
+                    if to:
+                        held.append(tuple(x[:to] for x in arrays))
+                    yield from close()
+                    held, size, arrays = [], 0, tuple(x[to:] for x in arrays)
+            held.append(arrays)
+            size += len(arrays[0])
         if held:
             yield from close()
 
     return run
 
 
+#: Counters by which large buckets are told: a bucket's counter counts it and others.
+COUNTERS = 1 << 16
+
+
+def dealt(spread: DataFrame, most: int = 0) -> DataFrame:
+    """``spread`` (choice, key, node, ...) with part, a and b, laid out for ``_linking``.
+
+    Buckets of more than ``most`` rows are cut into parts by node; a row goes to all
+    groups of its part and another. Only buckets under a large counter are counted exactly.
+    """
+    most = most or BUCKET
+    counter = F.pmod(F.xxhash64("choice", "key"), F.lit(COUNTERS)).cast("int")
+    full = staged(spread.groupBy(counter.alias("_counter")).count().where(F.col("count") > most).select("_counter"), "counters")
+    if full.isEmpty():
+        out = spread.select("*", *[F.lit(0).alias(c) for c in ("part", "a", "b")])
+    else:
+        inside = spread.withColumn("_counter", counter).join(F.broadcast(full), "_counter", "left_semi")
+        large = staged(inside.groupBy("choice", "key").count().where(F.col("count") > most).select("choice", "key", F.ceil(F.col("count") / most).cast("int").alias("_parts")), "large")
+        parts = F.coalesce("_parts", F.lit(1))
+        cut = spread.join(_small(large), ["choice", "key"], "left").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), parts).cast("int"))
+        cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        out = cut.select(*spread.columns, "part", F.least("part", "_other").alias("a"), F.greatest("part", "_other").alias("b"))
+    return out.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+
 def link(nodes: DataFrame, r: int) -> DataFrame:
     """Links (u, v) that join all nodes within r bits of each other.
 
     ``nodes``: a staged table of distinct (node, _fp). Fingerprints are only ever
     gathered by bucket.
     """
-    blocks = Blocks.for_size(r, nodes.count())
+    blocks = Blocks(r)
     spread = nodes.withColumn("_at", F.explode(blocks.keys(F.col("_fp")))).select("_at.choice", "_at.key", "node", "_fp")
-    return spread.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_linking(blocks, r), "u long, v long")
+    return dealt(spread).mapInArrow(_linking(blocks, r), "u long, v long")
+
+
+#: Rows of a table of ids or groups that may be broadcast; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -280,26 +358,30 @@ def _roots(links: DataFrame) -> DataFrame:
 
 
 def _least(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(_node, _least): the smallest doc_id of each node's component. ``nodes``: node, least."""
-    of = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("_least"))
-    return staged(of.join(least, "root").select(F.col("node").alias("_node"), "_least"), "groups")
+    """(_node, _least): the smallest doc_id of each node's component. ``nodes``: node, least.
+
+    Only nodes that have links are joined by their root, of which many may have the same.
+    """
+    linked = nodes.join(roots, "node")
+    least = staged(linked.groupBy("root").agg(F.min("least").alias("_least")), "least")
+    changed = linked.join(_small(least), "root").select("node", "_least")
+    return staged(nodes.join(changed, "node", "left").select(F.col("node").alias("_node"), F.coalesce("_least", "least").alias("_least")), "groups")
 
 
 def grouped(marked: DataFrame, r: int) -> DataFrame:
     """(_node, _least) of fingerprints within r bits. ``marked``: a staged table of doc_id, _fp, _node."""
     nodes = staged(marked.groupBy(F.col("_node").alias("node"), "_fp").agg(F.min("doc_id").alias("least")), "nodes")
-    return _least(nodes, _roots(link(nodes.drop("least"), r)))
+    return _least(nodes.drop("_fp"), _roots(link(nodes.drop("least"), r)))
 
 
 #: Near-copies share NEAR[0] of NEAR[1] of the different shingles that either has.
 NEAR = (4, 5)
-#: Candidates agree on all ROWS minima of one of BANDS bands: at a similarity of 0.8 all bands fail in 4e-8 of pairs.
-ROWS, BANDS = 6, 56
+#: Candidates agree on all ROWS minima of one of BANDS bands: at a similarity of 0.8 all bands fail in 2e-5 of pairs.
+ROWS, BANDS = 6, 36
 #: They also differ in no more bits than this, of 64 and of 128. At 0.8 pairs differ in 15% to 19% of bits: the bounds are 4.5 deviations off or more.
 WIDE, WIDE_BOTH = 26, 48
-#: Shingles that a part of a family of candidates holds on average; parts are verified two at a time.
-PART = 1_000_000
+#: Shingles that a group of candidates holds on average when it is verified in one piece.
+PART = 200_000
 
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 _WEIGHTS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -318,30 +400,26 @@ def _band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text, ``_text`` to doc_id, ``_text``, ``_node`` (a hash of the set of shingles), ``_n`` of them, 128 bits, band keys and the sorted hashes."""
-    small_batches(docs.sparkSession)
+    """doc_id, text, ``_text`` to doc_id, ``_text``, ``_node`` (a hash of the set of shingles), ``_n`` of them, 128 bits and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["text"]
-            for at in range(0, batch.num_rows, 100):
-                sets = [np.unique(_digests(t or "", words)) for t in texts.slice(at, 100).to_pylist()]
-                node = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
-                one, two = [_majority(x) for x in sets], [_majority(_remixed(x)) for x in sets]
-                longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (node, one, two)]
-                n = pa.array([len(x) for x in sets], type=pa.int64())
-                keys = pa.array([_band_keys(x) for x in sets], type=pa.list_(pa.int64()))
-                raw = pa.array([x.tobytes() for x in sets], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, 100), batch["_text"].slice(at, 100), longs[0], n, *longs[1:], keys, raw], names=["doc_id", "_text", "_node", "_n", "_fp", "_fp2", "_keys", "_set"])
+        for batch in pieces(batches, 100):
+            sets = [np.unique(_digests(t or "", words)) for t in batch["text"].to_pylist()]
+            node = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
+            one, two = [_majority(x) for x in sets], [_majority(_remixed(x)) for x in sets]
+            longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (node, one, two)]
+            n = pa.array([len(x) for x in sets], type=pa.int64())
+            keys = pa.array([_band_keys(x) for x in sets], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_text"], longs[0], n, *longs[1:], keys], names=["doc_id", "_text", "_node", "_n", "_fp", "_fp2", "_keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "_text").mapInArrow(run, f"doc_id {kind}, _text long, _node long, _n long, _fp long, _fp2 long, _keys array<long>, _set binary")
+    return docs.select("doc_id", "text", "_text").mapInArrow(run, f"doc_id {kind}, _text long, _node long, _n long, _fp long, _fp2 long, _keys array<long>")
 
 
-def near_sets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def near_sets(sets: list[np.ndarray], label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that join all sets with a Jaccard similarity of NEAR or more, each of them such a pair.
 
-    A set is only held against larger ones that it isn't joined with yet.
+    A set is only held against larger ones that it isn't joined with yet; ``label`` says what is joined before.
     """
     sizes = np.array([len(x) for x in sets])
     order = np.argsort(sizes, kind="stable")
@@ -349,7 +427,7 @@ def near_sets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)
     number = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
     mark = np.zeros(int(number.max()) + 1, dtype=bool)
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if label is None else label[order].copy()
     u, v = [], []
     for i in range(len(sets) - 1):
         j = np.arange(i + 1, np.searchsorted(sizes * NEAR[0], sizes[i] * NEAR[1], side="right"))
@@ -370,54 +448,93 @@ def near_sets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[np.array(u, dtype=int)], order[np.array(v, dtype=int)]
 
 
-def _verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links in groups of sets, whose rows come sorted by root, a, b."""
-    at, nodes, sets = None, [], []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if len(nodes) > 1:
-            i, j = near_sets(sets)
-            x = np.array(nodes, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[i]), pa.array(x[j])], names=["u", "v"])
+def _verifying(words: int):
+    """Links in groups of texts, whose rows come sorted by family, a, b."""
 
-    for batch in batches:
-        for key, node, raw in zip(zip(*(batch[c].to_pylist() for c in ("root", "a", "b"))), batch["node"].to_pylist(), batch["_set"]):
-            if key != at:
-                yield from close()
-                at, nodes, sets = key, [], []
-            nodes.append(node)
-            sets.append(np.frombuffer(raw.as_py(), dtype=np.uint64))
-    yield from close()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, labels, sets = None, [], [], []
 
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                i, j = near_sets(sets, np.array(labels))
+                x = np.array(nodes, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[i]), pa.array(x[j])], names=["u", "v"])
+
+        for batch in pieces(batches, 100):
+            for key, node, label, text in zip(zip(*(batch[c].to_pylist() for c in ("family", "a", "b"))), *(batch[c].to_pylist() for c in ("node", "label", "text"))):
+                if key != at:
+                    yield from close()
+                    at, nodes, labels, sets = key, [], [], []
+                nodes.append(node)
+                labels.append(label)
+                sets.append(np.unique(_digests(text, words)))
+        yield from close()
 
-#: Ids of documents to drop, or nodes, that may be broadcast; more are dropped by a shuffled join.
-BROADCAST_IDS = 500_000
+    return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+def verified(rows: DataFrame, words: int) -> DataFrame:
+    """Links between near-copies of one family. ``rows``: a staged table of node, family, _n (shingles) and text.
 
+    A family of up to ``PART`` shingles is one group. A larger one is cut into parts
+    that are verified in themselves at first; then one text of each set of joined ones is held
+    against those of the other parts; at last the texts that still aren't joined with the most of
+    their family are held against all of it. So a large group of near-copies costs
+    about as much as it has members, and no pair is passed over.
+    """
 
-def near_groups(marked: DataFrame) -> DataFrame:
-    """(_node, _least): the smallest (doc_id, _text) of each group of near-copies. ``marked``: a staged table of ``shingle_sets``.
+    def check(df: DataFrame) -> DataFrame:
+        return df.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(_verifying(words), "u long, v long")
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        """Adds how many parts the rows of each family make, and the row's own."""
+        parts = staged(df.groupBy("family").agg(F.ceil(F.sum("_n") / PART).cast("int").alias(f"{name}s")), "parts")
+        return df.join(_small(parts), "family").withColumn(name, F.pmod(F.xxhash64(F.lit(name), "node"), F.col(f"{name}s")).cast("int"))
+
+    def labelled(df: DataFrame, links: DataFrame) -> DataFrame:
+        return df.join(_roots(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+    rows = cut(rows, "_part")
+    alone = F.col("node").alias("label")
+    links = staged(check(rows.select("family", F.col("_part").alias("a"), F.lit(0).alias("b"), "node", alone, "text")), "links")
+    large = rows.where("_parts > 1")
+    if large.isEmpty():
+        return links
+    first = labelled(large, links).where("label = node").drop("_part", "_parts", "label")
+    again = cut(first, "_part")
+    pairs = again.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    links = staged(links.union(check(pairs.select("family", F.least("_part", "_other").alias("a"), F.greatest("_part", "_other").alias("b"), "node", alone, "text"))), "links")
+    # the rest against the whole of their families
+    now = labelled(large, links)
+    most = staged(now.groupBy("family", "label").agg(F.sum("_n").alias("size")).groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("_most"), F.count("*").alias("_labels")).where("_labels > 1"), "most")
+    if most.isEmpty():
+        return links
+    now = now.join(_small(most), "family")
+    rest = cut(now.where("label <> _most").drop("_part", "_parts"), "_rest")
+    many = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    rest = rest.join(_small(staged(now.select("family", "_parts").distinct(), "families")), "family").withColumn("b", many)
+    rests = staged(rest.select("family", "_rests").distinct(), "rests")
+    whole = now.join(_small(rests), "family").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("_rests") - 1))).withColumn("b", F.col("_part"))
+    both = rest.withColumn("a", F.col("_rest")).select("family", "a", "b", "node", "label", "text").union(whole.select("family", "a", "b", "node", "label", "text"))
+    return links.union(check(both))
+
+
+def near_groups(marked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(_node, _least): the smallest (doc_id, _text) of each group of near-copies. ``marked``: a staged table of ``shingle_sets`` of ``docs``.
 
     Nodes that share a band and are within the wide bounds of bits are joined into
-    families of candidates, kept as spanning forests. Then each set goes to its
-    family, and only pairs that are near by their sets of shingles become links. A
-    large family is cut into parts, and each two parts meet in one task.
+    families of candidates, kept as spanning forests. The texts of families are read
+    again, and only pairs that are near by their sets of shingles become links.
     """
     firsts = [F.first(c).alias(c) for c in ("_n", "_fp", "_fp2", "_keys")]
     nodes = staged(marked.groupBy(F.col("_node").alias("node")).agg(F.min(F.struct("doc_id", "_text")).alias("least"), *firsts), "nodes")
-    spread = nodes.select(F.lit(0).alias("choice"), F.explode("_keys").alias("key"), "node", "_fp", "_fp2").repartition("key").sortWithinPartitions("choice", "key")
-    family = _roots(spread.mapInArrow(_linking(None, WIDE, WIDE_BOTH), "u long, v long"))
-    small = _small(family)
-    parts = nodes.select("node", "_n").join(small, "node").groupBy("root").agg(F.ceil(F.sum("_n") / PART).cast("int").alias("parts"))
-    sets = marked.select(F.col("_node").alias("node"), "_set").join(small, "node").groupBy("node", "root").agg(F.first("_set").alias("_set")).join(parts, "root")
-    mine, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("other")
-    dealt = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("root", F.least("mine", other).alias("a"), F.greatest("mine", other).alias("b"), "node", "_set")
-    links = dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(_verifying, "u long, v long")
-    return _least(nodes.select("node", "least"), _roots(links))
+    spread = nodes.select(F.lit(0).alias("choice"), F.explode("_keys").alias("key"), "node", "_fp", "_fp2")
+    family = _roots(dealt(spread).mapInArrow(_linking(None, WIDE, WIDE_BOTH), "u long, v long"))
+    chosen = _small(staged(nodes.join(family.withColumnRenamed("root", "family"), "node").select("least.doc_id", "least._text", "node", "family", "_n"), "chosen"))
+    texts = staged(docs.select("doc_id", "_text", "text").join(chosen, ["doc_id", "_text"]).select("node", "family", "_n", "text").dropDuplicates(["node"]), "texts")
+    groups = _least(nodes.select("node", "least"), _roots(verified(texts, words)))
+    unstage(nodes, texts)
+    return groups
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -429,16 +546,17 @@ def drop_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     that share an id and a text one stays. A row is known by its id and its text's hash.
     """
     row = ["doc_id", "_text"]
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    marked = staged(shingle_sets(keyed.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()), words), "marked")
-    out = marked.select(*row, "_node").join(near_groups(marked), "_node").where(F.struct(*row) != F.col("_least")).select(*row).distinct()
-    out = _small(staged(out, "copies"))
+    keyed = docs.select(packed(docs), "doc_id", F.xxhash64("text").alias("_text"))
+    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    marked = staged(shingle_sets(worded, words), "marked")
+    out = marked.select(*row, "_node").join(near_groups(marked, worded, words), "_node").where(F.struct(*row) != F.col("_least")).select(*row).distinct()
+    out = staged(out, "copies")
     unstage(marked)
-    kept = keyed.join(out, row, "left_anti")
+    kept = keyed.join(_small(out), row, "left_anti")
     again = staged(keyed.where(F.col("doc_id").isNotNull()).groupBy(*row).count().where("count > 1").select(*row), "again")
     if not again.isEmpty():
         kept = kept.join(again, row, "left_anti").select(*keyed.columns).unionByName(kept.join(again, row, "left_semi").select(*keyed.columns).dropDuplicates(row))
-    return kept.select(*docs.columns)
+    return kept.select("_row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
-from .common import bounded_sample, held_out, read_table, small_batches, staged
+from .common import bounded_sample, held_out, pieces, read_table, staged
 
 TRAIN_DOCS = 12_000
 THRESHOLD = 0.7
@@ -113,7 +113,7 @@ N_FEATURES = 23
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that hold a stem, by label."""
     seen = Counter(), Counter()
-    for batch in batches:
+    for batch in pieces(batches):
         for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
             found = {s for w in set(tokens(text or "")) for s in stems(w)}
             seen[label].update(found)
@@ -145,13 +145,12 @@ def _features_of(batch: pa.RecordBatch, text: str, lexicon: dict[str, float]) ->
 def learn(sample: DataFrame) -> tuple[dict[str, float], Boosted]:
     """Lexicon and calibrated trees. ``sample``: a bounded number of rows with doc_id, text and label (0 or 1)."""
     spark = sample.sparkSession
-    small_batches(spark)
     sample = sample.select("doc_id", "text", "label")
     lexicon = induce_lexicon(sample.select("text", "label"))
     shared = spark.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             x = _features_of(batch, "text", shared.value)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
@@ -169,12 +168,11 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], Boosted]:
 def score(docs: DataFrame, model: tuple[dict[str, float], Boosted], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score and predicted."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, trees = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             s = trees.score(_features_of(batch, text, lexicon))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*batch.schema.names, "score", "predicted"])
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 from helpers import ODD
+from pyspark.sql import functions as F
 
 from fathomdex.llm import embedding_dedup, simhash
 from fathomdex.llm.graph import components
@@ -48,15 +49,51 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text, 4) == brute_fingerprint(text, 4)
 
 
-@pytest.mark.parametrize("n, r", [(1, 4), (17, 4), (700, 4), (700, 12), (3000, 3)])
+def within(codes, r):
+    i, j = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= r)
+    return {(int(a), int(b)) for a, b in zip(i, j) if a < b}
+
+
+def some_codes(rng, n):
+    near = (np.uint64(99) ^ (np.uint64(1) << rng.integers(0, 40, n, dtype=np.uint64))) ^ (np.uint64(1) << rng.integers(0, 60, n, dtype=np.uint64))
+    codes = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64), near]))
+    return codes[np.argsort(simhash.gray_rank(codes), kind="stable")]
+
+
+@pytest.mark.parametrize("n, r", [(1, 4), (2, 4), (17, 4), (700, 4), (700, 12), (3000, 3)])
 def test_gray_index_finds_all_pairs(n, r):
-    rng = np.random.default_rng(n)
-    codes = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64), (np.uint64(99) ^ (np.uint64(1) << rng.integers(0, 40, n, dtype=np.uint64))) ^ (np.uint64(1) << rng.integers(0, 60, n, dtype=np.uint64))]))
-    codes = codes[np.argsort(simhash.gray_rank(codes), kind="stable")]
+    codes = some_codes(np.random.default_rng(n), n)
     assert (np.bitwise_count(codes[1:] ^ codes[:-1]) > 0).all()
-    got = {(int(a), int(b)) for i, j in simhash.GrayIndex(codes).pairs(r) for a, b in zip(i, j)}
-    i, j = simhash._direct(codes, r)
-    assert got == {(int(a), int(b)) for a, b in zip(i, j)}
+    index, every = simhash.GrayIndex(codes, np.array([0])), np.arange(len(codes))
+    never = [np.full(len(p), -1) for p in index.patterns]
+    i, j = index._search(r, codes, np.zeros(len(codes), dtype=int), every, every, never)
+    assert {(int(a), int(b)) for a, b in zip(i, j)} == within(codes, r)
+
+
+@pytest.mark.parametrize("seed, reach", [(0, 4_000_000), (1, 50), (2, 1)])
+def test_gray_index_over_many_groups(monkeypatch, seed, reach):
+    monkeypatch.setattr(simhash, "REACH", reach)
+    rng = np.random.default_rng(seed)
+    parts = [some_codes(rng, int(n)) for n in (1, 40, 2, 300, 5)]
+    codes, starts = np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1]
+    group, every = np.repeat(np.arange(5), list(map(len, parts))), np.arange(len(codes))
+    label = simhash.GrayIndex(codes, starts).join(4, codes, every, every, group, every)
+    pairs = [(a + s, b + s) for p, s in zip(parts, starts.tolist()) for a, b in within(p, 4)]
+    assert label.tolist() == union(len(codes), pairs)
+
+
+def test_the_index_is_built_for_every_bucket(spark, sf_dir, monkeypatch):
+    """All links of the registered query come from the index: without its search there are none."""
+    marked = simhash.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 4)
+    nodes = simhash.staged(marked.select("_fp").distinct().selectExpr("_fp AS node", "_fp"), "nodes")
+    assert simhash.link(nodes, 4).count() > 0
+    monkeypatch.setattr(simhash.GrayIndex, "_search", lambda self, *x: (np.empty(0, dtype=int), np.empty(0, dtype=int)))
+    found = simhash._linking(None, 4)
+    import pyarrow as pa
+
+    codes = np.array([7, 7 ^ 1, 1 << 40], dtype=np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(3, dtype=np.int64))] * 5 + [pa.array(codes)] * 2, names=["choice", "key", "a", "b", "part", "node", "_fp"])
+    assert not list(found([batch]))
 
 
 @pytest.mark.parametrize("r, k", [(4, 1), (4, 2), (12, 2), (12, 3), (4, 3)])
@@ -75,10 +112,11 @@ def test_each_link_has_one_bucket(spark, r, k):
     met = {}
     for n, keys in df.select("pair", blocks.keys(df["fp"])).collect():
         met.setdefault(n, []).append({tuple(x) for x in keys})
+    every = np.arange(len(blocks.choices))
     for n, (x, y) in enumerate(pairs):
         shared = {c for c, _ in met[n][0] & met[n][1]}
-        owners = [c for c in range(len(blocks.choices)) if blocks.owned(c, np.array([x], dtype=np.uint64), np.array([y], dtype=np.uint64))[0]]
-        assert owners == [min(shared)]
+        own = blocks.owned(every, np.full(len(every), x, dtype=np.uint64), np.full(len(every), y, dtype=np.uint64))
+        assert np.flatnonzero(own).tolist() == [min(shared)]
 
 
 def edited(rng, words, share):
@@ -93,7 +131,9 @@ def family(rng, docs, first):
     return rows
 
 
-def test_op6(spark, docs, folder):
+@pytest.mark.parametrize("bucket", [50_000, 12])
+def test_op6(spark, docs, folder, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     rng = random.Random(0)
     rows = list(enumerate(ODD))
     for k in range(6):
@@ -123,8 +163,8 @@ def test_drop_near_copies(spark, docs):
         rows += [(kept[-1] + 100 + j, " ".join(words)) for j in range(3)]
     alone = [(10_000 + k, " ".join(str(rng.random()) for _ in range(rng.choice([2, 30, 200])))) for k in range(300)]
     rows += alone + [(20_000, None), (20_001, ""), (20_002, " "), (None, "null id"), (None, "null id"), alone[0]]
-    out = simhash.drop_near_copies(docs(rows))
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    out = simhash.drop_near_copies(docs(rows).withColumn("_text", F.lit(1)).withColumn("_row", F.lit(2)))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_text", "_row"] and out.select("_text", "_row").distinct().count() == 1
     got = Counter(r["doc_id"] for r in out.collect())
     assert got == Counter([*kept, *[i for i, _ in alone], 20_000, 20_001, 20_002, None, None])
     assert simhash.drop_near_copies(docs(rows).where("false")).count() == 0
@@ -158,11 +198,16 @@ def test_rows_that_share_an_id_go_by_their_own_text(spark, docs):
     assert Counter(map(tuple, out)) == Counter([(1, a), (2, b), (3, c), (3, d), (4, None)])
 
 
-@pytest.mark.parametrize("part", [1_000_000, 100])
+@pytest.mark.parametrize("part", [1_000_000, 5000, 300])
 def test_families_in_parts(spark, docs, monkeypatch, part):
     monkeypatch.setattr(simhash, "PART", part)
     rng = random.Random(9)
     rows = [row for k in range(6) for row in family(rng, 30, 100 * k)]
+    # one family of candidates that holds several groups: texts that drift away from each other
+    words = [str(rng.randrange(10**6)) for _ in range(200)]
+    for k in range(60):
+        words = [w if rng.random() > 0.012 else str(rng.random()) for w in words]
+        rows.append((1000 + k, " ".join(words)))
     sets = [set(simhash._digests(t, 5).tolist()) for _, t in rows]
     root = union(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
     out = {r["doc_id"] for r in simhash.drop_near_copies(docs(rows)).collect()}
