@@ -9,29 +9,39 @@ the run is held against a uniform source over that alphabet by
 * a runs test of the symbols' upper and lower half of the alphabet (two-sided),
 * a serial-correlation test of neighbouring symbols (two-sided).
 
-A run that any of the three rejects (Bonferroni at ``ALPHA``) is not random. What
-remains is a discovery if it also can't well be ordinary text: under text, character
-classes follow each other as in ``FOLLOWS`` (among those the encoding has), letters
-come as often as in European languages, and digits are uniform. The probability of
-the run under text over that under the uniform source is its p-value (by Markov's
-inequality text has a quotient of p or less with probability p at most). Digits
-alone can't be told from ordinary numbers.
-The Benjamini-Hochberg rule at ``FALSE_DISCOVERIES`` is applied per length
-octave over the runs of all documents, on a histogram of the p-values.
+The least of the three p-values, times three, is the battery's p-value of a run. False
+discoveries are controlled twice, per length octave over the runs of all documents,
+each time by the Benjamini-Hochberg rule on a histogram of p-values:
+
+1. Runs that the battery rejects at ``ALPHA`` aren't random; among those given up so,
+   a share of ALPHA at most is random.
+2. Short runs of text may pass the battery for want of symbols, so what remains must also be
+   unlike text. Under text, character classes follow each other as in ``FOLLOWS`` (among
+   those the encoding has), letters come as often as in European languages, and digits are
+   uniform. The probability of the run under text over that under the uniform source is its
+   p-value (by Markov's inequality text has a quotient of p or less with probability p at
+   most); rejected runs count as never found. Runs that pass at ``FALSE_DISCOVERIES`` are found.
+
+Digits alone can't be told from ordinary numbers.
+
+Work is linear in a text but for the lists of its matches: these are made in chunks, at a cost
+of the power 4/3 of their number.
 
 Defined cases: null and empty texts have no span and the digest of the empty
-string; repeated rows get the same answer; an empty table gives an empty result.
-Positions are code points, ends exclusive.
+string; repeated rows get the same answer; an empty table gives an empty result; the
+input's columns pass through ``scan`` whatever their names, unless these are ``_base``
+or ``_added``. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
+from .common import packed, read_table, staged
 
 # The patterns of the base kinds, as the contract states them.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -63,24 +73,59 @@ FALSE_DISCOVERIES = 0.01
 #: Bins of -log10(p); all below 10 ** -(BINS / PER_DECADE) share the last one.
 PER_DECADE, BINS = 8, 1600
 
-SPAN = "array<struct<start: int, rank: int, end: int>>"
+SPAN, MATCH = "array<struct<start: int, rank: int, end: int>>", "array<struct<start: int, end: int, s: string>>"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
+    """For each item ``out`` (an array of ``kind``) of what ``step`` has accumulated before it and of the item.
+
+    The items are taken in chunks, as an array that grows is copied each time: with n of them in chunks of the cube
+    root of 2 n, about n to the power 4/3 items are copied.
+    """
+
+    def each(chunk: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("acc"), F.array().cast(kind).alias("out"))
+        return F.aggregate(chunk, start, lambda a, x: F.struct(step(a["acc"], x).alias("acc"), F.concat(a["out"], F.array(out(a["acc"], x))).alias("out")), lambda a: a["out"])
+
+    def whole(chunks: Column) -> Column:
+        start = F.struct(zero.alias("acc"), F.array(zero).alias("begins"))
+
+        def on(a: Column, chunk: Column) -> Column:
+            return _let(F.aggregate(chunk, a["acc"], step), lambda after: F.struct(after.alias("acc"), F.concat(a["begins"], F.array(after)).alias("begins")))
+
+        begins = F.aggregate(chunks, start, on, lambda a: a["begins"])
+        return F.flatten(F.zip_with(chunks, F.slice(begins, F.lit(1), F.size(chunks)), each))
+
+    def cut(all_items: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.cbrt(2 * F.size(all_items)))).cast("int")
+        last = F.greatest(F.lit(0), F.ceil(F.size(all_items) / size).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_items, k * size + 1, size))
+
+    return _let(items, lambda all_items: _let(cut(all_items), whole))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """The matches, leftmost and non-overlapping, as (start, end, s): the pieces between them give their places."""
+
+    def placed(whole: Column) -> Column:
+        zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("before"), whole.alias("s"))
+        step = lambda at, x: at + F.length(x["before"]) + F.length(x["s"])
+        out = lambda at, x: F.struct((at + F.length(x["before"])).alias("start"), step(at, x).alias("end"), x["s"].alias("s"))
+        return running(zipped, F.lit(0), step, out, MATCH)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _spans(text: Column, there: str, pattern: str, group: int, least: int, rank: int) -> Column:
-    """The matches, leftmost and non-overlapping, as (start, rank, end): the pieces between them give their places."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pieces = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("before"), whole.alias("whole"), measured.alias("part"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["whole"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    """The matches of one kind as (start, rank, end)."""
+    measured = lambda x: F.length(F.regexp_extract(x["s"], pattern, group) if group else x["s"])
+    found = F.filter(_matches(text, pattern), lambda x: measured(x) >= least)
+    found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end")))
     return F.when(text.rlike(there), found).otherwise(F.array().cast(SPAN))
 
 
@@ -105,16 +150,14 @@ def _normal_tail(z: str) -> str:
     return f"(1 / (1 + exp(least(700D, 1.5976D * ({z}) + 0.07056D * pow({z}, 3)))))"
 
 
-def _tested(df: DataFrame, text: Column, rank: int) -> DataFrame:
-    """Adds ``_tests``: (start, end, octave, bin) of each run that passes for random; bin -1: rejected, yet counted."""
-    df = df.withColumn("_r0", F.when(text.rlike(RUN), _spans(text, RUN, RUN, 0, 20, rank)).otherwise(F.array().cast(SPAN)))
-    df = df.withColumn("_text", text)
+def _tested(df: DataFrame, text: Column) -> DataFrame:
+    """Adds ``_tests``: (start, end, octave, level, bin) of each run, the bins of -log10 of the battery's p-value and of that under text."""
+    df = df.withColumn("_r0", F.when(text.rlike(RUN), _matches(text, RUN)).otherwise(F.array().cast(MATCH)))
     symbols = f"locate(c, '{UPPER + LOWER + DIGITS + SIGNS}')"
     own, steps = (f"array({', '.join(f'{x:.6f}D' for x in costs)})" for costs in _text_costs())
     names = " ".join(f"WHEN x.s RLIKE '^{pattern}+$' THEN {k}" for k, (pattern, _, _) in enumerate(ENCODINGS, 1))
     alphabets, sizes = "array({})".format(", ".join(f"'{a}'" for _, a, _ in ENCODINGS)), "array({})".format(", ".join(str(k) for _, _, k in ENCODINGS))
     stages = [
-        """transform({}, x -> named_struct('start', x.start, 'end', x.end, 's', substring(_text, x.start + 1, x.end - x.start)))""",
         f"""transform({{}}, x -> struct(x.start AS start, x.end AS end, x.s AS s, length(x.s) AS n, CASE {names} END AS code))""",
         f"""transform({{}}, x -> struct(x.start AS start, x.end AS end, x.n AS n, x.code AS code, element_at({sizes}, x.code) AS k, x.s AS s, element_at({alphabets}, x.code) AS alphabet))""",
         f"""transform({{}}, x -> struct(x.start AS start, x.end AS end, x.n AS n, x.k AS k,
@@ -139,18 +182,18 @@ def _tested(df: DataFrame, text: Column, rank: int) -> DataFrame:
              abs(x.runs - x.runs_mean) / sqrt(greatest(1e-9D, (x.runs_mean - 1) * (x.runs_mean - 2) / (x.n - 1))) AS z2,
              abs(x.serial) AS z3))""",
         f"""transform({{}}, x -> struct(x.start AS start, x.end AS end, CAST(floor(log2(x.n)) AS INT) AS octave,
-             CASE WHEN 3 * least({_normal_tail("x.z1")}, 2 * {_normal_tail("x.z2")}, 2 * {_normal_tail("x.z3")}) < {ALPHA} OR x.ratio <= 0 THEN -1
-                  ELSE CAST(least({BINS}, floor({PER_DECADE} / ln(10D) * x.ratio)) AS INT) END AS bin))""",
+             CAST(least({BINS}, floor(-{PER_DECADE} * log10(least(1D, greatest(1e-300D, 3 * least({_normal_tail("x.z1")}, 2 * {_normal_tail("x.z2")}, 2 * {_normal_tail("x.z3")})))))) AS INT) AS level,
+             CAST(greatest(-1, least({BINS}, floor({PER_DECADE} / ln(10D) * x.ratio))) AS INT) AS bin))""",
     ]
     expr = "_r0"
     for s in stages:
         expr = s.format(expr)
-    return df.withColumn("_tests", F.expr(expr)).drop("_r0", "_text")
+    return df.withColumn("_tests", F.expr(expr)).drop("_r0")
 
 
-def discovery_bins(tests: DataFrame) -> dict[int, int]:
-    """Per octave of length the least bin that is a discovery. The table that is collected has at most 32 x BINS rows."""
-    hist = tests.select(F.explode("_tests").alias("t")).groupBy("t.octave", "t.bin").count()
+def passing_bins(tests: DataFrame, which: str, rate: float) -> dict[int, int]:
+    """Per octave of length the least bin that passes the Benjamini-Hochberg rule. The table that is collected has at most 32 x BINS rows."""
+    hist = tests.groupBy("octave", which).count()
     by: dict[int, dict[int, int]] = {}
     for octave, b, n in hist.collect():
         by.setdefault(octave, {})[b] = n
@@ -159,28 +202,48 @@ def discovery_bins(tests: DataFrame) -> dict[int, int]:
         m, seen, least = sum(bins.values()), 0, BINS + 1
         for b in sorted((b for b in bins if b >= 0), reverse=True):
             seen += bins[b]
-            if math.pow(10, -b / PER_DECADE) <= FALSE_DISCOVERIES * seen / m:  # the largest p-value of the bin
+            if math.pow(10, -b / PER_DECADE) <= rate * seen / m:  # the largest p-value of the bin
                 least = b
         out[octave] = least
     return out
 
 
+def _limit(bins: dict[int, int], octave: Column) -> Column:
+    """The limit of a run's octave."""
+    return F.coalesce(F.create_map(*[F.lit(v) for kv in bins.items() for v in kv])[octave], F.lit(BINS + 1)) if bins else F.lit(BINS + 1)
+
+
+def _apart(base: Column, runs: Column) -> Column:
+    """The runs that overlap no base span; both are sorted."""
+    mark = lambda rank: lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"))
+    is_base = lambda x: x["rank"] == 0
+
+    def flagged(both: Column) -> Column:
+        covered = running(both, F.lit(0), lambda end, x: F.when(is_base(x), F.greatest(end, x["end"])).otherwise(end), lambda end, x: end > x["start"], "array<boolean>")
+        far = F.lit((1 << 31) - 1)
+        nearest = running(F.reverse(both), far, lambda at, x: F.when(is_base(x), x["start"]).otherwise(at), lambda at, x: at < x["end"], "array<boolean>")
+        clear = F.zip_with(covered, F.reverse(nearest), lambda a, b: ~a & ~b)
+        kept = F.filter(F.arrays_zip(both.alias("x"), clear.alias("clear")), lambda p: p["clear"] & ~is_base(p["x"]))
+        return F.transform(kept, lambda p: F.struct(p["x"]["start"].alias("start"), F.lit(len(BASE)).alias("rank"), p["x"]["end"].alias("end")))
+
+    alone = F.transform(runs, mark(len(BASE)))
+    return F.when((F.size(base) == 0) | (F.size(runs) == 0), alone).otherwise(_let(F.array_sort(F.concat(F.transform(base, mark(0)), F.transform(runs, mark(1)))), flagged))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``_base`` and ``_added``: arrays of (start, rank, end), sorted; rank 3 is the battery's."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(F.col("_text"), F.lit(""))
+    rows = docs.select(packed(docs.drop(text, "_base", "_added")) if len(docs.columns) > 1 else F.lit(0).alias("_row"), F.col(f"`{text}`").alias("_text"))
     base = F.concat(*[_spans(whole, there, pattern, group, least, rank) for rank, (_, there, pattern, group, least) in enumerate(BASE)])
-    kept = [c for c in docs.columns if c != text]
-    narrow = staged(_tested(docs.withColumn("_base", F.array_sort(base)), whole, len(BASE)).select(*kept, "_base", "_tests"), "secrets")
-    bins = discovery_bins(narrow)
-    least = F.coalesce(*[F.lit(BINS + 1)]) if not bins else None
-    limit = F.create_map(*[F.lit(v) for kv in bins.items() for v in kv]) if bins else None
-
-    def found(x: Column) -> Column:
-        far = F.coalesce(limit[x["octave"]], F.lit(BINS + 1)) if bins else least
-        return (x["bin"] >= far) & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-
-    added = F.transform(F.filter("_tests", found), lambda x: F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), x["end"].alias("end")))
-    return narrow.withColumn("_added", added).drop("_tests")
+    narrow = staged(_tested(rows.withColumn("_base", F.array_sort(base)), whole).select("_row", "_base", "_tests"), "secrets")
+    runs = narrow.select(F.explode("_tests").alias("t")).select("t.*")
+    rejected = passing_bins(runs, "level", ALPHA)
+    judged = lambda x: F.when(x["level"] >= _limit(rejected, x["octave"]), -1).otherwise(x["bin"])
+    runs = runs.withColumn("bin", F.when(F.col("level") >= _limit(rejected, F.col("octave")), -1).otherwise(F.col("bin")))
+    least = passing_bins(runs, "bin", FALSE_DISCOVERIES)
+    found = F.filter("_tests", lambda x: judged(x) >= _limit(least, x["octave"]))
+    out = narrow.withColumn("_added", _apart(F.col("_base"), found))
+    return out.select("_row.*" if len(docs.columns) > 1 else F.lit(0), "_base", "_added")
 
 
 def written(spans: Column) -> Column:

@@ -1,9 +1,12 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 from helpers import ODD
+from pyspark.sql import functions as F
 
 from fathomdex.llm import secrets, url_filter
 from fathomdex.llm.url_filter import RULES, Rule
@@ -108,5 +111,78 @@ def test_keys_of_each_encoding_and_length(spark, docs):
         assert share >= key[2], (*key, share)
 
 
+def plain_battery(run):
+    """(n, battery's p-value, log of the quotient of uniform over text) of a run, in Python floats."""
+    code = next(k for k, (pattern, _, _) in enumerate(secrets.ENCODINGS) if re.fullmatch(pattern + "+", run))
+    _, alphabet, k = secrets.ENCODINGS[code]
+    n, at = len(run), [alphabet.index(c) + 1 for c in run]
+    tail = lambda z: 1 / (1 + math.exp(min(700, 1.5976 * z + 0.07056 * z**3)))
+    chi = max(1e-9, sum((run.count(c) - n / k) ** 2 / (n / k) for c in set(run)) + (k - len(set(run))) * n / k if k != 64 else k / n * sum(run.count(c) ** 2 for c in set(run)) - n)
+    df = k - 1
+    z1 = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [x > k / 2 for x in at]
+    runs, hi = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    mean = 1 + 2 * hi * (n - hi) / n
+    z2 = abs(runs - mean) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+    sx, sxx, sxy = sum(at), sum(x * x for x in at), sum(a * b for a, b in zip(at, at[1:]))
+    z3 = abs((n * sxy - sx * sx) / max(1e-9, n * sxx - sx * sx) * math.sqrt(n))
+    kind = lambda c: 0 if c in secrets.UPPER else 1 if c in secrets.LOWER else 2 if c in secrets.DIGITS else 3
+    there = [bool(set(c) & set(alphabet)) for c in (secrets.UPPER, secrets.LOWER, secrets.DIGITS, secrets.SIGNS)]
+    cost = 0.0
+    for j, c in enumerate(run):
+        letters = sum(secrets.LETTERS)
+        cost -= math.log(secrets.LETTERS[ord(c.lower()) - 97] / letters if c.isalpha() else 1 / 10 if c.isdigit() else 1 / 4)
+        if j:
+            row = secrets.FOLLOWS[kind(run[j - 1])]
+            cost -= math.log(row[kind(c)] / sum(x for x, t in zip(row, there) if t))
+    return n, min(1.0, max(1e-300, 3 * min(tail(z1), 2 * tail(z2), 2 * tail(z3)))), cost - n * math.log(k)
+
+
+def plain_benjamini_hochberg(values, rate):
+    """The largest value that is at most rate times its rank over their number; values are those of bins."""
+    ranked = sorted(values)
+    return max((v for k, v in enumerate(ranked, 1) if v <= rate * sum(x <= v for x in ranked) / len(ranked)), default=-1.0)
+
+
+def plain_random_spans(texts):
+    binned = lambda x: 10 ** -(min(secrets.BINS, math.floor(x * secrets.PER_DECADE)) / secrets.PER_DECADE)
+    runs = [(i, m.start(), m.end(), *plain_battery(m[0])) for i, t in enumerate(texts) for m in re.finditer(secrets.RUN, t or "")]
+    out = set()
+    for octave in {int(math.log2(r[3])) for r in runs}:
+        own = [r for r in runs if int(math.log2(r[3])) == octave]
+        level = [binned(-math.log10(r[4])) for r in own]
+        limit = plain_benjamini_hochberg(level, secrets.ALPHA)
+        p = [2.0 if v <= limit or r[5] < 0 else binned(r[5] / math.log(10)) for v, r in zip(level, own)]
+        limit = plain_benjamini_hochberg(p, secrets.FALSE_DISCOVERIES)
+        out |= {r[:3] for r, v in zip(own, p) if v <= limit}
+    base = {i: base_spans(t) for i, t in enumerate(texts)}
+    return {(i, a, b) for i, a, b in out if not any(s < b and a < e for s, _, _, e in base[i])}
+
+
+def test_random_spans_against_plain_python(spark, docs):
+    rng = random.Random(15)
+    up, low, digits = secrets.UPPER, secrets.LOWER, secrets.DIGITS
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([20, 24, 33, 47, 70]))) for alphabet in (low, up, low + digits, up + low + digits, up + low + digits + "+/", digits, "0123456789abcdef", "ABC", low[:9]) for _ in range(25)]
+    texts += ["".join(rng.choice("ing ment ation the Der und get Set Name File Path".split()) for _ in range(8)) for _ in range(150)]
+    texts += [f"x token={rng.choice(texts)}; {rng.choice(texts)} é {rng.choice(texts)}" for _ in range(100)] + ODD[:7] + [None]
+    got = set()
+    for r in secrets.scan(docs(list(enumerate(texts))).select("doc_id", "text")).collect():
+        got |= {(r["doc_id"], x["start"], x["end"]) for x in r["_added"]}
+    assert got == plain_random_spans(texts) and len(got) > 100
+
+
+def test_many_matches_in_one_text(spark, docs):
+    key = "q7Zk9LmX2vB8nR4tY6wP1sD3fG5hJ0aK"
+    text = f"é token=abcdef {key} {'ab' * 12} " * 20_000
+    df = docs([(1, text), (2, "token=abcdef " * 80_000)])
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan(df.withColumn("_base", F.lit(1)).withColumn("_r0", F.col("doc_id")).select("doc_id", "text", "_base", "_r0")).collect()}
+    assert time.time() - began < 60
+    assert [(s["start"], s["rank"], s["end"]) for s in got[1]["_base"]] == [(a, k, e) for a, k, _, e in base_spans(text)]
+    assert len(got[2]["_base"]) == 80_000 and got[2]["_r0"] == 2
+    unit = len(text) // 20_000
+    assert [(s["start"], s["end"]) for s in got[1]["_added"]] in ([], [(k * unit + 15, k * unit + 47) for k in range(20_000)])
+
+
 def test_no_secrets_in_nothing(spark, docs, folder):
     assert secrets.op3_secrets(spark, folder(documents=docs([(1, "x")]).where("false"))).count() == 0
