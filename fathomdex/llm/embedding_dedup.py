@@ -1,7 +1,10 @@
 """Embedding near-duplicates by search in a robust-pruned flat graph.
 
-Vectors are clustered by centroids that are fitted to a bounded sample; every vector
-goes to the shards of its ``overlap`` nearest centroids. In each shard a flat graph is
+Vectors are clustered in two levels: by centroids that are fitted to a bounded sample, and
+within each cell by centroids fitted to a sample of the cell, as many as make shards of
+about ``SHARD`` vectors; their number has no bound. Every vector goes to the nearest few
+cells and in each to the nearest few shards. A shard that is still large is cut into parts, and each
+two parts meet in a shard of their own. In each shard a flat graph is
 built: each vector's candidates are pruned robustly (a candidate that is much
 closer to a kept neighbour than to the vector goes), and edges are also held
 backwards. The adjacency lists that a vector has in its shards are united. Every
@@ -13,46 +16,62 @@ vectors that share several shards are counted in the first of them.
 Recall is audited against brute force for a set of queries, picked by hash whatever
 was found, each compared with all vectors in blocks; the set grows until enough of
 it has true links, or to a bound. Where the share of the links found, or its mean
-over the queries with links, is below ``RECALL``, everything is done again with twice
-the overlap and beam, at last with every vector in every shard.
+over the queries with links, is below ``RECALL``, the search is done again with more cells, shards and
+a wider beam, ``WIDER`` times at most; then a warning says what was reached.
 
-Equal vectors are one node that stands for all its copies.
+Equal vectors are one node that stands for all its copies, whatever their ids.
 
 Defined cases: vectors that are null, zero, hold nulls or non-finite components,
 or have another length than most, link with nothing and are their own component; so
-are rows with a null id; repeated rows are copies; an empty table gives an empty
+are rows with a null id; repeated rows are copies; rows that share an id and not the vector
+have links and components of their own; an empty table gives an empty
 result; other columns of the input aren't returned.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import read_table, staged, unstage
-from .graph import components
+from .graph import least_of, roots_of, small
+from .simhash import forest
+
+log = logging.getLogger("fathomdex")
 
 THRESHOLD, RECALL = 0.95, 0.98
-#: Vectors that a shard should hold before overlap; centroids at most; vectors that the centroids are fitted to.
-SHARD, CENTROIDS, SAMPLE = 1000, 4096, 20_000
-OVERLAP, DEGREE, CANDIDATES, BEAM, ALPHA = 3, 24, 48, 32, 1.2
+#: Vectors that a shard should hold before overlap; members of a shard that isn't cut.
+SHARD, LARGE = 500, 8000
+#: Vectors that cells are fitted to; per shard those that it is fitted to; shards of a cell at most (a larger cell's are cut).
+SAMPLE, PER_SHARD, SHARDS = 20_000, 64, 4096
+#: Cells of a vector and shards in each at first; how often there may be one more of both.
+CELLS, OVERLAP, WIDER = 2, 2, 3
+DEGREE, CANDIDATES, BEAM, ALPHA = 24, 48, 32, 1.2
 #: Queries audited at first; of them so many should have true links; values that all queries hold at most.
 AUDITED, AUDITED_LINKED, AUDITED_VALUES = 200, 100, 1_000_000
+#: Rows that a task places or searches on average.
+ROWS = 4000
 
 
 def usable(vectors: DataFrame, vec: str, embedding: str) -> DataFrame:
-    """(id, key1, key2, vector) of the vectors that may link, cast to doubles."""
-    v = F.col(embedding).cast("array<double>")
-    rows = vectors.select(F.col(vec).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    """(id, k1, k2, v) of each row; v is null where it can't link. Floats stay floats until they are computed with."""
+    single = isinstance(vectors.schema[embedding].dataType.elementType, FloatType)
+    v = F.col(embedding) if single else F.col(embedding).cast("array<double>")
+    rows = vectors.select(F.col(vec).cast("long").alias("id"), v.alias("v"))
     inf = F.lit(float("inf"))
-    rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == inf)) & F.exists("v", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    rows = rows.where(F.size("v") == (lengths["n"] if lengths else 0))
-    return rows.select("id", F.xxhash64(F.lit("a"), "v").alias("k1"), F.xxhash64(F.lit("b"), "v").alias("k2"), "v")
+    good = F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == inf)) & F.exists("v", lambda x: x != 0)
+    rows = rows.withColumn("v", F.when(good, F.col("v")))
+    lengths = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    rows = rows.withColumn("v", F.when(F.size("v") == (lengths["n"] if lengths else 0), F.col("v")))
+    hashed = lambda seed: F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(seed), "v"))
+    return rows.select("id", hashed("a").alias("k1"), hashed("b").alias("k2"), "v")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -66,14 +85,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def centroids(nodes: DataFrame, n: int) -> np.ndarray:
-    """Unit centroids by a few rounds of k-means over about SAMPLE nodes, those with the least hashes of their ids."""
-    unit = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 30))
-    got = nodes.where(unit < int((1 << 30) * min(1.0, SAMPLE / max(1, n)))).select("id", "v").toArrow()
-    if not got.num_rows:
-        return np.zeros((1, 1))
-    x = _unit(_matrix(got["v"]))[np.argsort(got["id"].to_numpy())]
-    k = int(min(CENTROIDS, len(x), max(1, -(-n // SHARD))))
+def k_means(x: np.ndarray, k: int) -> np.ndarray:
+    """Up to k unit centroids of unit vectors, by a few rounds from random ones of them."""
+    k = max(1, min(k, len(x)))
     c = x[np.random.default_rng(7).choice(len(x), k, replace=False)]
     for _ in range(6 if k > 1 else 1):
         near = np.concatenate([(x[a : a + 2000] @ c.T).argmax(axis=1) for a in range(0, len(x), 2000)])
@@ -84,18 +98,100 @@ def centroids(nodes: DataFrame, n: int) -> np.ndarray:
     return c
 
 
-def _shards_of(shared, overlap: int):
+def _unit_of_id() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def cell_centroids(nodes: DataFrame, n: int) -> np.ndarray:
+    """Centroids of the cells: about the root of the number of shards, fitted to about SAMPLE nodes."""
+    got = nodes.where(_unit_of_id() < min(1.0, SAMPLE / max(1, n))).select("id", "v").toArrow()
+    if not got.num_rows:
+        return np.zeros((1, 1))
+    return k_means(_unit(_matrix(got["v"]))[np.argsort(got["id"].to_numpy())], min(SAMPLE // 8, math.isqrt(max(0, n - 1) // SHARD) + 1))
+
+
+def _nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    return np.argsort(-(_unit(x) @ c.T), axis=1, kind="stable")[:, : min(k, len(c))].astype(np.int32)
+
+
+def _cells_of(shared, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cos = _unit(_matrix(batch["v"])) @ shared.value.T
-            own = np.sort(np.argsort(-cos, axis=1, kind="stable")[:, :overlap], axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(own), pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(_nearest(_matrix(batch["v"]), shared.value, cells)), pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
 
     return run
 
 
+def _fit_cell(rows: pa.Table) -> pa.Table:
+    x = _unit(_matrix(rows["v"]))[np.argsort(rows["id"].to_numpy())]
+    c = k_means(x, min(SHARDS, -(-rows["all"][0].as_py() // SHARD)))
+    return pa.table({"cell": pa.array([rows["cell"][0].as_py()] * len(c), pa.int32()), "v": pa.array(list(c), pa.list_(pa.float64()))})
+
+
+def _shards_in(overlap: int):
+    """Rows come sorted by cell, salt and kind: a cell's centroids, then its vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            cell, salt, kind = (batch[c].to_numpy() for c in ("cell", "salt", "kind"))
+            cuts = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(salt) != 0) | (np.diff(kind) != 0)) + 1), len(cell)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                some = batch.slice(a, b - a)
+                if not kind[a]:
+                    if at != (cell[a], salt[a]):
+                        at, held = (cell[a], salt[a]), []
+                    held.append(_matrix(some["v"]))
+                    continue
+                centres = np.concatenate(held)
+                near = _nearest(_matrix(some["v"]), centres, overlap)
+                rows = pa.array(np.repeat(np.arange(b - a), near.shape[1]))
+                leaf = near.ravel().astype(np.int64) + (np.int64(cell[a]) << np.int64(16))
+                yield pa.RecordBatch.from_arrays([some["id"].take(rows), some["n"].take(rows), some["v"].take(rows), pa.array(leaf)], names=["id", "n", "v", "leaf"])
+
+    return run
+
+
+def _tasks(df: DataFrame, rows: int) -> int:
+    """Partitions by rows, as little data may mean much computing."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // ROWS)
+
+
+def placed(nodes: DataFrame, n: int, centres: np.ndarray, wider: int) -> DataFrame:
+    """A staged table (id, n, v, shard): each node in each of its shards."""
+    spark = nodes.sparkSession
+    kind = nodes.schema["v"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast(centres)
+    near = staged(nodes.mapInArrow(_cells_of(shared, CELLS + wider), f"id long, n long, v {kind}, cells array<int>"), "cells")
+    counts = near.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("all"))
+    first = near.select(F.element_at("cells", 1).alias("cell"), "id", "v")
+    own = staged(first.groupBy("cell").agg(F.count("*").alias("all")), "counts")
+    sample = first.join(F.broadcast(own), "cell").where(_unit_of_id() < F.least(F.lit(PER_SHARD / SHARD), F.lit(float(PER_SHARD * SHARDS)) / F.col("all")) + 32 / F.col("all"))
+    fitted = staged(sample.groupBy("cell").applyInArrow(_fit_cell, "cell int, v array<double>"), "centroids")
+    salts = staged(counts.select("cell", F.ceil(F.col("all") / (50 * ROWS)).cast("int").alias("salts")), "salts")  # a row per cell
+    salts = F.broadcast(salts)
+    spread = near.withColumn("cell", F.explode("cells")).join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), "salts").cast("int"))
+    # a cell that is nobody's nearest has no centroids of its own and isn't needed
+    spread = spread.join(F.broadcast(own.select("cell")), "cell", "left_semi").select("cell", "salt", F.lit(1).alias("kind"), "id", "n", F.col("v").cast("array<double>").alias("v"))
+    heads = fitted.join(salts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("cell", "salt", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("n"), "v")
+    rows = spread.union(heads).repartition(_tasks(nodes, 2 * n), "cell", "salt").sortWithinPartitions("cell", "salt", "kind", "id")
+    leaves = staged(rows.mapInArrow(_shards_in(OVERLAP + wider), "id long, n long, v array<double>, leaf long").withColumn("v", F.col("v").cast(kind)), "leaves")
+    large = staged(leaves.groupBy("leaf").count().where(F.col("count") > LARGE).select("leaf", F.ceil(F.col("count") / (LARGE / 2)).cast("int").alias("parts")), "large")
+    if large.isEmpty():
+        return leaves.withColumnRenamed("leaf", "shard")
+    part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.coalesce("parts", F.lit(1))).cast("int")
+    cut = leaves.join(small(large), "leaf", "left").withColumn("mine", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    # two parts meet in one shard, which holds both whole; a part needs no shard of its own
+    cut = cut.where("parts IS NULL OR mine <> other")
+    shard = F.when(F.col("parts").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", F.least("mine", "other"), F.greatest("mine", "other")))
+    out = staged(cut.select("id", "n", "v", shard.alias("shard")), "cut")
+    unstage(leaves)
+    return out
+
+
 def build_graph(x: np.ndarray) -> np.ndarray:
     """A pruned neighbour list for each of the unit vectors, with edges in both directions where there is room."""
     n = len(x)
@@ -115,19 +211,17 @@ def robust_prune(x: np.ndarray, near: np.ndarray, far: np.ndarray, first: int) -
     n, width = len(near), near.shape[1] + far.shape[1]
     candidates = np.concatenate([near, far], axis=1)
     rows = np.arange(first, first + n)
-    own = 2 - 2 * np.einsum("id,ijd->ij", x[rows], x[candidates])
+    vectors = x[candidates]
+    own = 2 - 2 * np.einsum("id,ijd->ij", x[rows], vectors)
+    between = 2 - 2 * np.matmul(vectors, vectors.transpose(0, 2, 1))
     alive = candidates != rows[:, None]
     out = np.full((n, DEGREE), -1, dtype=np.int64)
     filled = np.zeros(n, dtype=np.int64)
     for j in range(width):  # the candidates come nearest first, the far ones last
         at = np.flatnonzero(alive[:, j] & (filled < DEGREE))
-        if not len(at):
-            continue
-        c = candidates[at, j]
-        out[at, filled[at]] = c
+        out[at, filled[at]] = candidates[at, j]
         filled[at] += 1
-        between = 2 - 2 * np.einsum("id,ijd->ij", x[c], x[candidates[at]])
-        alive[at] &= ALPHA * between > own[at]
+        alive[at] &= ALPHA * between[at, j] > own[at]
     return out
 
 
@@ -173,21 +267,21 @@ def greedy(x: np.ndarray, table: np.ndarray, queries: np.ndarray, medoid: int, b
     return np.where(cos > -np.inf, ids, -1)
 
 
-def in_range(x: np.ndarray, table: np.ndarray, query: int, start: np.ndarray, threshold: float) -> np.ndarray:
-    """All vectors within the threshold that can be reached from ``start`` over such vectors."""
+def in_range(x: np.ndarray, table: np.ndarray, queries: np.ndarray, starts: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(vectors, cosines to the queries) of those met by expanding the range from ``starts``: whatever is in range of a query leads on.
+
+    The queries of a block share what is met, so each is held against it by one product.
+    """
     seen = np.zeros(len(x), dtype=bool)
-    seen[start] = True
-    front = start[x[start] @ x[query] >= threshold - 1e-12]
-    out = [front]
+    seen[starts] = True
+    front = starts
     while len(front):
-        near = table[front].ravel()
+        cos = x[front] @ x[queries].T
+        yield front, cos
+        near = table[front[(cos >= threshold).any(axis=1)]].ravel()
         near = near[near >= 0]
-        near = np.unique(near[~seen[near]])
-        seen[near] = True
-        front = near[x[near] @ x[query] >= threshold - 1e-12]
-        out.append(front)
-    found = np.concatenate(out)
-    return found[found != query]
+        front = np.unique(near[~seen[near]])
+        seen[front] = True
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -209,12 +303,29 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _adjacency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _by_shard(batches):
-        ids = t["id"].to_numpy()
+        ids, shard = t["id"].to_numpy(), t["shard"][0].as_py()
         i, j = both_ways(build_graph(_unit(_matrix(t["v"]))))
         starts = np.searchsorted(i, np.arange(len(ids) + 1))
         for a in range(0, len(ids), 2000):
             some = range(a, min(len(ids), a + 2000))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 2000]), pa.array([ids[j[starts[k] : starts[k + 1]]] for k in some], pa.list_(pa.int64()))], names=["id", "near"])
+            near = pa.array([ids[j[starts[k] : starts[k + 1]]] for k in some], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 2000]), pa.array([shard] * len(some), pa.int64()), near], names=["id", "shard", "near"])
+
+
+def _memberships(shards: pa.ChunkedArray, shard: int) -> np.ndarray:
+    """By member a 1 for each earlier shard that it shares with others of this one."""
+    lists = shards.combine_chunks()
+    of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    which = lists.flatten().to_numpy(zero_copy_only=False)
+    of, which = of[which < shard], which[which < shard]
+    names, place, count = np.unique(which, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count > 1)
+    column = np.full(len(names), -1)
+    column[several] = np.arange(len(several))
+    keep = column[place] >= 0
+    out = np.zeros((len(lists), len(several)), dtype=np.float32)
+    out[of[keep], column[place[keep]]] = 1
+    return out
 
 
 def _searching(beam: int, threshold: float):
@@ -233,48 +344,34 @@ def _searching(beam: int, threshold: float):
             degree = np.bincount(fro, minlength=len(ids))
             table = np.full((len(ids), max(1, degree.max())), -1, dtype=np.int64)
             table[fro, np.arange(len(fro)) - np.repeat(np.cumsum(degree) - degree, degree)] = place
-            member = np.full((len(ids), max(len(s) for s in t["shards"].to_pylist())), -1)
-            for k, s in enumerate(t["shards"].to_pylist()):
-                member[k, : len(s)] = s
-            earlier = np.where(member < shard, member, -1)
+            earlier = _memberships(t["shards"], shard)
             medoid = int((x @ x.mean(axis=0)).argmax())
             links, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+            # neighbours are searched for together
+            ranked = np.argsort(-(x @ x[medoid]), kind="stable")
             for a in range(0, len(ids), 256):
-                queries = np.arange(a, min(len(ids), a + 256))
+                queries = ranked[a : a + 256]
                 near = greedy(x, table, queries, medoid, beam)
-                for q, row in zip(queries, near):
-                    row = np.unique(np.append(row[row >= 0], q))
-                    if len(row) < 2 or np.sort(x[row] @ x[q])[-2] < threshold - 1e-12:
-                        continue
-                    found = in_range(x, table, q, row, threshold)
-                    found = found[(x[found] * x[q]).sum(axis=1) >= threshold]
-                    # of those that share an earlier shard with the query, that shard takes care
-                    mine = earlier[q][earlier[q] >= 0]
-                    if len(mine):
-                        found = found[~np.isin(earlier[found], mine).any(axis=1)]
-                    if len(found):
-                        links[q] += copies[found].sum()
-                        group = np.unique(label[np.append(found, q)])
-                        if len(group) > 1:
-                            label[np.isin(label, group)] = group[0]
+                for met, cos in in_range(x, table, queries, np.unique(np.append(near[near >= 0], queries)), threshold):
+                    hit = cos >= threshold
+                    # of those that share an earlier shard, that shard takes care
+                    hit &= (earlier[met] @ earlier[queries].T == 0) & (met[:, None] != queries[None, :])
+                    links[queries] += copies[met] @ hit
+                    i, j = np.nonzero(hit)
+                    label = forest(label, met[i], queries[j])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(ids[label])], names=["id", "links", "root"])
 
     return run
 
 
-def _search(nodes: DataFrame, centres: np.ndarray, overlap: int, beam: int, threshold: float) -> DataFrame:
+def _search(nodes: DataFrame, n: int, centres: np.ndarray, wider: int, threshold: float) -> DataFrame:
     """A staged table of (id, links, root) per vector and shard."""
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(centres)
-    placed = staged(nodes.mapInArrow(_shards_of(shared, overlap), "id long, n long, v array<double>, shards array<int>"), "placed")
-    spread = placed.withColumn("shard", F.explode("shards"))
-    lists = spread.select("shard", "id", "v").repartition("shard").sortWithinPartitions("shard").mapInArrow(_adjacency, "id long, near array<long>")
-    # at most `overlap` lists for each vector
-    union = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    whole = staged(placed.join(union, "id"), "graph")
-    rows = whole.withColumn("shard", F.explode("shards")).repartition("shard").sortWithinPartitions("shard")
-    found = staged(rows.mapInArrow(_searching(beam, threshold), "id long, links long, root long"), "found")
-    unstage(placed, whole)
+    spread = placed(nodes, n, centres, wider)
+    tasks = _tasks(nodes, (CELLS + wider) * (OVERLAP + wider) * n)
+    lists = spread.select("shard", "id", "v").repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_adjacency, "id long, shard long, near array<long>")
+    union = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.collect_list("shard").alias("shards"))
+    whole = spread.join(union, "id").repartition(tasks, "shard").sortWithinPartitions("shard")
+    found = staged(whole.mapInArrow(_searching(BEAM << wider, threshold), "id long, links long, root long"), "found")
     return found
 
 
@@ -318,23 +415,30 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, queries: int = A
 def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """For each row: its id, n_links, component_id and kept."""
     rows = staged(usable(vectors, vec, embedding), "vectors")
-    nodes = staged(rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")).select("id", "n", "v"), "nodes")
-    n = nodes.count()
-    centres = centroids(nodes, n)
-    overlap, beam = OVERLAP, BEAM
-    while True:
-        found = _search(nodes, centres, min(overlap, len(centres)), beam, threshold)
-        if overlap >= len(centres) and beam > 8 * BEAM or min(audit(nodes, found, threshold)) >= RECALL:
+    grouped = rows.where("v IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    known = staged(grouped, "nodes")
+    n = known.count()
+    # a node goes by one hash of its vector; if ever two share it, by the other
+    name = next((k for k in ("k1", "k2") if known.select(k).distinct().count() == n), None)
+    if name is None:
+        known, name = staged(known.withColumn("name", F.monotonically_increasing_id()), "named"), "name"
+    nodes = known.select(F.col(name).alias("id"), "n", "v")
+    centres = cell_centroids(nodes, n)
+    for wider in range(WIDER + 1):
+        found = _search(nodes, n, centres, wider, threshold)
+        recall = audit(nodes, found, threshold)
+        if min(recall) >= RECALL:
             break
-        overlap, beam = overlap * 2, beam * 2
-    roots = components(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
+    else:
+        log.warning("recall of links %.3f, mean over vectors %.3f", *recall)
+    roots = roots_of(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    per = links.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("least"), "links", F.coalesce("root", "id").alias("root"))
-    keyed = rows.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("copies")).join(per, "least")
-    known = rows.select("id", "k1", "k2").join(keyed, ["k1", "k2"]).select("id", (F.col("links") + F.col("copies") - 1).alias("links"), "root").distinct()
-    out = vectors.select(F.col(vec)).join(known, F.col(vec) == F.col("id"), "left")
-    root = F.coalesce("root", F.col(vec))
-    return out.select(F.col(vec), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.cast("long").alias("component_id"), F.coalesce(root == F.col(vec), F.lit(False)).alias("kept"))
+    least = least_of(known.select(F.col(name).alias("node"), "least"), roots)
+    per = known.select("k1", "k2", "n", F.col(name).alias("id")).join(links, "id").join(least.withColumnRenamed("_node", "id"), "id")
+    per = per.select("k1", "k2", (F.col("links") + F.col("n") - 1).alias("links"), "_least")
+    out = rows.select("id", "k1", "k2").join(per, ["k1", "k2"], "left")
+    root = F.coalesce("_least", "id")
+    return out.select(F.col("id").cast(vectors.schema[vec].dataType).alias(vec), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.cast("long").alias("component_id"), F.coalesce(root == F.col("id"), F.lit(False)).alias("kept"))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

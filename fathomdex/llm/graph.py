@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, unstage
+from .common import BROADCAST_GROUPS, staged, unstage
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -36,3 +36,27 @@ def components(edges: DataFrame) -> DataFrame:
         if new == mark or not new[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
         mark = new
+
+
+def roots_of(links: DataFrame) -> DataFrame:
+    """A staged table of the components of links, which are computed once."""
+    linked = staged(links, "links")
+    roots = staged(components(linked), "roots")
+    unstage(linked)
+    return roots
+
+
+def small(df: DataFrame, most: int = 5 * BROADCAST_GROUPS) -> DataFrame:
+    """To be broadcast, if there are no more rows than ``most``."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def least_of(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """A staged table (_node, _least): the smallest ``least`` of each node's component. ``nodes``: node, least.
+
+    Only nodes that have links are joined by their root, of which many may have the same.
+    """
+    linked = nodes.join(roots, "node")
+    least = staged(linked.groupBy("root").agg(F.min("least").alias("_least")), "least")
+    changed = linked.join(small(least), "root").select("node", "_least")
+    return staged(nodes.join(changed, "node", "left").select(F.col("node").alias("_node"), F.coalesce("_least", "least").alias("_least")), "groups")

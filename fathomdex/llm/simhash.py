@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fields, packed, pieces, read_table, staged, unstage
-from .graph import components
+from .graph import least_of, roots_of, small
 
 SEED = 42
 #: Blocks that agree in a bucket; members of a bucket that isn't cut.
@@ -324,7 +324,7 @@ def dealt(spread: DataFrame, most: int = 0) -> DataFrame:
         inside = spread.withColumn("_counter", counter).join(F.broadcast(full), "_counter", "left_semi")
         large = staged(inside.groupBy("choice", "key").count().where(F.col("count") > most).select("choice", "key", F.ceil(F.col("count") / most).cast("int").alias("_parts")), "large")
         parts = F.coalesce("_parts", F.lit(1))
-        cut = spread.join(_small(large), ["choice", "key"], "left").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), parts).cast("int"))
+        cut = spread.join(small(large), ["choice", "key"], "left").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), parts).cast("int"))
         cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
         out = cut.select(*spread.columns, "part", F.least("part", "_other").alias("a"), F.greatest("part", "_other").alias("b"))
     return out.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
@@ -341,37 +341,10 @@ def link(nodes: DataFrame, r: int) -> DataFrame:
     return dealt(spread).mapInArrow(_linking(blocks, r), "u long, v long")
 
 
-#: Rows of a table of ids or groups that may be broadcast; more are joined by shuffle.
-BROADCAST_IDS = 500_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
-
-def _roots(links: DataFrame) -> DataFrame:
-    """The components of links, which are computed once."""
-    linked = staged(links, "links")
-    roots = staged(components(linked), "roots")
-    unstage(linked)
-    return roots
-
-
-def _least(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(_node, _least): the smallest doc_id of each node's component. ``nodes``: node, least.
-
-    Only nodes that have links are joined by their root, of which many may have the same.
-    """
-    linked = nodes.join(roots, "node")
-    least = staged(linked.groupBy("root").agg(F.min("least").alias("_least")), "least")
-    changed = linked.join(_small(least), "root").select("node", "_least")
-    return staged(nodes.join(changed, "node", "left").select(F.col("node").alias("_node"), F.coalesce("_least", "least").alias("_least")), "groups")
-
-
 def grouped(marked: DataFrame, r: int) -> DataFrame:
     """(_node, _least) of fingerprints within r bits. ``marked``: a staged table of doc_id, _fp, _node."""
     nodes = staged(marked.groupBy(F.col("_node").alias("node"), "_fp").agg(F.min("doc_id").alias("least")), "nodes")
-    return _least(nodes.drop("_fp"), _roots(link(nodes.drop("least"), r)))
+    return least_of(nodes.drop("_fp"), roots_of(link(nodes.drop("least"), r)))
 
 
 #: Near-copies share NEAR[0] of NEAR[1] of the different shingles that either has.
@@ -489,10 +462,10 @@ def verified(rows: DataFrame, words: int) -> DataFrame:
     def cut(df: DataFrame, name: str) -> DataFrame:
         """Adds how many parts the rows of each family make, and the row's own."""
         parts = staged(df.groupBy("family").agg(F.ceil(F.sum("_n") / PART).cast("int").alias(f"{name}s")), "parts")
-        return df.join(_small(parts), "family").withColumn(name, F.pmod(F.xxhash64(F.lit(name), "node"), F.col(f"{name}s")).cast("int"))
+        return df.join(small(parts), "family").withColumn(name, F.pmod(F.xxhash64(F.lit(name), "node"), F.col(f"{name}s")).cast("int"))
 
     def labelled(df: DataFrame, links: DataFrame) -> DataFrame:
-        return df.join(_roots(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        return df.join(roots_of(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
 
     rows = cut(rows, "_part")
     alone = F.col("node").alias("label")
@@ -509,12 +482,12 @@ def verified(rows: DataFrame, words: int) -> DataFrame:
     most = staged(now.groupBy("family", "label").agg(F.sum("_n").alias("size")).groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("_most"), F.count("*").alias("_labels")).where("_labels > 1"), "most")
     if most.isEmpty():
         return links
-    now = now.join(_small(most), "family")
+    now = now.join(small(most), "family")
     rest = cut(now.where("label <> _most").drop("_part", "_parts"), "_rest")
     many = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    rest = rest.join(_small(staged(now.select("family", "_parts").distinct(), "families")), "family").withColumn("b", many)
+    rest = rest.join(small(staged(now.select("family", "_parts").distinct(), "families")), "family").withColumn("b", many)
     rests = staged(rest.select("family", "_rests").distinct(), "rests")
-    whole = now.join(_small(rests), "family").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("_rests") - 1))).withColumn("b", F.col("_part"))
+    whole = now.join(small(rests), "family").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("_rests") - 1))).withColumn("b", F.col("_part"))
     both = rest.withColumn("a", F.col("_rest")).select("family", "a", "b", "node", "label", "text").union(whole.select("family", "a", "b", "node", "label", "text"))
     return links.union(check(both))
 
@@ -529,10 +502,10 @@ def near_groups(marked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     firsts = [F.first(c).alias(c) for c in ("_n", "_fp", "_fp2", "_keys")]
     nodes = staged(marked.groupBy(F.col("_node").alias("node")).agg(F.min(F.struct("doc_id", "_text")).alias("least"), *firsts), "nodes")
     spread = nodes.select(F.lit(0).alias("choice"), F.explode("_keys").alias("key"), "node", "_fp", "_fp2")
-    family = _roots(dealt(spread).mapInArrow(_linking(None, WIDE, WIDE_BOTH), "u long, v long"))
-    chosen = _small(staged(nodes.join(family.withColumnRenamed("root", "family"), "node").select("least.doc_id", "least._text", "node", "family", "_n"), "chosen"))
+    family = roots_of(dealt(spread).mapInArrow(_linking(None, WIDE, WIDE_BOTH), "u long, v long"))
+    chosen = small(staged(nodes.join(family.withColumnRenamed("root", "family"), "node").select("least.doc_id", "least._text", "node", "family", "_n"), "chosen"))
     texts = staged(docs.select("doc_id", "_text", "text").join(chosen, ["doc_id", "_text"]).select("node", "family", "_n", "text").dropDuplicates(["node"]), "texts")
-    groups = _least(nodes.select("node", "least"), _roots(verified(texts, words)))
+    groups = least_of(nodes.select("node", "least"), roots_of(verified(texts, words)))
     unstage(nodes, texts)
     return groups
 
@@ -552,7 +525,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     out = marked.select(*row, "_node").join(near_groups(marked, worded, words), "_node").where(F.struct(*row) != F.col("_least")).select(*row).distinct()
     out = staged(out, "copies")
     unstage(marked)
-    kept = keyed.join(_small(out), row, "left_anti")
+    kept = keyed.join(small(out), row, "left_anti")
     again = staged(keyed.where(F.col("doc_id").isNotNull()).groupBy(*row).count().where("count > 1").select(*row), "again")
     if not again.isEmpty():
         kept = kept.join(again, row, "left_anti").select(*keyed.columns).unionByName(kept.join(again, row, "left_semi").select(*keyed.columns).dropDuplicates(row))

@@ -113,7 +113,7 @@ def test_small_slices_and_segments_find_the_same(monkeypatch, pairs, segment):
     rng = random.Random(6)
     items = [(k, words(rng, n)) for k, n in enumerate((13, 60, 90))] + [(8, "na na " * 20)]
     texts = []
-    for k in range(16):
+    for k in range(24):
         item = items[k % 4][1]
         at = rng.randrange(max(1, len(item) - 100))
         texts.append(words(rng, 60) + noise(rng, item[at : at + rng.choice([70, 95, 120])], rng.choice([0, 2, 4, 12])) + words(rng, 60))

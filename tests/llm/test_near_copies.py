@@ -265,8 +265,18 @@ def test_op8(spark, folder):
     assert embedding_dedup.op8_embedding_dedup(spark, folder(embeddings=df.where("false"))).count() == 0
 
 
-def test_recall_over_many_shards(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "SHARD", 40)
+def test_rows_that_share_an_id_have_links_of_their_own(spark):
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, v), (5, w), (2, v), (7, [1.0, 0.01, 0.0]), (1, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").withColumn("least", F.lit(1)).withColumn("k1", F.lit(1))
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df, "id", "v").collect()))
+    assert got == [(1, 0, 1, True), (2, 2, 2, True), (5, 0, 5, True), (5, 2, 2, False), (7, 2, 2, False)]
+
+
+@pytest.mark.parametrize("shard, large", [(40, 8000), (40, 60), (10, 30)])
+def test_recall_over_many_shards(spark, monkeypatch, shard, large):
+    monkeypatch.setattr(embedding_dedup, "SHARD", shard)
+    monkeypatch.setattr(embedding_dedup, "LARGE", large)
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(60, 16))
     df = spark.createDataFrame([(k, (centre[k % 60] + rng.normal(size=16) * 0.12).tolist()) for k in range(900)], "vec_id long, embedding array<double>")
