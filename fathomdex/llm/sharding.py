@@ -1,13 +1,17 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-The items that are packed are groups of equal texts, or bundles of such groups.
-Placing is sequential by nature, so the number of items has a bound that doesn't
-depend on the rows: groups are hashed into bundles, and only groups that are
-large beside a shard are items of their own. A group that is too large for any
-shard is cut into pieces by a hash of its documents' ids. Each item then goes to
-the shard where the dot product of its demand with the residual capacity is
-highest, the largest items first. All rows take part; what reaches the driver is
-one sum per item.
+The items that are packed are groups of equal texts. Each goes to the shard where the dot
+product of its demand with the residual capacity is highest, the largest first. Groups
+that are large beside a shard come first of all and are placed on the driver, of which there
+can't be more than 3 * shards / ``LARGEST``; one that is too large for any shard is cut into
+pieces by a hash of its documents' ids. Placing is sequential by nature, so all other groups are dealt
+to blocks of about ``BLOCK`` by hash; a block is packed by one task into its part of the capacity
+that the large groups left in each shard. At any size it is the groups that are placed, and a
+block ends uneven by no more than its smallest groups.
+
+Rows find their shard by a join on their group, in which groups of more than ``SALT``
+rows are dealt to several tasks. Slots are numbered within each task of that join and moved
+by what the tasks before hold of the shard; no shard or group is ever in one place.
 
 Defined cases: a null text has no bytes and no tokens and the CRC of the empty
 string; equal rows may take each other's slots; an empty table gives an empty
@@ -17,15 +21,20 @@ input pass through, and those of the result win where names clash.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, staged, word_count
+from .common import fields, read_table, staged, unstage, word_count
+from .graph import small
 
-#: Bundles at most; as parts of a shard, the largest group that stays in its bundle and the largest that isn't cut
-#: (a larger one is cut into pieces of the size that stays in bundles).
-BUNDLES, LARGEST, CUT = 16_384, 1 / 16, 1 / 2
+#: As parts of a shard, the largest group that is placed in a block and the largest that isn't cut
+#: (a larger one is cut into pieces of the size that is placed in blocks). Groups of a block; rows of a group in one task.
+LARGEST, CUT, BLOCK, SALT = 1 / 16, 1 / 2, 50_000, 100_000
 DIMENSIONS = ("bytes", "tokens", "rows")
 #: What each dimension counts in the dot product; the law that the shards promise is on bytes.
 WEIGHTS = (1.0, 0.25, 0.25)
@@ -42,15 +51,19 @@ def measured(docs: DataFrame, overhead: int = 16) -> DataFrame:
     )
 
 
-def _sums(df: DataFrame, *by: Column | str) -> DataFrame:
+def _sums(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.sum("_size").alias("bytes"), F.sum("_tokens").alias("tokens"), F.count("*").alias("rows"))
 
 
-def pack(demands: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
-    """The shard of each item. Demands and capacities are in parts of a shard, per dimension; the dot product is weighted."""
+def pack(demands: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS, capacity: np.ndarray | None = None) -> np.ndarray:
+    """The shard of each item. ``capacity``: what each shard has for these items, in the units of the demands; the same for all if None.
+
+    Demands and residuals are in parts of a mean shard, per dimension; the dot product is weighted.
+    """
     total = demands.sum(axis=0)
-    demands = demands / np.where(total > 0, total / shards, 1)
-    residual = np.ones((shards, demands.shape[1]))
+    unit = np.where(total > 0, total / shards, 1)
+    demands = demands / unit
+    residual = np.ones((shards, demands.shape[1])) if capacity is None else capacity / unit
     out = np.empty(len(demands), dtype=np.int64)
     for i in np.lexsort((np.arange(len(demands)), -demands.max(axis=1))):
         out[i] = best = int(np.argmax(residual @ (demands[i] * weights)))
@@ -58,54 +71,84 @@ def pack(demands: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS)
     return out
 
 
-def assign(narrow: DataFrame, shards: int, rows: DataFrame | None = None, bundles: int = BUNDLES, largest: float = LARGEST, cut_above: float = CUT) -> DataFrame:
-    """The rows (or those of ``narrow``) with ``_shard`` and ``_slot``; both have the columns of ``measured``, ``narrow`` is staged.
+def _packing(shards: int, left: np.ndarray):
+    """Packs a block; ``left`` is the capacity that the large groups left, in the dimensions' units."""
 
-    At most ``bundles`` + 3 * shards / largest + as many pieces are collected and broadcast.
-    """
-    spark = narrow.sparkSession
-    bundle = F.pmod("_group", F.lit(bundles)).cast("int")
-    sums = {r[0]: np.array(r[1:], dtype=float) for r in _sums(narrow, bundle.alias("bundle")).collect()}
-    rows = narrow if rows is None else rows
-    if not sums:
-        return rows.withColumn("_shard", F.lit(None).cast("int")).withColumn("_slot", F.lit(None).cast("long"))
-    share = sum(sums.values()) / shards * largest
-    heavy = [b for b, v in sums.items() if (v > share).any()]
-    over = " OR ".join(f"{d} > {share[k]:.6f}D" for k, d in enumerate(DIMENSIONS))
-    groups = _sums(narrow.where(bundle.isin(heavy)), bundle.alias("bundle"), "_group").where(over).collect() if heavy else []
-    pieces = {}
-    for b, g, *v in groups:
-        v = np.array(v, dtype=float)
-        part = np.max(v / np.maximum(share, 1e-9))
-        pieces[g] = int(np.ceil(part)) if part * largest > cut_above else 1
-    cut = spark.createDataFrame([(g, n) for g, n in pieces.items()], "_large long, _pieces int")
-
-    def by_item(df: DataFrame) -> DataFrame:
-        df = df.join(F.broadcast(cut), F.col("_group") == F.col("_large"), "left")
-        large = F.col("_large").isNotNull()
-        piece = F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.col("_pieces")).cast("int")
-        return df.withColumns({"_bundle": F.when(large, -1).otherwise(bundle), "_piece": F.when(large, piece).otherwise(0), "_large": F.coalesce("_large", F.lit(0))})
-
-    key = ("_bundle", "_large", "_piece")
-    exact = _sums(by_item(narrow), *key).collect() if pieces else [(b, 0, 0, *map(int, v)) for b, v in sums.items() if v[2] > 0]
-    exact.sort(key=lambda r: tuple(r[:3]))
-    shard = pack(np.array([r[3:] for r in exact], dtype=float), shards)
-    first, offset = np.zeros(shards, dtype=np.int64), []
-    for r, s in zip(exact, shard):
-        offset.append(int(first[s]))
-        first[s] += int(r[5])
-    placed = spark.createDataFrame([(*r[:3], int(s), o) for r, s, o in zip(exact, shard, offset)], "_bundle int, _large long, _piece int, _shard int, _first long")
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "_group"))
-    out = by_item(rows).join(F.broadcast(placed), list(key)).withColumn("_slot", F.col("_first") + rank - 1)
-    return out.drop(*key, "_first", "_pieces")
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows["_group"].to_numpy(), kind="stable")))
+        demands = np.stack([rows[d].to_numpy().astype(float) for d in DIMENSIONS], axis=1)
+        open_ = np.maximum(left, 0)
+        part = open_ / np.where(open_.sum(axis=0) > 0, open_.sum(axis=0), 1)
+        where = pack(demands, shards, capacity=part * demands.sum(axis=0))
+        return pa.table({"_group": rows["_group"], "_shard": pa.array(where.astype(np.int32))})
 
+    return run
 
-def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """``docs`` with size, text_crc32, law, shard, slot and grown_shard. Texts are moved once, to their items."""
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULT]).alias("_row")
-    rows = measured(docs.select(kept, "doc_id", "text")).drop("text")
-    placed = assign(staged(rows.drop("_row"), "measured"), shards, rows)
-    return _result(placed).select("_row.*", *RESULT)
+
+def placed(narrow: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """Staged tables of the shard of each (_group, _salt), and of the salts of the groups that have several: (_group, _salts, _pieces).
+
+    ``narrow``: a staged table of doc_id, _size, _tokens, _group.
+    """
+    spark = narrow.sparkSession
+    groups = staged(_sums(narrow, "_group"), "sums")
+    n, *total = groups.agg(F.count("*"), *[F.sum(d) for d in DIMENSIONS]).first()
+    share = np.maximum(np.array([float(t or 0) for t in total]) / shards * LARGEST, 1e-9)
+    part = F.greatest(*[F.col(d) / F.lit(float(share[k])) for k, d in enumerate(DIMENSIONS)])
+    pieces = F.when(part * LARGEST > CUT, F.ceil(part)).otherwise(1).cast("int")
+    cut = groups.withColumn("_heavy", part > 1).where(F.col("_heavy") | (F.col("rows") > SALT)).withColumn("_pieces", pieces)
+    cut = staged(cut.select("_group", "_heavy", "_pieces", (F.col("_pieces") * F.ceil(F.col("rows") / F.col("_pieces") / SALT)).cast("int").alias("_salts")), "cut")
+    exact = _sums(salted(narrow.join(F.broadcast(cut.where("_heavy")), "_group")).withColumn("_piece", F.col("_salt") % F.col("_pieces")), "_group", "_piece").collect()
+    exact.sort(key=lambda r: tuple(r[:2]))
+    capacity = np.tile(np.array([float(t or 0) for t in total]) / shards, (shards, 1))
+    demands = np.array([r[2:] for r in exact], dtype=float).reshape(-1, len(DIMENSIONS))
+    where = pack(demands / (share / LARGEST), shards, capacity=capacity / (share / LARGEST)) if len(exact) else np.empty(0, dtype=int)
+    np.subtract.at(capacity, where, demands)
+    heavy = spark.createDataFrame([(*r[:2], int(s)) for r, s in zip(exact, where)], "_group long, _piece int, _shard int")
+    salts = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    of_heavy = cut.where("_heavy").withColumn("_salt", salts).withColumn("_piece", F.col("_salt") % F.col("_pieces"))
+    of_heavy = of_heavy.join(F.broadcast(heavy), ["_group", "_piece"]).select("_group", "_salt", "_shard")
+    rest = groups.join(F.broadcast(cut.where("_heavy").select("_group")), "_group", "left_anti").withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), "_group"), F.lit(n // BLOCK + 1)))
+    packed = rest.groupBy("_block").applyInArrow(_packing(shards, capacity), "_group long, _shard int")
+    several = small(cut.where("NOT _heavy").select("_group", "_salts"))
+    packed = packed.join(several, "_group", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1))).withColumn("_salt", salts)
+    out = staged(packed.select("_group", "_salt", "_shard").union(of_heavy), "placed")
+    unstage(groups)
+    return out, cut
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    """Adds _salt to rows with _salts, their group's number of them."""
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.coalesce("_salts", F.lit(1))).cast("int"))
+
+
+def _numbering(shards: int):
+    """Adds the task and the number of the row among those of its shard there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), np.zeros(shards, dtype=np.int64)
+        for batch in batches:
+            shard = batch["_shard"].to_numpy()
+            order = np.argsort(shard, kind="stable")
+            count = np.bincount(shard, minlength=shards)
+            nth = np.empty(len(shard), dtype=np.int64)
+            nth[order] = np.arange(len(shard)) - np.repeat(np.cumsum(count) - count, count)
+            nth += seen[shard]
+            seen += count
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(shard), task, dtype=np.int32)), pa.array(nth)], names=[*batch.schema.names, "_task", "_nth"])
+
+    return run
+
+
+def assign(rows: DataFrame, narrow: DataFrame, shards: int) -> DataFrame:
+    """``rows`` with ``_shard`` and ``_slot``; both have doc_id and _group, ``narrow`` is staged and has the columns of ``measured``."""
+    where, cut = placed(narrow, shards)
+    of = salted(rows.join(small(cut.select("_group", "_salts")), "_group", "left")).join(where, ["_group", "_salt"]).drop("_salts", "_salt")
+    numbered = staged(of.mapInArrow(_numbering(shards), f"{fields(of)}, _task int, _nth long"), "numbered")
+    before = Window.partitionBy("_shard").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per task and shard
+    offsets = numbered.groupBy("_shard", "_task").agg(F.count("*").alias("_n")).select("_shard", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return numbered.join(small(staged(offsets, "offsets")), ["_shard", "_task"]).withColumn("_slot", F.col("_first") + F.col("_nth")).drop("_task", "_nth", "_first")
 
 
 RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -118,6 +161,14 @@ def _result(df: DataFrame) -> DataFrame:
     })
 
 
+def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
+    """``docs`` with size, text_crc32, law, shard, slot and grown_shard. Texts are moved once, to the shards of their groups."""
+    kept = [c for c in docs.columns if c not in RESULT]
+    rows = measured(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "doc_id", "text")).drop("text")
+    narrow = staged(rows.select("doc_id", "_size", "_tokens", "_group"), "measured")
+    return _result(assign(rows.drop("_tokens"), narrow, shards)).select("_row.*", *RESULT)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = measured(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return _result(assign(staged(docs, "measured"), 40)).select("doc_id", *RESULT)
+    docs = staged(measured(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "measured")
+    return _result(assign(docs.drop("_tokens"), docs, 40)).select("doc_id", *RESULT)

@@ -106,6 +106,53 @@ def test_shards(spark, docs, folder):
     assert max(counts.values()) < 1.1 * 150
 
 
+def slow_pack(demands, shards, weights, capacity):
+    """Item by item over all shards, in Python floats."""
+    total = [sum(d[k] for d in demands) for k in range(3)]
+    unit = [t / shards if t > 0 else 1 for t in total]
+    left = [[c[k] / unit[k] for k in range(3)] for c in capacity]
+    out = [None] * len(demands)
+    for i in sorted(range(len(demands)), key=lambda i: (-max(demands[i][k] / unit[k] for k in range(3)), i)):
+        need = [demands[i][k] / unit[k] for k in range(3)]
+        value = [sum(r * n * w for r, n, w in zip(row, need, weights)) for row in left]
+        out[i] = best = max(range(shards), key=lambda s: (round(value[s], 12), -s))
+        left[best] = [r - n for r, n in zip(left[best], need)]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_against_a_slow_packer(seed):
+    rng = np.random.default_rng(seed)
+    demands = np.round(rng.pareto(1.5, (300, 3)) * 50) + 1
+    capacity = np.tile(demands.sum(axis=0) / 7, (7, 1)) * rng.uniform(0.5, 1.5, (7, 1))
+    got = sharding.pack(demands, 7, capacity=capacity)
+    assert got.tolist() == slow_pack(demands.tolist(), 7, sharding.WEIGHTS, capacity.tolist())
+    assert sharding.pack(demands, 7).tolist() == slow_pack(demands.tolist(), 7, sharding.WEIGHTS, [(demands.sum(axis=0) / 7).tolist()] * 7)
+
+
+@pytest.mark.parametrize("block, salt", [(50_000, 100_000), (300, 3)])
+def test_placement_of_groups_against_the_slow_packer(spark, docs, monkeypatch, block, salt):
+    """With one block and no large group, every group is where the slow packer puts it; in blocks and by salts, groups stay whole and sizes even."""
+    monkeypatch.setattr(sharding, "BLOCK", block)
+    monkeypatch.setattr(sharding, "SALT", salt)
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.random()) for _ in range(rng.choice([1, 9, 30]))) for _ in range(900)] + ["a b c"] * 5
+    df = docs(list(enumerate(texts)))
+    got = sharding.shard_documents(df, 8).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r["text"]].add(r["shard"])
+    assert all(len(s) == 1 for s in by.values())
+    sizes = check_shards(dict(enumerate(texts)), got, 8)
+    assert max(sizes.values()) < 1.02 * sum(sizes.values()) / 8 and min(sizes.values()) > 0.98 * sum(sizes.values()) / 8
+    if block == 50_000:
+        hashes = dict(df.selectExpr("text", "xxhash64(text)").collect())
+        groups = sorted(set(texts), key=hashes.get)
+        demands = [[(len(t.encode()) + 16) * texts.count(t), words(t) * texts.count(t), texts.count(t)] for t in groups]
+        capacity = [[sum(d[k] for d in demands) / 8 for k in range(3)]] * 8
+        assert [min(by[t]) for t in groups] == slow_pack(demands, 8, sharding.WEIGHTS, capacity)
+
+
 def test_groups_stay_together(spark, docs):
     df = docs([(i, f"text number {i // 4}") for i in range(4000)])
     by = defaultdict(set)
