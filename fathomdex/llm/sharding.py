@@ -66,7 +66,7 @@ def pack(demands: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS,
     residual = np.ones((shards, demands.shape[1])) if capacity is None else capacity / unit
     out = np.empty(len(demands), dtype=np.int64)
     for i in np.lexsort((np.arange(len(demands)), -demands.max(axis=1))):
-        out[i] = best = int(np.argmax(residual @ (demands[i] * weights)))
+        out[i] = best = int(np.argmax(np.round(residual @ (demands[i] * weights), 12)))
         residual[best] -= demands[i]
     return out
 
