@@ -90,8 +90,109 @@ def test_without_labels_or_rows(spark, docs, folder, f):
 def test_long_texts_are_read_to_their_end(spark, docs):
     df = docs([(1, "the and " * 60_000), (2, "the and " * 60_000 + "idiot scum idiot"), (3, "the and")])
     model = {"blor": 3.0}, boosting.Boosted()
-    x = toxicity.features(df.collect()[1]["text"], *[model[0], toxicity.roots_of(model[0])])
-    assert x[0] > 0 and len(x) == toxicity.N_FEATURES == len(toxicity.features(None, {}, frozenset()))
+    x = toxicity.features(df.collect()[1]["text"], toxicity.Words(model[0]))
+    assert x[0] > 0 and len(x) == toxicity.N_FEATURES == len(toxicity.features(None, toxicity.Words({})))
+
+
+@pytest.mark.parametrize("text", ["HELLO you id1ot!!! sooooo b@d a!b x", "a1b 2c a!! ?!", "ÀÉ Ǆ é²x aaa aaaa", "no marks here", "😀😀😀😀 A😀B", "x.y.. z"])
+def test_patterns_run_only_where_they_may_match(text):
+    x, n = toxicity.features(text, toxicity.Words({})), max(1, len(toxicity.tokens(text)))
+    assert x[11] == sum(map(str.isupper, text)) / len(text) and x[12] == sum(w.isupper() and len(w) > 1 for w in text.split()) / n
+    assert x[16] == len(toxicity._REPEATED.findall(text)) / n and x[18] == len(toxicity._INNER.findall(text)) / n and x[19] == len(toxicity._ELONGATED.findall(text)) / n
+
+
+def test_lexicons_of_folds(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(400):
+        toxic, fold = int(rng.random() < 0.3), rng.randrange(toxicity.FOLDS)
+        # a word that only the toxic documents of one fold have tells nothing to that fold's lexicon
+        rows.append((" ".join([prose(rng, "ba de ti no ru".split(), 12), *["blorgen"] * toxic, *[f"only{'abcd'[fold]}{'abcd'[fold]}"] * toxic]), toxic, fold))
+    lexicons = toxicity.induce_lexicons(spark.createDataFrame(rows, "text string, label int, fold int"))
+    stems = lambda texts: Counter(s for t in texts for s in {s for w in set(toxicity.tokens(t)) for s in toxicity.stems(w)})
+    for k, got in enumerate(lexicons):
+        own = [r for r in rows if r[2] != k]
+        n1, n0 = sum(r[1] for r in own), sum(not r[1] for r in own)
+        a, b = stems(r[0] for r in own if r[1]), stems(r[0] for r in own if not r[1])
+        odds = {s: math.log((a[s] + 0.5) / n1) - math.log((b[s] + 0.5) / n0) for s in a if a[s] >= max(3, n1 // 100)}
+        assert got == pytest.approx({s: v for s, v in odds.items() if v > toxicity.LEAST_ODDS})
+        assert "blorgen" in got and (k == toxicity.FOLDS or f"only{'abcd'[k]}{'abcd'[k]}" not in got)
+
+
+def plain_trees(x, y, trees, depth, rate, least):
+    """Boosted trees by trying every cut of every feature at every node, in Python floats; returns the margins of the rows."""
+    p = min(0.99, max(0.01, sum(y) / len(y)))
+    f = [math.log(p / (1 - p))] * len(y)
+    cuts = [sorted(set(np.quantile([r[j] for r in x], np.linspace(0, 1, boosting.BINS + 1)[1:-1]).tolist())) for j in range(len(x[0]))]
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-v)) for v in f]
+        g, h = [b - a for a, b in zip(p, y)], [max(a * (1 - a), 1e-6) for a in p]
+        leaves = [list(range(len(y)))]
+        for _ in range(depth):
+            split = []
+            for rows in leaves:
+                tg, th = sum(g[i] for i in rows), sum(h[i] for i in rows)
+                best = (-1.0, rows, [])
+                for j, edges in enumerate(cuts):
+                    for cut in edges:
+                        left = [i for i in rows if x[i][j] <= cut]
+                        lg, lh = sum(g[i] for i in left), sum(h[i] for i in left)
+                        gain = lg**2 / (lh + least) + (tg - lg) ** 2 / (th - lh + least) - tg**2 / (th + least)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, left, [i for i in rows if x[i][j] > cut])
+                split += best[1:]
+            leaves = split
+        for rows in leaves:
+            step = rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + least)
+            for i in rows:
+                f[i] += step
+    return f
+
+
+def test_boosting_against_plain_trees():
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(120, 3)), 2)
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(size=120) * 0.3 > 0.5).astype(float)
+    m = boosting.Boosted(trees=6, depth=2).fit(x, y)
+    assert np.allclose(m.margin(x), plain_trees(x.tolist(), y.tolist(), 6, 2, m.rate, m.least))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_isotonic_against_the_min_max_formula(seed):
+    rng = np.random.default_rng(seed)
+    f = rng.permutation(60).astype(float)
+    y = (rng.random(60) < f / 60).astype(float)
+    order = np.argsort(f)
+    f, y = f[order], y[order]
+    want = [max(min(np.mean(y[a : b + 1]) for b in range(k, 60)) for a in range(k + 1)) for k in range(60)]
+    at, value = boosting.isotonic(f, y)
+    steps = [v for v, n in zip(value, np.diff(np.append(np.searchsorted(f, [f[np.isclose(want, v)].min() for v in value]), 60))) for _ in range(n)]
+    assert np.allclose(steps, want) and np.allclose(at, [f[np.isclose(want, v)].mean() for v in value])
+
+
+def test_votes_against_numpy_over_all_pairs():
+    rng = random.Random(7)
+    rows, labels = corpus(rng, 160)
+    texts, y = [r[1] for r in rows], np.array([q for _, q, _ in labels[:120]])
+    x = np.stack([quality.term_counts(t) for t in texts])
+    of = np.where(y == 1, 3.0, 0.5)
+    space = quality.Space(x[:120], y, of)
+    grams = 1 << quality.BITS
+    idf = np.append(np.log((1 + 120) / (1 + (x[:120, :grams] > 0).sum(axis=0))), np.ones(x.shape[1] - grams))
+    weighted = x * idf
+    centred = weighted - weighted[:120].mean(axis=0)
+    _, _, v = np.linalg.svd(centred[:120], full_matrices=False)
+    z = centred @ v[: quality.DIMENSIONS].T
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    prior = (y * of).sum() / of.sum()
+    want = []
+    for row in z:
+        cos = [float(row @ other) for other in z[:120]]
+        near = sorted(range(120), key=lambda k: -cos[k])[: quality.NEIGHBOURS]
+        votes = [(max(cos[k], 1e-3) ** quality.SHARPNESS * of[k], y[k]) for k in near]
+        tiny = 1e-6 * of.mean()
+        want.append((sum(w * q for w, q in votes) + tiny * prior) / (sum(w for w, _ in votes) + tiny))
+    assert np.allclose(space.score(x), want, atol=5e-3)
 
 
 def test_boosting_and_isotonic():
