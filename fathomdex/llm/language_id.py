@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, pieces, read_table
+from .common import bounded_sample, fields, held_out, pieces, read_table
 from .ngrams import trigram_counts
 
 BITS = 12
@@ -123,8 +123,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             )
 
     kept = docs.drop("lang_pred", "score", "languages")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != text)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, languages map<string, double>")
+    return kept.mapInArrow(run, ", ".join(x for x in (fields(kept, text), "lang_pred string, score double, languages map<string, double>") if x))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, read_table
+from .common import fields, held_out, pieces, read_table
 from .ngrams import trigram_counts
 from .toxicity import labelled
 
@@ -139,8 +139,7 @@ def score(docs: DataFrame, space: Space, text: str = "text", threshold: float =
             yield pa.RecordBatch.from_arrays([*rest, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*[n for n in batch.schema.names if n != text], "score", "predicted"])
 
     kept = docs.drop("score", "predicted")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != text)
-    return kept.mapInArrow(run, f"{fields}, score double, predicted int")
+    return kept.mapInArrow(run, ", ".join(x for x in (fields(kept, text), "score double, predicted int") if x))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
