@@ -31,9 +31,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
-def unix_lines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n", "\n")
-
 
 def tidy(text: Column) -> Column:
     """Runs of blanks and tabs become a blank, three or more newlines two; trimmed."""
@@ -81,10 +78,6 @@ def pages_from_text(text: Column) -> Column:
     return let(trim(F.coalesce(text, F.lit(""))), page)
 
 
-def decoded(content: Column) -> Column:
-    """Binary as UTF-8, bad bytes as U+FFFD."""
-    return F.make_valid_utf8(content.cast("string"))
-
 
 # The head of a message in chat exports of both mobile systems.
 CHAT_HEAD = (
@@ -148,12 +141,6 @@ def joined_row(cells: Column) -> Column:
     return F.nullif(trim(F.array_join(cells, " | ")), F.lit(""))
 
 
-def rounded_score(score: Column) -> Column:
-    return F.round(score, 4)
-
-
-def iso_utc(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def version_newer(a: Column, b: Column) -> Column:

@@ -4,8 +4,6 @@ import hashlib
 import importlib.util
 import os
 import re
-from collections import Counter
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -22,9 +20,19 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
-@lru_cache(maxsize=1 << 18)
-def _bucket(word: str, dimension: int) -> int:
-    return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dimension
+class _Buckets(dict):
+    """The numbers of words, each hashed once while there is room."""
+
+    MOST = 1 << 19
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = n = int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
+        return n
+
+
+_buckets = _Buckets()
 
 
 class HashProvider:
@@ -33,10 +41,12 @@ class HashProvider:
     dimension = 384
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension))
-        for row, text in zip(out, texts):
-            for word, n in Counter(w for w in _JS_SPACE.split(text or "") if w).items():
-                row[_bucket(word, self.dimension)] += n
+        buckets = np.zeros(len(texts) * self.dimension)
+        for row, text in enumerate(texts):
+            own = [_buckets[w] for w in _JS_SPACE.split(text or "") if w]
+            if own:
+                buckets[row * self.dimension : (row + 1) * self.dimension] = np.bincount(np.array(own) % self.dimension, minlength=self.dimension)
+        out = buckets.reshape(len(texts), self.dimension)
         size = np.sqrt((out**2).sum(axis=1, keepdims=True))
         return out / np.where(size > 0, size, 1)
 

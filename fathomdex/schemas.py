@@ -2,7 +2,6 @@
 
 FILES = "path string, size long, mtime_ns long, ext string"
 PAGES = "array<struct<page: int, text: string>>"
-CHUNKS = "doc_id string, chunk_id int, page int, texto string"
 INDEX = (
     "doc_id string, chunk_id int, vector array<float>, texto string, fichero string, ruta_relativa string, raiz string, "
     "pagina int, fecha_modificacion timestamp"

@@ -7,9 +7,12 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import repeat
+from typing import IO
 from xml.etree import ElementTree
 
 from .base import Extracted, Options, Page, UnsupportedFormat, extension, extracts, one_page, provider
+from .numbers import BUILT_IN, shown
 from .plain import trim, utf8
 
 _NUMBER = re.compile(r"-?[0-9.,]+\Z")
@@ -68,55 +71,93 @@ def _attr(e: ElementTree.Element, name: str) -> str | None:
     return next((v for k, v in e.attrib.items() if k.rsplit("}", 1)[-1] == name), None)
 
 
-def xlsx_sheets(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
+def _formats(styles: bytes | None) -> list[str]:
+    """The format code of each cell style."""
+    if not styles:
+        return []
+    root = ElementTree.fromstring(styles)
+    own = {e.get("numFmtId"): e.get("formatCode") or "General" for e in root.iter() if _local(e) == "numFmt"}
+    cells = next((e for e in root.iter() if _local(e) == "cellXfs"), ())
+    return [own.get(x.get("numFmtId")) or BUILT_IN.get(int(x.get("numFmtId") or 0), "General") for x in cells]
+
+
+def _rows(part: IO[bytes]) -> Iterator[ElementTree.Element]:
+    """The rows of a sheet one after another; what was read is let go."""
+    for _, e in ElementTree.iterparse(part):
+        if _local(e) in ("row", "table-row"):
+            yield e
+            e.clear()
+
+
+def xlsx_sheets(content: bytes) -> Iterator[tuple[str, Iterator[list[str]]]]:
+    """Sheets in order, with their rows as shown."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
+        part = lambda name: z.read(name) if name in names else None
         shared = []
-        if "xl/sharedStrings.xml" in names:
-            for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
-                shared.append("".join(t.text or "" for t in si.iter() if _local(t) == "t"))
+        if strings := part("xl/sharedStrings.xml"):
+            shared = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in ElementTree.fromstring(strings)]
+        formats = _formats(part("xl/styles.xml"))
         targets = {_attr(r, "Id"): _attr(r, "Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in (e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"):
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        since_1904 = any(e.get("date1904") in ("1", "true") for e in book.iter() if _local(e) == "workbookPr")
+
+        def value(c: ElementTree.Element) -> str:
+            text, kind = next((v.text or "" for v in c if _local(v) == "v"), ""), c.get("t")
+            if kind == "s" and text:
+                return shared[int(text)]
+            if kind == "inlineStr":
+                return "".join(t.text or "" for t in c.iter() if _local(t) == "t")
+            if kind == "b":
+                return "TRUE" if text == "1" else "FALSE"
+            style = int(c.get("s") or 0)
+            return shown(text, formats[style] if style < len(formats) else "General", since_1904) if text and kind in (None, "n") else text
+
+        def cells(row: ElementTree.Element) -> list[str]:
+            out: dict[int, str] = {}
+            for c in row:
+                out[_column(c.get("r")) if c.get("r") else max(out, default=-1) + 1] = value(c)
+            return [out.get(k, "") for k in range(max(out, default=-1) + 1)]
+
+        for sheet in (e for e in book.iter() if _local(e) == "sheet"):
             target = targets[_attr(sheet, "id")].lstrip("/")
-            path = target if target in names else f"xl/{target}"
-            rows = []
-            for row in (e for e in ElementTree.fromstring(z.read(path)).iter() if _local(e) == "row"):
-                cells: list[str] = []
-                for c in row:
-                    at = _column(c.get("r", "")) if c.get("r") else len(cells)
-                    cells += [""] * (at + 1 - len(cells))
-                    value = next((v.text or "" for v in c if _local(v) == "v"), "")
-                    kind = c.get("t")
-                    if kind == "s" and value:
-                        value = shared[int(value)]
-                    elif kind == "inlineStr":
-                        value = "".join(t.text or "" for t in c.iter() if _local(t) == "t")
-                    elif kind == "b":
-                        value = "TRUE" if value == "1" else "FALSE"
-                    cells[at] = value
-                rows.append(cells)
-            yield sheet.get("name", ""), rows
-
-
-def ods_sheets(content: bytes, flat: bool = False) -> Iterator[tuple[str, list[list[str]]]]:
+            with z.open(target if target in names else f"xl/{target}") as f:
+                yield sheet.get("name", ""), map(cells, _rows(f))
+
+
+#: A sheet has no more columns and rows than this; what a file repeats beyond them isn't there.
+COLUMNS, ROWS = 16_384, 1_048_576
+
+
+def ods_sheets(content: bytes, flat: bool = False) -> Iterator[tuple[str, Iterator[list[str]]]]:
     if flat:
         root = ElementTree.fromstring(content)
     else:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             root = ElementTree.fromstring(z.read("content.xml"))
-    for sheet in (e for e in root.iter() if _local(e) == "table"):
-        rows = []
+
+    def cells(row: ElementTree.Element) -> list[str]:
+        out: list[str] = []
+        blank = 0  # cells that only count if one with text follows
+        for c in (c for c in row if _local(c) in ("table-cell", "covered-table-cell")):
+            text, times = "\n".join("".join(p.itertext()) for p in c if _local(p) == "p"), int(_attr(c, "number-columns-repeated") or 1)
+            if not text:
+                blank = min(COLUMNS, blank + times)
+                continue
+            out += [""] * min(blank, COLUMNS - len(out))
+            out += [text] * min(times, COLUMNS - len(out))
+            blank = 0
+        return out
+
+    def rows(sheet: ElementTree.Element) -> Iterator[list[str]]:
+        left = ROWS
         for row in (e for e in sheet.iter() if _local(e) == "table-row"):
-            cells: list[str] = []
-            for c in row:
-                if _local(c) in ("table-cell", "covered-table-cell"):
-                    text = "\n".join("".join(p.itertext()) for p in c if _local(p) == "p")
-                    # empty cells are repeated to the sheet's end, without meaning
-                    cells += [text] * (min(int(_attr(c, "number-columns-repeated") or 1), 16384) if text else int(_attr(c, "number-columns-repeated") or 1))
-            while cells and not cells[-1]:
-                cells.pop()
-            rows += [cells] * (int(_attr(row, "number-rows-repeated") or 1) if cells else 1)
-        yield _attr(sheet, "name") or "", rows
+            own, times = cells(row), int(_attr(row, "number-rows-repeated") or 1)
+            yield from repeat(own, min(left, times) if own else 0)
+            left -= min(left, times)
+
+    for sheet in (e for e in root.iter() if _local(e) == "table"):
+        yield _attr(sheet, "name") or "", rows(sheet)
 
 
 @extracts("sheet")
@@ -132,9 +173,10 @@ def spreadsheet(name: str, content: bytes, options: Options) -> Extracted:
     else:
         raise UnsupportedFormat("no provider for .xls")
     pages: list[Page] = []
-    for title, rows in sheets:
+    for title, sheet in sheets:
+        rows = [r for r in sheet if any(r)]  # blank ones aren't held
         width = max((len(r) for r in rows), default=0)
-        text = trim("\n".join(" | ".join(r + [""] * (width - len(r))) for r in rows if any(r)))
+        text = trim("\n".join(" | ".join(r + [""] * (width - len(r))) for r in rows))
         if text:
             pages.append(Page(len(pages) + 1, f"[hoja: {title}]\n{text}"))
     return Extracted(pages, len(pages) or None)

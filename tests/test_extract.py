@@ -129,3 +129,30 @@ def test_providers(providers):
     register_provider("rar", lambda c: iter([("r.txt", b"R")]))
     assert texts("r.rar", b"") == [(None, "[archivo: r.txt]"), (None, "R")]
     assert Page(None, "x") == (None, "x")
+
+
+@pytest.mark.parametrize(
+    "value, code, want",
+    [
+        ("45000", "m/d/yy", "3/15/23"), ("45000.5", "yyyy-mm-dd hh:mm", "2023-03-15 12:00"), ("45000.75", "d mmm yyyy h:mm AM/PM", "15 Mar 2023 6:00 PM"), ("0.5", "0%", "50%"), ("0.1234", "0.00%", "12.34%"),
+        ("1234567.891", "#,##0.00", "1,234,567.89"), ("-5", "#,##0;(#,##0)", "(5)"), ("1234.5", "General", "1234.5"), ("7", "000", "007"), ("3.14159", "0.##", "3.14"), ("12", '0.00" €"', "12.00 €"), ("2.5", "0", "3"),
+        ("1.25", "[h]:mm:ss", "30:00:00"), ("0.52", "mm:ss", "28:48"), ("abc", "0.00", "abc"), ("1500", "0.0,", "1.5"), ("12345", "0.00E+00", "1.23E+04"), ("0", '0;-0;"none"', "none"), ("45000", "dddd dd/mm", "Wednesday 15/03"),
+    ],
+)
+def test_numbers_as_shown(value, code, want):
+    from fathomdex.sources.extract.numbers import shown
+
+    assert shown(value, code) == want
+
+
+def test_xlsx_styles_and_ods_repeats():
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    book = zipped(**{
+        "xl/workbook.xml": f'<workbook {ns}><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {ns}><numFmts><numFmt numFmtId="164" formatCode="dd/mm/yyyy"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="9"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet {ns}><sheetData><row r="1"><c r="A1" s="1"><v>45000</v></c><c r="B1" s="2"><v>0.5</v></c><c r="C1"><v>5</v></c></row></sheetData></worksheet>',
+    })
+    assert texts("a.xlsx", book) == [(1, "[hoja: S]\n15/03/2023 | 50% | 5")]
+    ods = '<o xmlns:table="t" xmlns:text="x"><table:table table:name="T"><table:table-row table:number-rows-repeated="2"><table:table-cell table:number-columns-repeated="2"/><table:table-cell><text:p>b</text:p></table:table-cell><table:table-cell table:number-columns-repeated="900000000"/></table:table-row><table:table-row table:number-rows-repeated="900000000"><table:table-cell table:number-columns-repeated="900000000"/></table:table-row></table:table></o>'
+    assert texts("a.fods", ods.encode()) == [(1, "[hoja: T]\n|  | b\n |  | b")]
