@@ -8,6 +8,7 @@ hits are joined afterwards, so the scan reads vectors and keys alone.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,12 +64,29 @@ def top_k(items: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: i
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "query_id long, score double"])
     hits = items.select(*keys, vector).mapInArrow(run, schema)
     order = [F.desc("score"), *keys]
+    if not queries:
+        return hits.withColumn("rank", F.lit(1))
     if len(queries) == 1:
         ranked = hits.orderBy(*order).limit(k)
         return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
+#: Queries that are sent to the workers together.
+BLOCK = 20_000
+
+
+def top_k_of(items: DataFrame, queries: DataFrame, k: int, keys: Sequence[str], vector: str = "vector", exclude_self: str | None = None, block: int = BLOCK) -> DataFrame:
+    """``top_k`` for a table of queries (id, vector) of any length, in blocks of about ``block``: only one is on the driver at a time."""
+    number, value = queries.columns
+    n = queries.count() // block + 1
+    found = []
+    for b in range(n):
+        some = queries.where(F.pmod(F.xxhash64(number), F.lit(n)) == b).orderBy(number)
+        found.append(top_k(items, [(int(q), v) for q, v in some.select(number, value).collect()], k, keys, vector, exclude_self))
+    return reduce(DataFrame.union, found)
+
+
 def _best(table: pa.Table, keys: Sequence[str], k: int) -> pa.Table:
     table = table.sort_by([("query_id", "ascending"), ("score", "descending"), *[(c, "ascending") for c in keys]])
     q = table["query_id"].to_numpy()
@@ -89,11 +107,14 @@ def search(index: DataFrame, vector: Sequence[float], n: int = 5, folder: str |
     return search_many(index, [(0, vector)], n, folder, mode).drop("query_id").orderBy(F.desc("score"), "doc_id", "chunk_id")
 
 
-def search_many(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], n: int = 5, folder: str | None = None, mode: str = "exact") -> DataFrame:
+def search_many(index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]] | DataFrame, n: int = 5, folder: str | None = None, mode: str = "exact") -> DataFrame:
+    """Hits of several queries: a list, or a table (id, vector)."""
     pool = index.where(in_folder(F.col("ruta_relativa"), folder)) if folder and mode == "exact" else index
     k = min(5 * n, 200) if folder and mode == "overfetch" else n
-    hits = top_k(pool, queries, k, ("doc_id", "chunk_id"))
-    rows = pool.select(*HIT).join(F.broadcast(hits), ["doc_id", "chunk_id"])  # k rows a query, as the caller asked for
+    many = isinstance(queries, DataFrame)
+    hits = (top_k_of if many else top_k)(pool, queries, k, ("doc_id", "chunk_id"))
+    # k rows a query: few for a list, which is the caller's
+    rows = pool.select(*HIT).join(hits if many else F.broadcast(hits), ["doc_id", "chunk_id"])
     if folder and mode == "overfetch":
         rows = rows.where(in_folder(F.col("ruta_relativa"), folder))
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= n)

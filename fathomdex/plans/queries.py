@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from ..config import Root
 from ..functions import paths, text
 from ..operators import archive, changes, chunking, embedding, reading, search
+from ..sources.extract import Options
+from ..sources.store import Store
+from . import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 SIZE, OVERLAP = chunking.sizes()
@@ -122,47 +127,58 @@ def q14_hash_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("bucket").cast("int").alias("bucket"), F.round("weight", 4).alias("weight"))
 
 
-def _queries_from(rows: DataFrame, key: str, vector: str) -> list[tuple[int, list[float]]]:
-    return [(int(r[0]), list(r[1])) for r in rows.select(key, vector).orderBy(key).collect()]
+def _asked(items: DataFrame) -> DataFrame:
+    """The query set of searches: every vector whose id is divisible by 100."""
+    return items.where("vec_id % 100 = 0").select("vec_id", "embedding")
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("score", 4).alias("score"))
 
 
 def q15_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "embeddings")
-    hits = search.top_k(items, _queries_from(items.where("vec_id = 0"), "vec_id", "embedding"), 10, ("vec_id",), "embedding")
-    return hits.select("vec_id", F.round("score", 4).alias("score"))
+    return _ranked(search.top_k_of(items, _asked(items), 10, ("vec_id",), "embedding"))
 
 
-def q16_topk_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _as_index(items: DataFrame) -> DataFrame:
+    """Vectors as chunks of an index, in a folder per label."""
+    rows = items.withColumn("doc_id", F.lpad(F.col("vec_id").cast("string"), 12, "0")).withColumn("raiz", F.concat(F.lit("label"), F.col("label").cast("string")))
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("texto", "string"), ("fichero", "string"), ("pagina", "int"), ("fecha_modificacion", "timestamp"))]
+    return rows.select("doc_id", F.lit(0).alias("chunk_id"), F.col("embedding").alias("vector"), "raiz", F.concat_ws("/", "raiz", "doc_id").alias("ruta_relativa"), *nothing)
+
+
+def _in_folder(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     items = table(spark, sf_dir, "embeddings")
-    hits = search.top_k(items.where("label = 3"), _queries_from(items.where("vec_id = 0"), "vec_id", "embedding"), 10, ("vec_id",), "embedding")
-    return hits.select("vec_id", F.round("score", 4).alias("score"))
+    hits = search.search_many(_as_index(items), _asked(items), 10, "label3", mode)
+    return hits.select("query_id", F.col("doc_id").cast("long").alias("vec_id"), "score")
+
+
+def q16_topk_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_folder(spark, sf_dir, "exact")
 
 
 def q17_topk_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, n = table(spark, sf_dir, "embeddings"), 10
-    hits = search.top_k(items, _queries_from(items.where("vec_id = 0"), "vec_id", "embedding"), min(5 * n, 200), ("vec_id", "label"), "embedding")
-    return hits.where("label = 3").orderBy("rank").limit(n).select("vec_id", F.round("score", 4).alias("score"))
+    return _in_folder(spark, sf_dir, "overfetch")
 
 
 def q18_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "embeddings")
-    hits = search.top_k(items, _queries_from(items.where("vec_id % 100 = 0"), "vec_id", "embedding"), 5, ("vec_id",), "embedding")
-    return hits.select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("score", 4).alias("score"))
+    return _ranked(search.top_k_of(items, _asked(items), 5, ("vec_id",), "embedding", block=7))
 
 
 def q19_self_exclude_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "embeddings")
-    hits = search.top_k(items, _queries_from(items.where("vec_id % 100 = 0"), "vec_id", "embedding"), 5, ("vec_id",), "embedding", exclude_self="vec_id")
-    return hits.select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("score", 4).alias("score"))
+    return _ranked(search.top_k_of(items, _asked(items), 5, ("vec_id",), "embedding", exclude_self="vec_id"))
 
 
 def q20_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best chunks of the documents for benchmark items."""
     provider = embedding.HashProvider()
-    asked = table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").orderBy("item_id").collect()
-    queries = [(r["item_id"], provider.embed([r["text"]])[0].tolist()) for r in asked]
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select("item_id", "text")
+    asked = embedding.embedded(asked, F.col("text"), provider, double=True).select("item_id", "vector")
     chunks = embedding.embedded(_document_chunks(spark, sf_dir).select("doc_id", "chunk_id", "texto"), F.col("texto"), provider, double=True)
-    hits = search.top_k(chunks, queries, 20, ("doc_id", "chunk_id"))
+    hits = search.top_k_of(chunks, asked, 20, ("doc_id", "chunk_id"))
     return hits.select(F.col("query_id").alias("item_id"), "doc_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("score", 4).alias("score"))
 
 
@@ -196,7 +212,14 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q24_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.listing(_registry(spark, sf_dir), "\\src1/").select("doc_id", "ruta_relativa", "fragmentos", "paginas", "sin_ocr")
+    """The listing with the place that each document has in it."""
+    listed = reading.listing(_registry(spark, sf_dir), "\\src1/").withColumn("_id", F.monotonically_increasing_id())
+    # the listing is sorted: ids hold the partition and the row in it, so a row per partition tells where each begins
+    listed = listed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = listed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    place = (F.col("_first") + F.col("_row") + 1).cast("int").alias("place")
+    return listed.join(F.broadcast(begins), "_part").select(place, "doc_id", "ruta_relativa", "fragmentos", "paginas", "sin_ocr")
 
 
 def q25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,12 +249,18 @@ def q27_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q28_upsert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of documents; toxic ones are deleted, those of low quality replaced."""
-    labels = table(spark, sf_dir, "labels")
-    index = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = changes.delete(index, labels.where("toxic = 1").select("doc_id"), "doc_id")
-    new = index.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("text", F.concat(F.lit("v2 "), "text"))
-    return changes.upsert(kept, new, "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    """A store of documents after three commits: all, the toxic ones deleted, those of low quality replaced."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    store = Store(spark, f"{named or tempfile.mkdtemp()}/stores/{uuid.uuid4().hex}", {"docs": ("doc_id long, text string", "doc_id")})
+    store.gone_at_exit()
+    labels, index = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    store.commit(upserts={"docs": index})
+    store.commit(deletes={"docs": labels.where("toxic = 1").select("doc_id")})
+    low = index.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    store.commit(upserts={"docs": low.withColumn("text", F.concat(F.lit("v2 "), "text"))})
+    return store.read("docs").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,4 +297,72 @@ def q33_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("remote", "local", text.version_newer(F.col("remote"), F.col("local")).alias("newer"))
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.transform("t", lambda x: x["text"]).alias("texts"))
+
+
+def q34_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return files.extracted(rows, "doc_id", lambda r: (f"{r['doc_id']}.TXT", r["text"].encode()))
+
+
+def q35_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.extracted(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", lambda r: ("page.htm", r["html"].encode()))
+
+
+def q36_extract_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.extracted(_turns(spark, sf_dir), "conv_id", lambda r: ("x.docx", files.docx(r["texts"])))
+
+
+def q37_extract_pptx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.extracted(_turns(spark, sf_dir), "conv_id", lambda r: ("x.pptx", files.pptx(r["texts"])))
+
+
+def _tables_by(rows: DataFrame, key: str, *columns: F.Column) -> DataFrame:
+    """The rows of each key's file, in order of their first cell."""
+    return rows.groupBy(F.col(key).cast("long").alias(key)).agg(F.sort_array(F.collect_list(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)]))).alias("rows"))
+
+
+def q38_extract_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["s_suppkey", "s_name", "s_acctbal"]
+    rows = _tables_by(table(spark, sf_dir, "supplier"), "s_nationkey", F.col("s_suppkey"), F.col("s_name"), F.col("s_acctbal").cast("string"))
+    return files.extracted(rows, "s_nationkey", lambda r: ("x.csv", files.delimited([names, *[list(x.values()) for x in r["rows"]]])))
+
+
+def q39_extract_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book per customer: orders with their price to two digits and their day."""
+    day = F.unix_date(F.col("o_orderdate").cast("date")) + 25569
+    rows = _tables_by(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderkey"), F.col("o_totalprice"), day)
+    return files.extracted(rows, "o_custkey", lambda r: ("x.xlsx", files.xlsx(f"c{r['o_custkey']}", [list(x.values()) for x in r["rows"]], ["General", "0.00", "yyyy-mm-dd"])))
+
+
+def q40_extract_fods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tables_by(table(spark, sf_dir, "nation"), "n_regionkey", F.col("n_nationkey"), F.col("n_name"))
+    return files.extracted(rows, "n_regionkey", lambda r: ("x.fods", files.fods(f"r{r['n_regionkey']}", [[str(v) for v in x.values()] for x in r["rows"]])))
+
+
+def q41_extract_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first turn as the body, the others attached."""
+    make = lambda r: ("x.eml", files.eml(f"conv {r['conv_id']}", r["texts"][0], {f"t{k}.txt": t for k, t in enumerate(r["texts"][1:], 1)}))
+    return files.extracted(_turns(spark, sf_dir), "conv_id", make)
+
+
+def q42_extract_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for every 40 ids, of which the limits let some members through."""
+    docs = table(spark, sf_dir, "documents").withColumn("archive", F.floor(F.col("doc_id") / 40))
+    rows = _tables_by(docs, "archive", F.col("doc_id"), F.col("text"))
+    make = lambda r: ("x.zip", files.zipped({f"{x['c0']}.txt": x["c1"] for x in r["rows"]}))
+    return files.extracted(rows, "archive", make, Options(archive_members=MEMBERS, archive_bytes=BYTES)).withColumn("texto", F.md5(F.col("texto").cast("binary")))
+
+
+def q43_extract_rtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return files.extracted(rows, "doc_id", lambda r: ("x.rtf", files.rtf(r["text"])))
+
+
+def q44_extract_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.extracted(_chats(spark, sf_dir), "conv_id", lambda r: ("chat.txt", r["text"].encode()))
+
+
 QUERIES: dict[str, Query] = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}

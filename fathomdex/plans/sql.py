@@ -29,6 +29,8 @@ _OFFICE = _trim(_chain(
     (r"<[^>]+>", "' '"), ("&amp;", "'&'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&apos;", "chr(39)"), (r"[ \t]+", "' '"), (r"\n{3,}", "chr(10) || chr(10)"),
 ))
 
+_TIDY = _trim(_chain("text", (r"[ \t]+", "' '"), (r"\n{3,}", "chr(10) || chr(10)")))
+
 _CHATS = """
 WITH chats AS (
   SELECT conv_id, string_agg(CASE WHEN conv_id % 2 = 0 THEN '[12/03/24, 9:41:' || lpad((turn % 60)::VARCHAR, 2, '0') || '] ' || role || ': ' ELSE '' END || text, chr(10) ORDER BY turn) AS text
@@ -78,15 +80,12 @@ def _cosine(x: str, y: str) -> str:
     return f"round(coalesce(list_cosine_similarity({x}::DOUBLE[], {y}::DOUBLE[]), 0), 9)"
 
 
-_ONE = f"SELECT e.vec_id, e.label, {_cosine('e.embedding', 'q.embedding')} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
-
-
-def _batch(where: str) -> str:
+def _batch(where: str, most: int = 5) -> str:
     return f"""
 SELECT query_id, vec_id, rank::INT AS rank, round(s, 4) AS score FROM (
   SELECT q.vec_id AS query_id, e.vec_id, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS rank
   FROM (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q, embeddings e, LATERAL (SELECT {_cosine("e.embedding", "q.embedding")} AS s) {where}
-) WHERE rank <= 5"""
+) WHERE rank <= {most}"""
 
 
 _REGISTRY = f"""
@@ -152,9 +151,11 @@ FROM supplier""",
     "q14_hash_vector": f"""
 WITH c AS (SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 384)::INT AS bucket FROM (SELECT doc_id, unnest({_words("text")}) AS w FROM documents)) GROUP BY ALL)
 SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 4) AS weight FROM c""",
-    "q15_topk": f"SELECT vec_id, round(s, 4) AS score FROM ({_ONE}) ORDER BY s DESC, vec_id LIMIT 10",
-    "q16_topk_prefilter": f"SELECT vec_id, round(s, 4) AS score FROM ({_ONE} WHERE e.label = 3) ORDER BY s DESC, vec_id LIMIT 10",
-    "q17_topk_overfetch": f"SELECT vec_id, round(s, 4) AS score FROM (SELECT * FROM ({_ONE}) ORDER BY s DESC, vec_id LIMIT 50) WHERE label = 3 ORDER BY s DESC, vec_id LIMIT 10",
+    "q15_topk": _batch("", 10),
+    "q16_topk_prefilter": f"SELECT query_id, vec_id, score FROM ({_batch('WHERE e.label = 3', 10)})",
+    "q17_topk_overfetch": f"""SELECT query_id, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS own FROM ({_batch("", 50)}) JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) WHERE label = 3
+) WHERE own <= 10""",
     "q18_topk_batch": _batch(""),
     "q19_self_exclude_neighbours": _batch("WHERE q.vec_id <> e.vec_id"),
     "q20_search_documents": f"""{_DOC_CHUNKS},
@@ -168,7 +169,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id,
     "q21_get_chunk": f"{_DOC_CHUNKS} SELECT doc_id, chunk_id, texto, doc_id || '.txt' AS fichero, 'docs/' || doc_id || '.txt' AS ruta_relativa, page AS pagina FROM chunks WHERE chunk_id = 1",
     "q22_read_document": _read(_CONV_CHUNKS, "conv_id", 0, 60),
     "q23_read_paging": _read(_DOC_CHUNKS, "doc_id", 1, 2),
-    "q24_list": f"{_REGISTRY} SELECT doc_id, ruta_relativa, num_chunks AS fragmentos, NULL::INT AS paginas, sin_ocr FROM registry WHERE starts_with(ruta_relativa, 'src1/')",
+    "q24_list": f"{_REGISTRY} SELECT row_number() OVER (ORDER BY ruta_relativa)::INT AS place, doc_id, ruta_relativa, num_chunks AS fragmentos, NULL::INT AS paginas, sin_ocr FROM registry WHERE starts_with(ruta_relativa, 'src1/')",
     "q25_stats": f"""{_REGISTRY} SELECT count(*) FILTER (NOT sin_ocr) AS documentos, coalesce(sum(num_chunks), 0)::BIGINT AS fragmentos,
   coalesce(string_agg(lpad(doc_id::VARCHAR, 12, '0'), ',' ORDER BY doc_id) FILTER (sin_ocr), '') AS sin_ocr FROM registry""",
     "q26_stale": f"{_STALE} SELECT path, change FROM stale",
@@ -195,4 +196,29 @@ SELECT remote, local, x > y AS newer FROM (
   SELECT remote, local, list_transform(range(1, 5), lambda i: coalesce(try_cast(regexp_extract(string_split(remote, '.')[i], '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0)) AS x,
          list_transform(range(1, 5), lambda i: coalesce(try_cast(regexp_extract(string_split(local, '.')[i], '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0)) AS y
   FROM (VALUES ('1.2.2', '1.2.1'), ('1.2', '1.2.0'), ('1.10.0', '1.9.9'), ('2', '10'), ('1.2.x', '1.2.0'), ('1.2.1', '1.2'), ('x.y', '0.0.1'), ('0.0.2', '0.0.10')) v(remote, local))""",
+    "q34_extract_text": f"SELECT * FROM (SELECT doc_id, 0::INT AS seq, NULL::INT AS page, {_trim('text')} AS texto FROM documents) WHERE texto <> ''",
+    "q35_extract_html": f"SELECT * FROM (SELECT page_id, 0::INT AS seq, NULL::INT AS page, {_HTML} AS texto FROM pages) WHERE texto <> ''",
+    "q36_extract_docx": f"SELECT * FROM (SELECT conv_id, 0::INT AS seq, NULL::INT AS page, {_trim("string_agg(text, chr(10) || chr(10) ORDER BY turn)")} AS texto FROM conversations GROUP BY conv_id) WHERE texto <> ''",
+    "q37_extract_pptx": f"""SELECT conv_id, (n - 1)::INT AS seq, n::INT AS page, texto
+FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, texto FROM (SELECT conv_id, turn, {_TIDY} AS texto FROM conversations) WHERE texto <> '')""",
+    "q38_extract_csv": """SELECT s_nationkey::BIGINT AS s_nationkey, 0::INT AS seq, NULL::INT AS page, '[columnas: s_suppkey, s_name, s_acctbal]' || chr(10) ||
+  string_agg('s_suppkey: ' || s_suppkey || ' | s_name: ' || s_name || ' | s_acctbal: ' || s_acctbal, chr(10) ORDER BY s_suppkey) AS texto FROM supplier GROUP BY s_nationkey""",
+    "q39_extract_xlsx": """SELECT o_custkey, 0::INT AS seq, 1::INT AS page, '[hoja: c' || o_custkey || ']' || chr(10) ||
+  string_agg(o_orderkey || ' | ' || printf('%.2f', o_totalprice) || ' | ' || strftime(o_orderdate, '%Y-%m-%d'), chr(10) ORDER BY o_orderkey) AS texto FROM orders GROUP BY o_custkey""",
+    "q40_extract_fods": """SELECT n_regionkey::BIGINT AS n_regionkey, 0::INT AS seq, 1::INT AS page, '[hoja: r' || n_regionkey || ']' || chr(10) ||
+  string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS texto FROM nation GROUP BY n_regionkey""",
+    "q41_extract_mail": f"""WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, {_trim("text")} AS text FROM conversations),
+attached AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS n FROM turns WHERE k > 0 AND text <> '')
+SELECT conv_id, 0::INT AS seq, NULL::INT AS page, {_trim("'Asunto: conv ' || conv_id || chr(10) || 'De: a@example.org' || chr(10) || 'Para: b@example.org' || chr(10) || chr(10) || text")} AS texto FROM turns WHERE k = 0
+UNION ALL SELECT conv_id, (2 * n - 1)::INT, NULL, '[adjunto: t' || k || '.txt]' FROM attached
+UNION ALL SELECT conv_id, (2 * n)::INT, NULL, text FROM attached""",
+    "q42_extract_zip": f"""WITH members AS (
+  SELECT doc_id // 40 AS archive, doc_id, {_trim("text")} AS text, count(*) OVER w AS members_before, coalesce(sum(strlen(text)) OVER w, 0) AS bytes_before
+  FROM documents WINDOW w AS (PARTITION BY doc_id // 40 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), chosen AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY doc_id) AS n FROM members WHERE members_before < 20 AND bytes_before < 60000 AND text <> '')
+SELECT archive, (2 * n - 2)::INT AS seq, NULL::INT AS page, md5('[archivo: ' || doc_id || '.txt]') AS texto FROM chosen
+UNION ALL SELECT archive, (2 * n - 1)::INT, NULL, md5(text) FROM chosen""",
+    "q43_extract_rtf": f"SELECT * FROM (SELECT doc_id, 0::INT AS seq, NULL::INT AS page, {_TIDY} AS texto FROM documents) WHERE texto <> ''",
 }
+SQL["q44_extract_chat"] = f"""SELECT conv_id, 0::INT AS seq, NULL::INT AS page, {_trim("CASE WHEN is_chat THEN texto ELSE text END")} AS texto
+FROM ({SQL["q08_chat_detect"]}) JOIN ({SQL["q09_chat_join"]}) USING (conv_id) JOIN ({_CHATS} SELECT conv_id, text FROM chats) USING (conv_id)"""

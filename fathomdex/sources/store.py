@@ -150,6 +150,11 @@ class Store:
         for n in self._manifests()[:-1]:
             self._fs.delete(self._at(f"manifests/{n}"), False)
 
+    def gone_at_exit(self) -> None:
+        """Marks the folder to be deleted when the application ends."""
+        self._fs.mkdirs(self._at("."))
+        self._fs.deleteOnExit(self._at("."))
+
     def size_mb(self) -> float:
         if not self._fs.exists(self._at(".")):
             return 0.0

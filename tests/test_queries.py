@@ -13,7 +13,7 @@ def con(sf_dir):
 
 
 def test_each_query_has_sql():
-    assert QUERIES.keys() == SQL.keys() and len(QUERIES) == 33
+    assert QUERIES.keys() == SQL.keys() and len(QUERIES) == 44
 
 
 @pytest.mark.parametrize("name", QUERIES)
