@@ -50,10 +50,8 @@ def main(argv: list[str] | None = None) -> int:
             show(summary)
             return int(summary["errores"] > 0)
         if args.command == "watch":
-            from .streaming.watch import watch
-
-            engine.index()
-            watch(engine).awaitTermination()
+            if stream := engine.start():
+                stream.awaitTermination()
         elif args.command == "search":
             show([r.asDict() for r in engine.search(" ".join(args.words), args.results, args.within).collect()])
         elif args.command == "read":

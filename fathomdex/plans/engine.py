@@ -19,6 +19,7 @@ from ..schemas import EXTRACTED, INDEX, REGISTRY
 from ..sources import listing
 from ..sources.extract import Options, extract
 from ..sources.store import Store
+from ..state import Reporting, State
 
 _PAGE = pa.list_(pa.struct([("page", pa.int32()), ("text", pa.string())]))
 
@@ -37,7 +38,7 @@ class Engine:
         self.provider = provider or embedding.HashProvider()
         self.store = Store(spark, self.settings.index_dir, {"index": (INDEX, "doc_id"), "registry": (REGISTRY, "path")})
         self.size, self.overlap = chunking.sizes(self.settings.chunk_tokens, self.settings.overlap_tokens)
-        self.state, self.last_error = "activo", None
+        self.state, self.stream = State(self.settings.data_dir), None
         listing.register(spark)
 
     def warm_up(self) -> None:
@@ -52,18 +53,24 @@ class Engine:
         from ..streaming.watch import watch
 
         log = to_file(f"{self.settings.data_dir}/logs")
-        self.state = "iniciando"
+        self.state.set("iniciando")
         try:
             self.warm_up()
             if self.settings.roots:
                 log.info("indexed", extra={"extra": self.index()})
         except Exception as e:
-            self.state, self.last_error = "error", str(e)
+            self.state.set("error", str(e))
             log.exception("start failed")
         else:
-            self.state = "activo"
+            self.state.set("activo")
         return watch(self) if watching and self.settings.roots else None
 
+    def stop(self) -> None:
+        """Ends the stream after the batch that it is at, if there is one."""
+        if self.stream is not None:
+            self.stream.stop()
+            self.stream = None
+
     # Indexing
 
     def files(self, folders: Sequence[str] | None = None) -> DataFrame:
@@ -75,6 +82,7 @@ class Engine:
     def _extracting(self):
         s = self.settings
         options = Options(s.max_pages, 0, s.ocr, s.ocr_lang, s.ocr_dpi, s.ocr_max_pages, s.archive_members, s.archive_bytes)
+        done = self.done
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -93,6 +101,7 @@ class Engine:
                         error = "no_existe"
                     except Exception as e:
                         error = f"{type(e).__name__}: {e}"
+                    done.add(1)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([path]), pa.array([family]), pa.array([raw], pa.string()), pa.array([[{"page": p.page, "text": p.text} for p in pages]], _PAGE),
                          pa.array([number], pa.int32()), pa.array([unread]), pa.array([error], pa.string())],
@@ -118,7 +127,7 @@ class Engine:
         roots = build_roots(folders) if folders else list(self.settings.roots)
         if not roots:
             raise ValueError("no folders: set them or name one")
-        self.state = "indexando"
+        self.state.set("indexando")
         work = self._work()
         try:
             changes.compare(self.files(folders), self.store.read("registry")).write.parquet(work)  # folders are listed once
@@ -131,11 +140,12 @@ class Engine:
             summary = self._apply(files if force else files.where("change <> 'same'"), gone if prune else None)
             summary["sin_cambios"] = 0 if force else files.where("change = 'same'").count()
         except Exception as e:
-            self.state, self.last_error = "error", str(e)
+            self.state.set("error", str(e))
             raise
         finally:
             self._drop(work)
-        self.state = "activo"
+        self.store.merge()
+        self.state.set("activo")
         return {"carpetas": [r.path for r in roots], **summary}
 
     def _work(self) -> str:
@@ -151,8 +161,11 @@ class Engine:
         try:
             files.select("path", "size", "mtime_ns").write.parquet(f"{work}/files")
             listed = self.spark.read.parquet(f"{work}/files")
-            tasks = max(4 * self.spark.sparkContext.defaultParallelism, listed.count() // FILES_PER_TASK)
-            self.extracted(listed.repartition(tasks)).write.parquet(f"{work}/extracted")
+            total = listed.count()
+            tasks = max(4 * self.spark.sparkContext.defaultParallelism, total // FILES_PER_TASK)
+            self.done = self.spark.sparkContext.accumulator(0)
+            with Reporting(self.state, total, lambda: self.done.value):
+                self.extracted(listed.repartition(tasks)).write.parquet(f"{work}/extracted")
             done = self.spark.read.schema(EXTRACTED).parquet(f"{work}/extracted").join(listed, "path")
             good = done.where("error IS NULL")
             base = good.select(
@@ -238,11 +251,9 @@ class Engine:
     def status(self) -> dict:
         row = reading.totals(self.store.read("registry"), F.col("ruta_relativa")).first()
         out = {
-            "estado": self.state, "version": VERSION, "carpetas_vigiladas": [{"nombre": r.name, "ruta": r.path} for r in self.settings.roots],
+            **self.state.seen(), "version": VERSION, "carpetas_vigiladas": [{"nombre": r.name, "ruta": r.path} for r in self.settings.roots],
             "documentos_indexados": row["documentos"], "fragmentos_totales": row["fragmentos"], "ficheros_sin_ocr": list(row["sin_ocr"]), "tamanyo_indice_mb": self.store.size_mb(),
         }
-        if self.state == "error" and self.last_error:
-            out["ultimo_error"] = self.last_error
         return out
 
 

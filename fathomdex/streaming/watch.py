@@ -23,13 +23,21 @@ def file_changes(engine: Engine, settle: float = 1.0) -> DataFrame:
 def watch(engine: Engine, interval: str = "1500 milliseconds", settle: float = 1.0, once: bool = False) -> StreamingQuery:
     """Keeps the index up to date. Batches run one after another; a restart goes on where the last one ended.
 
-    A batch that fails is logged and tried again by the next start, as its offset
-    isn't committed.
+    A batch that fails is logged and kept in the status, and the stream goes on: what
+    it held isn't registered, so the next full run indexes it. ``engine.stop()`` ends the stream.
     """
 
     def apply(events: DataFrame, batch: int) -> None:
-        if not events.isEmpty():
+        if events.isEmpty():
+            return
+        try:
             log.info("batch %s: %s", batch, engine.apply_changes(events))
+            engine.state.set("activo")
+            engine.store.merge()
+        except Exception as e:
+            engine.state.set("error", str(e))
+            log.exception("batch %s failed", batch)
 
     writer = file_changes(engine, settle).writeStream.foreachBatch(apply).option("checkpointLocation", f"{engine.settings.data_dir}/watch/checkpoint")
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+    engine.stream = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+    return engine.stream

@@ -13,6 +13,9 @@ from fathomdex.operators.approximate import approximate_top_k
 from fathomdex.operators.search import top_k
 from fathomdex.plans.engine import Engine, NotFound
 from fathomdex.plans.tools import Tools
+from fathomdex.sources import store as store_module
+from fathomdex.sources.store import Store
+from fathomdex.state import State
 from fathomdex.streaming.watch import watch
 
 
@@ -90,8 +93,10 @@ def test_engine(engine):
     assert pruned["indexados"] == 0 and "docs-2/four.csv" not in ids(engine)
     before = chunks(engine)
     engine.store.compact()
-    engine.store.vacuum()
-    assert chunks(engine) == before
+    engine.store.vacuum()  # everything is too young
+    assert len(engine.store._manifests()) > 1
+    engine.store.vacuum(hours=0)
+    assert chunks(engine) == before and len(engine.store._manifests()) == 1
     assert engine.index(force=True)["indexados"] == 3 and chunks(engine) == before
 
 
@@ -141,6 +146,78 @@ def test_stream_equals_a_full_run(engine, spark, tmp_path):
     assert set(ids(engine)) == set(ids(fresh))
 
 
+def test_a_failing_batch_is_passed_over(engine, monkeypatch):
+    a = engine.settings.roots[0].path
+    watch(engine, settle=0, once=True).awaitTermination()
+    put(a, "first.txt", "the first")
+    with monkeypatch.context() as m:
+        m.setattr(engine, "apply_changes", lambda events: 1 / 0)
+        watch(engine, settle=0, once=True).awaitTermination()
+    assert engine.status()["estado"] == "error" and "division" in engine.status()["ultimo_error"]
+    put(a, "second.txt", "the second")
+    stream = watch(engine, settle=0, once=True)
+    stream.awaitTermination()
+    assert stream.exception() is None and set(ids(engine)) == {"docs/second.txt"} and engine.status()["estado"] == "activo"
+    engine.index()
+    assert "docs/first.txt" in ids(engine)
+
+
+def test_a_file_being_written_waits(engine):
+    a = engine.settings.roots[0].path
+    stream = watch(engine, interval="200 milliseconds", settle=3)
+    time.sleep(4)
+    with open(os.path.join(a, "slow.txt"), "w") as f:
+        f.write("still being written")
+    began = time.time()
+    while "docs/slow.txt" not in ids(engine) and time.time() - began < 60:
+        time.sleep(0.3)
+    assert time.time() - began >= 3 and "docs/slow.txt" in ids(engine)
+    engine.stop()
+    assert not stream.isActive and engine.stream is None
+
+
+def test_progress_is_seen_by_others(engine, spark):
+    seen = []
+    kept = State.set
+    other = Engine(spark, engine.settings)
+    other_pid = os.getpid() + 1
+
+    def note(self, name, error=None, progress=None):
+        kept(self, name, error, progress)
+        told = json.load(open(self.path))
+        with open(self.path, "w") as f:
+            json.dump({**told, "pid": other_pid}, f)
+        seen.append(other.state.seen())
+
+    State.set = note
+    try:
+        engine.index()
+    finally:
+        State.set = kept
+    told = [x["progreso"] for x in seen if "progreso" in x]
+    assert told and all(p["total"] == 7 for p in told) and seen[-1] == {"estado": "activo"}
+
+
+def test_store_merges_like_sizes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MERGE_AT", 3)
+    store = Store(spark, str(tmp_path / "s"), {"t": ("k long, v string", "k")})
+    want = {}
+    for n in range(8):
+        rows = [(k, f"{n}") for k in range(n, n + 3)]
+        store.commit(upserts={"t": spark.createDataFrame(rows, "k long, v string")}, deletes={"t": spark.createDataFrame([(n - 1,)], "k long")} if n % 3 == 1 else None)
+        want.update(rows)
+        if n % 3 == 1:
+            want.pop(n - 1)
+        store.merge()
+        assert dict(store.read("t").collect()) == want
+    state = store.manifest()["tables"]["t"]
+    assert len(state["segments"]) < 6 and len(state["deleted"]) < 6
+    with pytest.raises(RuntimeError):
+        store._publish(store.manifest())
+    store.compact()
+    assert dict(store.read("t").collect()) == want
+
+
 def test_cli(spark, tmp_path, capsys):
     put(str(tmp_path / "c"), "x.txt", "hello there")
     assert main(["index"]) == 2
