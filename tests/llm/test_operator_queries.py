@@ -10,7 +10,7 @@ from fathomdex.llm.queries import ORACLE_SQL, QUERIES
 def test_registered():
     names = __spark_entry__.queries()
     assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
-    assert set(QUERIES) <= names.keys() and "pipeline" in names and len(names) == 44
+    assert set(QUERIES) <= names.keys() and "pipeline" in names and len(names) == 55
 
 
 @pytest.mark.parametrize("name", ORACLE_SQL)
