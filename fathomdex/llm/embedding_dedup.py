@@ -33,6 +33,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -234,7 +235,23 @@ def both_ways(graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair // max(1, len(graph)), pair % max(1, len(graph))
 
 
-def greedy(x: np.ndarray, table: np.ndarray, queries: np.ndarray, medoid: int, beam: int) -> np.ndarray:
+class Lists(NamedTuple):
+    """Neighbours one list after another: those of i begin at ``first[i]``."""
+
+    first: np.ndarray
+    to: np.ndarray
+
+    @classmethod
+    def of(cls, n: int, fro: np.ndarray, to: np.ndarray) -> "Lists":
+        return cls(np.append(0, np.cumsum(np.bincount(fro, minlength=n))), to)
+
+    def of_all(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``nodes``, neighbour) of all neighbours of the nodes."""
+        width = self.first[nodes + 1] - self.first[nodes]
+        return np.repeat(np.arange(len(nodes)), width), self.to[np.arange(width.sum()) + np.repeat(self.first[nodes] - np.cumsum(width) + width, width)]
+
+
+def greedy(x: np.ndarray, lists: Lists, queries: np.ndarray, medoid: int, beam: int) -> np.ndarray:
     """The ``beam`` nearest vectors met (-1: none) by going from the medoid to ever nearer ones, for many queries at once."""
     m, q = len(queries), x[queries]
     beam = min(beam, len(x))
@@ -245,29 +262,37 @@ def greedy(x: np.ndarray, table: np.ndarray, queries: np.ndarray, medoid: int, b
     met = np.zeros((m, len(x)), dtype=bool)
     met[:, medoid] = True
     active = np.arange(m)
-    while len(active):
-        open_ = np.where(done[active], -np.inf, cos[active])
-        pick = open_.argmax(axis=1)
-        going = open_[np.arange(len(active)), pick] > -np.inf
-        active, pick = active[going], pick[going]
+    while True:
+        going = ~done[active].all(axis=1)
+        active = active[going]
         if not len(active):
-            break
+            return np.where(cos > -np.inf, ids, -1)
+        pick = done[active].argmin(axis=1)  # beams are sorted: the first that is open is the nearest
         done[active, pick] = True
-        near = table[ids[active, pick]]
-        fresh = (near >= 0) & ~met[active[:, None], near]
-        rows, cols = np.nonzero(fresh)
-        met[active[rows], near[rows, cols]] = True
-        c = np.full(near.shape, -np.inf)
-        c[rows, cols] = np.einsum("kd,kd->k", x[near[rows, cols]], q[active[rows]])
-        all_cos = np.concatenate([cos[active], c], axis=1)
+        row, near = lists.of_all(ids[active, pick])
+        fresh = ~met[active[row], near]
+        row, near = row[fresh], near[fresh]
+        met[active[row], near] = True
+        c = np.einsum("kd,kd->k", x[near], q[active[row]])
+        enters = c > cos[active[row], -1]
+        row, near, c = row[enters], near[enters], c[enters]
+        if not len(row):
+            continue
+        count = np.bincount(row, minlength=len(active))
+        some = np.flatnonzero(count)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at = np.searchsorted(some, row)
+        new_ids, new_cos = np.full((len(some), count.max()), -1, dtype=np.int64), np.full((len(some), count.max()), -np.inf)
+        new_ids[at, place], new_cos[at, place] = near, c
+        own = active[some]
+        all_cos = np.concatenate([cos[own], new_cos], axis=1)
         top = np.argsort(-all_cos, axis=1, kind="stable")[:, :beam]
-        cos[active] = np.take_along_axis(all_cos, top, axis=1)
-        ids[active] = np.take_along_axis(np.concatenate([ids[active], np.where(fresh, near, -1)], axis=1), top, axis=1)
-        done[active] = np.take_along_axis(np.concatenate([done[active], ~fresh], axis=1), top, axis=1)
-    return np.where(cos > -np.inf, ids, -1)
+        cos[own] = np.take_along_axis(all_cos, top, axis=1)
+        ids[own] = np.take_along_axis(np.concatenate([ids[own], new_ids], axis=1), top, axis=1)
+        done[own] = np.take_along_axis(np.concatenate([done[own], new_ids < 0], axis=1), top, axis=1)
 
 
-def in_range(x: np.ndarray, table: np.ndarray, queries: np.ndarray, starts: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def in_range(x: np.ndarray, lists: Lists, queries: np.ndarray, starts: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(vectors, cosines to the queries) of those met by expanding the range from ``starts``: whatever is in range of a query leads on.
 
     The queries of a block share what is met, so each is held against it by one product.
@@ -278,8 +303,7 @@ def in_range(x: np.ndarray, table: np.ndarray, queries: np.ndarray, starts: np.n
     while len(front):
         cos = x[front] @ x[queries].T
         yield front, cos
-        near = table[front[(cos >= threshold).any(axis=1)]].ravel()
-        near = near[near >= 0]
+        near = lists.of_all(front[(cos >= threshold).any(axis=1)])[1]
         front = np.unique(near[~seen[near]])
         seen[front] = True
 
@@ -335,15 +359,13 @@ def _searching(beam: int, threshold: float):
             t = t.take(pa.array(order))
             ids, copies, shard = t["id"].to_numpy(), t["n"].to_numpy(), t["shard"][0].as_py()
             x = _unit(_matrix(t["v"]))
-            lists = t["near"].combine_chunks()
-            to = lists.flatten().to_numpy(zero_copy_only=False)
-            fro = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            found = t["near"].combine_chunks()
+            to = found.flatten().to_numpy(zero_copy_only=False)
+            fro = np.repeat(np.arange(len(ids)), found.value_lengths().to_numpy(zero_copy_only=False))
             place = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
             here = ids[place] == to  # neighbours from other shards that are members of this one too
             fro, place = fro[here], place[here]
-            degree = np.bincount(fro, minlength=len(ids))
-            table = np.full((len(ids), max(1, degree.max())), -1, dtype=np.int64)
-            table[fro, np.arange(len(fro)) - np.repeat(np.cumsum(degree) - degree, degree)] = place
+            near_of = Lists.of(len(ids), fro, place)
             earlier = _memberships(t["shards"], shard)
             medoid = int((x @ x.mean(axis=0)).argmax())
             links, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
@@ -351,8 +373,8 @@ def _searching(beam: int, threshold: float):
             ranked = np.argsort(-(x @ x[medoid]), kind="stable")
             for a in range(0, len(ids), 256):
                 queries = ranked[a : a + 256]
-                near = greedy(x, table, queries, medoid, beam)
-                for met, cos in in_range(x, table, queries, np.unique(np.append(near[near >= 0], queries)), threshold):
+                near = greedy(x, near_of, queries, medoid, beam)
+                for met, cos in in_range(x, near_of, queries, np.unique(np.append(near[near >= 0], queries)), threshold):
                     hit = cos >= threshold
                     # of those that share an earlier shard, that shard takes care
                     hit &= (earlier[met] @ earlier[queries].T == 0) & (met[:, None] != queries[None, :])
