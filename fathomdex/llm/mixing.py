@@ -77,7 +77,7 @@ def unit_draw(*of: Column, seed: str) -> Column:
 def _marked(docs: DataFrame, seed: str) -> DataFrame:
     """``docs`` with ``_size``, ``_class`` and ``_h``, the hash by which a cell's documents are ordered."""
     sized = docs.withColumn("_size", word_count(F.col("text")))
-    return sized.withColumn("_class", F.floor(F.log2(F.col("_size") + 1.0) * CLASSES).cast("int")).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    return sized.withColumn("_class", F.coalesce(F.floor(F.log2(F.col("_size") + 1.0) * CLASSES).cast("int"), F.lit(0))).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
 
 
 def drawn_cells(narrow: DataFrame, weight: Callable[[Column], Column], most: float, seed: str) -> DataFrame:
