@@ -252,7 +252,8 @@ class Benchmark:
         """The first window of the segment that the stretch holds, tile by tile."""
         m = min(len(self.codes[part]), WINDOW)
         tile = max(4 * WINDOW, PAIRS // len(self.codes[part]))
-        a, b = max(0, a - edits(m)), min(len(codes), b + edits(m))
+        # what matches may begin up to a window before its first q-gram in common
+        a, b = max(0, a - m - edits(m)), min(len(codes), b + edits(m))
         for s in range(a, max(a + 1, b - m - edits(m)), tile - m - edits(m)):
             own = codes[s : min(b, s + tile)]
             got = self.tiles.get_or((part, own.tobytes()), lambda: self._tile(part, own))
