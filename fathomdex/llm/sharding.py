@@ -10,8 +10,10 @@ that the large groups left in each shard. At any size it is the groups that are
 block ends uneven by no more than its smallest groups.
 
 Rows find their shard by a join on their group, in which groups of more than ``SALT``
-rows are dealt to several tasks. Slots are numbered within each task of that join and moved
-by what the tasks before hold of the shard; no shard or group is ever in one place.
+rows or ``SALT_BYTES`` are dealt to several tasks by a hash of their ids (rows that repeat id
+and text stay in one). The first slot of each part of a group comes from running sums over
+the counts of those parts; its rows are numbered from there in the order of their ids, in the
+task of the join. So rows are moved once and never written on the way, and no shard or group is ever in one place.
 
 Defined cases: a null text has no bytes and no tokens and the CRC of the empty
 string; equal rows may take each other's slots; an empty table gives an empty
@@ -21,20 +23,17 @@ input pass through, and those of the result win where names clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fields, read_table, staged, unstage, word_count
+from .common import read_table, staged, unstage, word_count
 from .graph import small
 
 #: As parts of a shard, the largest group that is placed in a block and the largest that isn't cut
-#: (a larger one is cut into pieces of the size that is placed in blocks). Groups of a block; rows of a group in one task.
-LARGEST, CUT, BLOCK, SALT = 1 / 16, 1 / 2, 50_000, 100_000
+#: (a larger one is cut into pieces of the size that is placed in blocks). Groups of a block; rows and bytes of a group in one task.
+LARGEST, CUT, BLOCK, SALT, SALT_BYTES = 1 / 16, 1 / 2, 50_000, 100_000, 128 << 20
 DIMENSIONS = ("bytes", "tokens", "rows")
 #: What each dimension counts in the dot product; the law that the shards promise is on bytes.
 WEIGHTS = (1.0, 0.25, 0.25)
@@ -96,8 +95,9 @@ def placed(narrow: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     share = np.maximum(np.array([float(t or 0) for t in total]) / shards * LARGEST, 1e-9)
     part = F.greatest(*[F.col(d) / F.lit(float(share[k])) for k, d in enumerate(DIMENSIONS)])
     pieces = F.when(part * LARGEST > CUT, F.ceil(part)).otherwise(1).cast("int")
-    cut = groups.withColumn("_heavy", part > 1).where(F.col("_heavy") | (F.col("rows") > SALT)).withColumn("_pieces", pieces)
-    cut = staged(cut.select("_group", "_heavy", "_pieces", (F.col("_pieces") * F.ceil(F.col("rows") / F.col("_pieces") / SALT)).cast("int").alias("_salts")), "cut")
+    tasks = F.greatest(F.col("rows") / SALT, F.col("bytes") / SALT_BYTES)
+    cut = groups.withColumn("_heavy", part > 1).where(F.col("_heavy") | (tasks > 1)).withColumn("_pieces", pieces)
+    cut = staged(cut.select("_group", "_heavy", "_pieces", (F.col("_pieces") * F.ceil(tasks / F.col("_pieces"))).cast("int").alias("_salts")), "cut")
     exact = _sums(salted(narrow.join(F.broadcast(cut.where("_heavy")), "_group")).withColumn("_piece", F.col("_salt") % F.col("_pieces")), "_group", "_piece").collect()
     exact.sort(key=lambda r: tuple(r[:2]))
     capacity = np.tile(np.array([float(t or 0) for t in total]) / shards, (shards, 1))
@@ -122,33 +122,32 @@ def salted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.coalesce("_salts", F.lit(1))).cast("int"))
 
 
-def _numbering(shards: int):
-    """Adds the task and the number of the row among those of its shard there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen = TaskContext.get().partitionId(), np.zeros(shards, dtype=np.int64)
-        for batch in batches:
-            shard = batch["_shard"].to_numpy()
-            order = np.argsort(shard, kind="stable")
-            count = np.bincount(shard, minlength=shards)
-            nth = np.empty(len(shard), dtype=np.int64)
-            nth[order] = np.arange(len(shard)) - np.repeat(np.cumsum(count) - count, count)
-            nth += seen[shard]
-            seen += count
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(shard), task, dtype=np.int32)), pa.array(nth)], names=[*batch.schema.names, "_task", "_nth"])
+def first_slots(parts: DataFrame) -> DataFrame:
+    """Staged: ``parts`` (staged; _group, _salt, _shard and _n, its rows) with ``_first``, the number of rows in the parts before it in its shard.
 
-    return run
+    Parts are dealt to bins by hash; the windows are over the bins of a shard and over the parts of a bin.
+    """
+    binned = parts.withColumn("_bin", F.pmod(F.xxhash64(F.lit("bin"), "_group", "_salt"), F.lit(parts.count() // BLOCK + 1)))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = binned.groupBy("_shard", "_bin").agg(F.sum("_n").alias("_n"))
+    bins = staged(bins.select("_shard", "_bin", before(Window.partitionBy("_shard").orderBy("_bin")).alias("_start")), "bins")
+    within = before(Window.partitionBy("_shard", "_bin").orderBy("_group", "_salt"))
+    out = staged(binned.join(small(bins), ["_shard", "_bin"]).select("_group", "_salt", "_shard", (F.col("_start") + within).alias("_first")), "slots")
+    unstage(bins)
+    return out
 
 
 def assign(rows: DataFrame, narrow: DataFrame, shards: int) -> DataFrame:
     """``rows`` with ``_shard`` and ``_slot``; both have doc_id and _group, ``narrow`` is staged and has the columns of ``measured``."""
     where, cut = placed(narrow, shards)
-    of = salted(rows.join(small(cut.select("_group", "_salts")), "_group", "left")).join(where, ["_group", "_salt"]).drop("_salts", "_salt")
-    numbered = staged(of.mapInArrow(_numbering(shards), f"{fields(of)}, _task int, _nth long"), "numbered")
-    before = Window.partitionBy("_shard").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    # a row per task and shard
-    offsets = numbered.groupBy("_shard", "_task").agg(F.count("*").alias("_n")).select("_shard", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    return numbered.join(small(staged(offsets, "offsets")), ["_shard", "_task"]).withColumn("_slot", F.col("_first") + F.col("_nth")).drop("_task", "_nth", "_first")
+    several = small(cut.select("_group", "_salts"))
+    with_salt = lambda df: salted(df.join(several, "_group", "left"))
+    counts = with_salt(narrow).groupBy("_group", "_salt").agg(F.count("*").alias("_n"))
+    parts = staged(counts.join(where, ["_group", "_salt"]), "parts")
+    slots = first_slots(parts)
+    unstage(where, parts)
+    nth = F.row_number().over(Window.partitionBy("_group", "_salt").orderBy("doc_id"))  # of a part's rows, which all have one text
+    return with_salt(rows).join(slots, ["_group", "_salt"]).withColumn("_slot", F.col("_first") + nth - 1).drop("_salts", "_salt", "_first")
 
 
 RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -162,7 +161,7 @@ def _result(df: DataFrame) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """``docs`` with size, text_crc32, law, shard, slot and grown_shard. Texts are moved once, to the shards of their groups."""
+    """``docs`` with size, text_crc32, law, shard, slot and grown_shard. Texts are moved once, to the tasks of their groups, and aren't staged."""
     kept = [c for c in docs.columns if c not in RESULT]
     rows = measured(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "doc_id", "text")).drop("text")
     narrow = staged(rows.select("doc_id", "_size", "_tokens", "_group"), "measured")

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -7,6 +8,7 @@ import pytest
 from helpers import ODD
 
 from fathomdex.llm import mixing, sharding
+from fathomdex.llm.common import shared_dir
 
 
 def words(t):
@@ -161,6 +163,39 @@ def test_groups_stay_together(spark, docs):
     assert all(len(s) == 1 for s in by.values())
 
 
+def test_texts_are_not_staged(spark, docs):
+    """What sharding writes on its way doesn't grow with the texts, which are moved once."""
+    rng = random.Random(6)
+    df = docs([(i, rng.randbytes(20_000).hex()) for i in range(200)] * 2).cache()
+    where = f"{shared_dir(spark)}/staged".removeprefix("file:")
+    taken = lambda: sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(where) for name in names)
+    before = taken()
+    out = sharding.shard_documents(df, 8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert len(got) == 400 and taken() - before < 1_000_000
+    check_shards({r["doc_id"]: r["text"] for r in got}, got, 8)
+    assert plan.count("Exchange hashpartitioning(_group") <= 2  # rows, and the parts that they are joined with
+
+
+@pytest.mark.parametrize("salt_bytes", [1 << 27, 2000])
+def test_slots_of_cut_groups_and_reruns(spark, docs, monkeypatch, salt_bytes):
+    """Large texts are dealt to tasks by their bytes and stay in one shard; each run gives a row the same slot."""
+    monkeypatch.setattr(sharding, "SALT_BYTES", salt_bytes)
+    monkeypatch.setattr(sharding, "BLOCK", 50)
+    texts = [f"{i % 300} " * 60 for i in range(3000)]
+    df = docs([*enumerate(texts), *list(enumerate(texts))[:40], (None, texts[0]), (None, texts[0])])
+    got = sharding.shard_documents(df, 8).collect()
+    assert len(got) == 3042
+    check_shards({**dict(enumerate(texts)), None: texts[0]}, got, 8)
+    by = defaultdict(set)
+    for r in got:
+        by[r["text"]].add(r["shard"])
+    assert all(len(s) == 1 for s in by.values())
+    again = sharding.shard_documents(df.repartition(7), 8).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+
+
 def test_odd_shards(spark, docs):
     rows = dict(enumerate(ODD))
     df = docs(list(rows.items()))
