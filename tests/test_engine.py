@@ -10,7 +10,8 @@ from fathomdex.cli import main, parser
 from fathomdex.config import Settings
 from fathomdex.logs import to_file
 from fathomdex.operators.approximate import approximate_top_k
-from fathomdex.operators.search import top_k
+from fathomdex.operators import search
+from fathomdex.operators.search import top_k, top_k_of
 from fathomdex.plans.engine import Engine, NotFound
 from fathomdex.plans.tools import Tools
 from fathomdex.sources import store as store_module
@@ -250,3 +251,21 @@ def test_approximate_search(spark, sf_dir):
     exact = [r["vec_id"] for r in top_k(items, [(0, query)], 5, ("vec_id",), "embedding").orderBy("rank").collect()]
     got = [r["vec_id"] for r in approximate_top_k(items, query, 5, ("vec_id",), "embedding").collect()]
     assert got[0] == 0 and len(set(got) & set(exact)) >= 3
+
+
+def test_tables_of_queries_of_any_length(spark, monkeypatch):
+    """No queries, blocks that few of them meet, and more queries than the workers get together give what single blocks give."""
+    rng = __import__("random").Random(5)
+    rows = [(n, [rng.choice((-1.0, 0.0, 1.0)) for _ in range(4)]) for n in range(60)]
+    items = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(3)
+    asked = items.where("vec_id % 5 = 0").select("vec_id", "vector")
+    assert top_k_of(items, asked.where("vec_id < 0"), 3, ("vec_id",)).collect() == []
+    for own in (None, "vec_id"):
+        got = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in df.collect())
+        want = got(top_k(items, [(r["vec_id"], r["vector"]) for r in asked.collect()], 3, ("vec_id",), exclude_self=own))
+        assert len(want) == 36
+        assert got(top_k_of(items, asked, 3, ("vec_id",), exclude_self=own, block=1)) == want
+        with monkeypatch.context() as m:
+            m.setattr(search, "BLOCK", 2)
+            m.setattr(search, "CELL", 9)
+            assert got(top_k_of(items, asked, 3, ("vec_id",), exclude_self=own, block=1)) == want
