@@ -156,3 +156,30 @@ def test_xlsx_styles_and_ods_repeats():
     assert texts("a.xlsx", book) == [(1, "[hoja: S]\n15/03/2023 | 50% | 5")]
     ods = '<o xmlns:table="t" xmlns:text="x"><table:table table:name="T"><table:table-row table:number-rows-repeated="2"><table:table-cell table:number-columns-repeated="2"/><table:table-cell><text:p>b</text:p></table:table-cell><table:table-cell table:number-columns-repeated="900000000"/></table:table-row><table:table-row table:number-rows-repeated="900000000"><table:table-cell table:number-columns-repeated="900000000"/></table:table-row></table:table></o>'
     assert texts("a.fods", ods.encode()) == [(1, "[hoja: T]\n|  | b\n |  | b")]
+
+
+def test_extraction_holds_few_pages():
+    """A batch's pages are handed on as they come, and an RTF file's tokens aren't held."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from fathomdex.plans import files
+
+    made = []
+    make = lambda r: made.append(r["k"]) or (("x.txt", r["text"].encode()) if r["k"] % 2 else ("x.txt", b" "))
+    batch = pa.RecordBatch.from_pydict({"k": list(range(400)), "text": ["x" * 40_000] * 400})
+    found = files._pages(iter([batch, batch.slice(0, 0), batch.slice(0, 2)]), "k", make, Options())
+    first = next(found)
+    assert first.num_rows * 40_000 < 2 * files.HELD and len(made) <= 2 * first.num_rows + 1
+    rest = [first, *found]
+    assert sum(b.num_rows for b in rest) == 201 and all(b.num_rows for b in rest)
+    assert [k for b in rest for k in b["k"].to_pylist()] == [*range(1, 400, 2), 1]
+
+    rtf = "{" + r"\rtf1 " + r"a\par " * 100_000 + "}"
+    tracemalloc.start()
+    try:
+        assert rtf_to_text(rtf).count("\n") == 99_999
+        assert tracemalloc.get_traced_memory()[1] < 8 * len(rtf)
+    finally:
+        tracemalloc.stop()
