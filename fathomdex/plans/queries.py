@@ -67,12 +67,25 @@ def q07_office_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.office_xml_to_text(F.col("html")).alias("texto"))
 
 
+#: Rows of a table for a task that makes files of them; with fewer rows, the least for which a core is put to work.
+A_TASK, A_CORE = 60_000, 1000
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by key for the files that are made of them, into tasks by their number.
+
+    Files take their time in Python by rows and keys; a shuffle that goes by bytes may join all to a few tasks.
+    """
+    count, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(count // A_TASK, min(cores, count // A_CORE)) + 1, key)
+
+
 def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One export per conversation; those with odd ids lack the times."""
     head = F.concat(F.lit("[12/03/24, 9:41:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit("] "), F.col("role"), F.lit(": "))
     line = F.concat(F.when(F.col("conv_id") % 2 == 0, head).otherwise(F.lit("")), F.col("text"))
     lines = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))
-    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(lines.alias("l"))
+    chats = _dealt(table(spark, sf_dir, "conversations"), "conv_id").groupBy("conv_id").agg(lines.alias("l"))
     return chats.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
@@ -299,7 +312,7 @@ def q33_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.transform("t", lambda x: x["text"]).alias("texts"))
+    return _dealt(table(spark, sf_dir, "conversations"), "conv_id").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.transform("t", lambda x: x["text"]).alias("texts"))
 
 
 def q34_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +334,8 @@ def q37_extract_pptx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tables_by(rows: DataFrame, key: str, *columns: F.Column) -> DataFrame:
     """The rows of each key's file, in order of their first cell."""
-    return rows.groupBy(F.col(key).cast("long").alias(key)).agg(F.sort_array(F.collect_list(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)]))).alias("rows"))
+    rows = _dealt(rows.select(F.col(key).cast("long").alias(key), *[c.alias(f"c{k}") for k, c in enumerate(columns)]), key)
+    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[f"c{k}" for k in range(len(columns))]))).alias("rows"))
 
 
 def q38_extract_csv(spark: SparkSession, sf_dir: str) -> DataFrame:

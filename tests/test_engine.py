@@ -269,3 +269,16 @@ def test_tables_of_queries_of_any_length(spark, monkeypatch):
             m.setattr(search, "BLOCK", 2)
             m.setattr(search, "CELL", 9)
             assert got(top_k_of(items, asked, 3, ("vec_id",), exclude_self=own, block=1)) == want
+
+
+def test_rows_for_files_are_dealt_by_their_number(spark, monkeypatch):
+    """A shuffle that goes by bytes would join the small rows of many files to one task."""
+    from pyspark.sql import functions as F
+
+    from fathomdex.plans import queries
+
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") % 50).alias("k"))
+    monkeypatch.setattr(queries, "A_TASK", 100)
+    grouped = queries._tables_by(rows, "k", F.col("id"))
+    assert len({r["p"] for r in grouped.select(F.spark_partition_id().alias("p")).collect()}) > 4
+    assert sorted((r["k"], [x["c0"] for x in r["rows"]]) for r in grouped.collect()) == [(k, list(range(k, 1000, 50))) for k in range(50)]

@@ -183,3 +183,20 @@ def test_extraction_holds_few_pages():
         assert tracemalloc.get_traced_memory()[1] < 8 * len(rtf)
     finally:
         tracemalloc.stop()
+
+
+def test_sheets_are_read_alike_whole_or_by_rows(monkeypatch):
+    """A small sheet is parsed whole; codes are taken apart once, however many cells have them."""
+    from fathomdex.plans import files
+    from fathomdex.sources.extract import numbers, sheets
+
+    rows = [[k, k / 7, 40_000 + k] for k in range(300)]
+    book = files.xlsx("S", rows, ["General", "#,##0.00;(0.0)", "yyyy-mm-dd"])
+    read = []
+    pieces = numbers._PIECE
+    monkeypatch.setattr(numbers, "_PIECE", type("P", (), {"finditer": staticmethod(lambda code: read.append(code) or pieces.finditer(code))}))
+    whole = texts("a.xlsx", book)
+    assert len(read) < 10
+    assert whole[0][1].split("\n")[8] == "7 | 1.00 | 2009-07-13"
+    monkeypatch.setattr(sheets, "SMALL", 0)
+    assert texts("a.xlsx", book) == whole
