@@ -23,7 +23,7 @@ class Provider(Protocol):
 class _Buckets(dict):
     """The numbers of words, each hashed once while there is room."""
 
-    MOST = 1 << 19
+    MOST = 1 << 17
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:
@@ -91,6 +91,19 @@ class OnnxProvider:
         return np.concatenate(out) if out else np.zeros((0, self.dimension))
 
 
+#: Texts that are Python objects at a time.
+TEXTS = 128
+
+
+def _vectors(texts: pa.Array, provider: Provider, kind: type) -> pa.Array:
+    """The list array of the texts' vectors, written in place: beside it, only what ``TEXTS`` texts need is held."""
+    flat = np.empty((len(texts), provider.dimension), dtype=kind)
+    for k in range(0, len(texts), TEXTS):
+        flat[k : k + TEXTS] = provider.embed(texts.slice(k, TEXTS).to_pylist())
+    ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * provider.dimension)
+    return pa.ListArray.from_arrays(ends, pa.array(flat.reshape(-1)))
+
+
 def passage(text: Column) -> Column:
     return F.concat(F.lit("passage: "), text)
 
@@ -100,12 +113,15 @@ def query_text(query: str) -> str:
 
 
 def embedded(df: DataFrame, text: Column, provider: Provider, into: str = "vector", double: bool = False) -> DataFrame:
-    """``df`` with the vectors of ``text``, in Arrow batches."""
-    kind, number = ("array<double>", pa.float64()) if double else ("array<float>", pa.float32())
+    """``df`` with the vectors of ``text``, in Arrow batches.
+
+    Spark takes the function as not deterministic, else it computes vectors twice where
+    a filter (an explode makes one) is put below them.
+    """
+    kind, number = ("array<double>", np.float64) if double else ("array<float>", np.float32)
 
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
-        vectors = provider.embed(texts.to_pylist())
-        return pa.array(list(vectors.astype(np.float64 if double else np.float32)), pa.list_(number))
+        return _vectors(texts, provider, number)
 
-    return df.withColumn(into, run(text))
+    return df.withColumn(into, run.asNondeterministic()(text))

@@ -282,3 +282,32 @@ def test_rows_for_files_are_dealt_by_their_number(spark, monkeypatch):
     grouped = queries._tables_by(rows, "k", F.col("id"))
     assert len({r["p"] for r in grouped.select(F.spark_partition_id().alias("p")).collect()}) > 4
     assert sorted((r["k"], [x["c0"] for x in r["rows"]]) for r in grouped.collect()) == [(k, list(range(k, 1000, 50))) for k in range(50)]
+
+
+def test_vectors_of_a_batch_are_held_once():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from fathomdex.operators import embedding
+
+    texts = [None, "", " \u00a0", *(f"w{k % 9} w{k % 7} x" for k in range(2000))]
+    provider = embedding.HashProvider()
+    want = provider.embed(texts)
+    tracemalloc.start()
+    try:
+        got = embedding._vectors(pa.array(texts), provider, np.float64)
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * want.nbytes
+    finally:
+        tracemalloc.stop()
+    assert got.type == pa.list_(pa.float64()) and len(got) == len(texts)
+    assert (np.array(got.to_pylist()) == want).all()
+    assert embedding._vectors(pa.array([], pa.string()), provider, np.float32).to_pylist() == []
+
+
+def test_vectors_are_computed_once(spark, sf_dir):
+    from fathomdex.plans.queries import q14_hash_vector
+
+    plan = q14_hash_vector(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
